@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from typing import Any
+from typing import Any, NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymark.functions import ship_by_value
+from tallymark.functions import once_per_row, ship_by_value
 from tallymark.functions.text import strip
 
 ship_by_value(__name__)
@@ -24,15 +24,26 @@ def _step(path: str) -> str:
     return "$" + "".join(f'["{part}"]' for part in path.split(".")) if path else "$"
 
 
-def json_value(text: Column) -> Column:
-    """VARIANT of a text that is one JSON value and nothing else.
+def add_value(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """Adds the VARIANT of a text that is one JSON value and nothing else.
 
     The variant parser ignores whatever follows the first value; inside a wrapper
-    object such a rest costs the closing marker, and then the text is refused.
+    object such a rest costs the closing marker, and then the text is refused. The
+    wrapper is a column of its own, so that every text is parsed once.
     """
     wrapped = F.try_parse_json(F.concat(F.lit('{"value":'), text, F.lit(',"end":0}')))
-    whole = F.try_variant_get(wrapped, "$.end", "int").isNotNull()
-    return F.when(whole, F.try_variant_get(wrapped, "$.value", "variant"))
+    whole = F.try_variant_get("_wrapped", "$.end", "int").isNotNull()
+    return (
+        df.withColumn("_wrapped", wrapped)
+        .withColumn(name, F.when(whole, F.try_variant_get("_wrapped", "$.value", "variant")))
+        .drop("_wrapped")
+    )
+
+
+def add_object(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the VARIANT of a text column that is one JSON object, else NULL."""
+    is_object = strip(F.col(text)).startswith("{")
+    return add_value(df, F.when(is_object, F.col(text)), name)
 
 
 def type_of(value: Column) -> Column:
@@ -58,11 +69,6 @@ def text_at(value: Column, path: str) -> Column:
     return at(value, path, "string")
 
 
-def json_object(text: Column) -> Column:
-    """VARIANT of a text that is one JSON object, else NULL."""
-    return F.when(strip(text).startswith("{"), json_value(text))
-
-
 def unfence(text: Column) -> Column:
     """Strip a Markdown code fence around the reply."""
     body = strip(text)
@@ -87,17 +93,21 @@ def _joined_parts(content: Column) -> Column:
     return F.array_join(F.array_compact(texts), "\n")
 
 
-def reply_text(reply: Column) -> Column:
-    """Text of a chat reply: string, list of text parts, parsed object, else ''."""
+def parsed_text(body: Column) -> Column:
+    """The parsed member of a raw reply as minified text in its own key order."""
+    text = F.get_json_object(body, "$.choices[0].message.parsed")
+    return F.when(text.startswith("{"), text)
+
+
+def reply_text(reply: Column, body: Column) -> Column:
+    """Text of a chat reply (its VARIANT and its raw text): the content string, its
+    text parts, the parsed object, else ''."""
     message = message_of(reply)
-    content = at(message, "content")
-    parsed = at(message, "parsed")
-    kind = type_of(content)
+    kind = type_of(at(message, "content"))
     return (
         F.when(kind == "STRING", text_at(message, "content"))
-        .when(kind == "ARRAY", _joined_parts(content))
-        .when(type_of(parsed) == "OBJECT", F.to_json(parsed))
-        .otherwise(F.lit(""))
+        .when(kind == "ARRAY", _joined_parts(at(message, "content")))
+        .otherwise(F.coalesce(F.when(type_of(at(message, "parsed")) == "OBJECT", parsed_text(body)), F.lit("")))
     )
 
 
@@ -106,11 +116,6 @@ def refusal_text(reply: Column) -> Column:
     return F.nullif(text_at(message_of(reply), "refusal"), F.lit(""))
 
 
-def parsed_text(reply: Column) -> Column:
-    parsed = at(message_of(reply), "parsed")
-    return F.when(type_of(parsed) == "OBJECT", F.to_json(parsed))
-
-
 # A JSON string (closed or running to the end of the text) or one brace.
 _TOKEN = re.compile(r'"(?:\\.|[^"\\])*+"?|[{}]', re.S)
 
@@ -134,7 +139,7 @@ def _balanced_object(text: str | None) -> str | None:
     return text
 
 
-@F.arrow_udf(T.StringType())
+@once_per_row(T.StringType())
 def first_json_object(values: pa.Array) -> pa.Array:
     return pa.array([_balanced_object(text) for text in values.to_pylist()], pa.string())
 
@@ -150,69 +155,82 @@ def tolerant_body(text: Column) -> Column:
 # --- templates: nested dicts whose leaves are None (text or null) or a constant ---
 
 
-def leaf_paths(template: Template, prefix: str = "") -> list[str]:
-    """Dotted paths of the free leaves (constants are checked, not scored)."""
-    paths: list[str] = []
-    for key, item in template.items():
-        path = f"{prefix}.{key}" if prefix else key
-        if isinstance(item, dict):
-            paths += leaf_paths(item, path)
-        elif item is None:
-            paths.append(path)
-    return paths
-
-
-def template_struct(template: Template) -> T.StructType:
-    return T.StructType(
-        [
-            T.StructField(key, template_struct(item) if isinstance(item, dict) else T.StringType())
-            for key, item in template.items()
-        ]
+class Level(NamedTuple):
+    """One object of a template: its path and its keys by what they hold."""
+
+    path: str
+    free: list[str]
+    constants: dict[str, str]
+    objects: list[str]
+
+    @property
+    def keys(self) -> list[str]:
+        return sorted([*self.free, *self.constants, *self.objects])
+
+    def child(self, key: str) -> str:
+        return f"{self.path}.{key}" if self.path else key
+
+
+def levels(template: Template, path: str = "") -> list[Level]:
+    """The objects of a template, outer ones first."""
+    here = Level(
+        path,
+        [key for key, item in template.items() if item is None],
+        {key: item for key, item in template.items() if isinstance(item, str)},
+        [key for key, item in template.items() if isinstance(item, dict)],
     )
+    return [here] + [inner for key in here.objects for inner in levels(template[key], here.child(key))]
+
+
+def leaf_paths(template: Template) -> list[str]:
+    """Dotted paths of the free leaves (constants are checked, not scored)."""
+    return [level.child(key) for level in levels(template) for key in level.free]
+
+
+def texts(values: list[str]) -> Column:
+    return F.array(*[F.lit(value) for value in values]).cast("array<string>")
 
 
 def missing_keys(expected: Column, actual: Column) -> Column:
     return F.array_sort(F.array_except(expected, actual))
 
 
-def _level_errors(value: Column, template: Template, path: str) -> Column:
-    here = at(value, path)
-    found = F.map_keys(members(here))
-    expected = F.array(*[F.lit(key) for key in sorted(template)])
-    prefix = f"{path}." if path else ""
+def _level_errors(value: Column, level: Level) -> Column:
+    """Deviations at one object of the template. The rules run over key lists, so the
+    expression does not grow with the number of fields."""
+    here = members(at(value, level.path))
+    found = F.map_keys(here)
+    prefix = f"{level.path}." if level.path else ""
 
     def named(keys: Column, suffix: str) -> Column:
         return F.transform(keys, lambda key: F.concat(F.lit(prefix), key, F.lit(suffix)))
 
+    def kind(key: Column) -> Column:
+        return type_of(F.try_element_at(here, key))
+
     pieces = [
-        named(missing_keys(expected, found), " is missing"),
-        named(missing_keys(found, expected), " is not allowed"),
+        named(missing_keys(texts(level.keys), found), " is missing"),
+        named(missing_keys(found, texts(level.keys)), " is not allowed"),
     ]
-    nothing = F.array().cast("array<string>")
-    leaves = []
-    for key, item in template.items():
-        child = f"{prefix}{key}"
-        if isinstance(item, dict):
-            pieces.append(
-                F.when(F.array_contains(found, key), _level_errors(value, item, child)).otherwise(nothing)
-            )
-            continue
-        kind = type_of(at(value, child))
-        if item is None:
-            wrong, message = ~kind.isin("STRING", "VOID"), f"{child} must be string or null"
-        else:
-            same = (kind == "STRING") & (text_at(value, child) == item)
-            wrong, message = ~same, f"{child} must equal {item!r}"
-        leaves.append(F.when(kind.isNotNull() & wrong, F.lit(message)))
-    pieces.append(F.array_compact(F.array(*leaves)) if leaves else nothing)
-    return F.when(
-        F.size(found) >= 0, F.concat(*pieces)
-    ).otherwise(F.array(F.lit(f"{path or '$'} must be an object")))
+    if level.free:
+        wrong = F.filter(texts(level.free), lambda key: ~kind(key).isin("STRING", "VOID"))
+        pieces.append(named(wrong, " must be string or null"))
+    for key, constant in level.constants.items():
+        member = F.try_element_at(here, F.lit(key))
+        same = (type_of(member) == "STRING") & (F.try_variant_get(member, "$", "string") == constant)
+        wrong = F.array_contains(found, key) & ~same
+        pieces.append(F.when(wrong, texts([f"{level.child(key)} must equal {constant!r}"])).otherwise(texts([])))
+    # Below a member that is no object there is nothing to compare; its own level
+    # reports that, unless the member is absent, which the level above reports.
+    not_object = F.when(
+        type_of(at(value, level.path)).isNotNull(), texts([f"{level.path or '$'} must be an object"])
+    ).otherwise(texts([]))
+    return F.when(here.isNotNull(), F.concat(*pieces)).otherwise(not_object)
 
 
 def schema_errors(value: Column, template: Template) -> Column:
     """Every deviation of a payload from its template, sorted."""
-    return F.array_sort(_level_errors(value, template, ""))
+    return F.array_sort(F.concat(*[_level_errors(value, level) for level in levels(template)]))
 
 
 def per_side(side: Column, templates: dict[str, Template], build) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark import constants as K
-from tallymark.functions import ship_by_value
+from tallymark.functions import once_per_row, ship_by_value
 
 ship_by_value(__name__)
 
@@ -41,7 +41,7 @@ def _per_text(values: pa.Array, ascii_path, unicode_path) -> pa.Array:
     return result
 
 
-@F.arrow_udf(T.StringType())
+@once_per_row(T.StringType())
 def fold_key(values: pa.Array) -> pa.Array:
     """Name key: compatibility form and case fold; blanks stay as they are."""
     return _per_text(
@@ -55,7 +55,7 @@ def _fold_words(text: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", text).split()).casefold()
 
 
-@F.arrow_udf(T.StringType())
+@once_per_row(T.StringType())
 def fold_text(values: pa.Array) -> pa.Array:
     """Comparison text: compatibility form, single blanks, trimmed, case fold."""
 
@@ -93,7 +93,7 @@ def _canonical(text: str | None) -> str | None:
     return json.dumps(_tagged(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
-@F.arrow_udf(T.StringType())
+@once_per_row(T.StringType())
 def canonical_json(values: pa.Array) -> pa.Array:
     """One spelling per JSON value under the comparison rules; NULL if unreadable."""
     return pa.array([_canonical(text) for text in values.to_pylist()], pa.string())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark import constants as K
-from tallymark.functions import ship_by_value
+from tallymark.functions import once_per_row, ship_by_value
 from tallymark.functions.text import strip
 
 ship_by_value(__name__)
@@ -129,6 +129,6 @@ def _ipv6_is_global(text: str | None) -> bool:
         return False
 
 
-@F.arrow_udf(T.BooleanType())
+@once_per_row(T.BooleanType())
 def ipv6_is_global(values: pa.Array) -> pa.Array:
     return pa.array([_ipv6_is_global(text) for text in values.to_pylist()], pa.bool_())

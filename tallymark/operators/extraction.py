@@ -100,10 +100,10 @@ def normalize_extracted(
 
     def output(code: str, specs: list[FieldSpec]) -> Column:
         if code == "unknown" and not specs:
-            return F.to_json(value)
+            return F.col(text)
         return F.to_json(_object_output(value, specs), P.KEPT_NULLS)
 
-    checked = payloads.withColumn("_value", P.json_object(F.col(text))).withColumn(
+    checked = P.add_object(payloads, text, "_value").withColumn(
         "extraction_error",
         F.when(F.col("_value").isNull(), F.lit("payload is not a JSON object"))
         .when(~F.col("document_code").isin(*groups), F.lit("document_code has no field list"))
@@ -167,34 +167,21 @@ def unknown_error(value: Column) -> Column:
 
 
 def check_unknown(payloads: DataFrame, text: str = "payload_text") -> DataFrame:
-    value = P.json_object(F.col(text))
-    return (
-        payloads.withColumn("_value", value)
-        .withColumn(
-            "structure_error",
-            F.when(F.col("_value").isNull(), F.lit("payload is not a JSON object")).otherwise(
-                unknown_error(F.col("_value"))
-            ),
-        )
-        .drop("_value")
-    )
+    """Adds structure_error for free-form payloads."""
+    value = F.col("_value")
+    error = F.when(value.isNull(), F.lit("payload is not a JSON object")).otherwise(unknown_error(value))
+    return P.add_object(payloads, text, "_value").withColumn("structure_error", error).drop("_value")
 
 
 def emit_documents(documents: DataFrame) -> DataFrame:
-    """One JSON text per extracted document; null field values stay visible."""
-    data = F.try_parse_json("extracted_data")
+    """One JSON text per extracted document; null field values stay visible. The data
+    is put in as text, since a VARIANT would not keep the declared key order."""
+    head = F.to_json(
+        F.struct("document_code", "group_name", "document_name", "page_order", "duplicate_pages"), P.KEPT_NULLS
+    )
+    opened = F.left(head, F.length(head) - 1)
     return documents.filter(F.col("extraction_error").isNull()).select(
         "file_id",
         "doc_no",
-        F.to_json(
-            F.struct(
-                "document_code",
-                "group_name",
-                "document_name",
-                "page_order",
-                "duplicate_pages",
-                data.alias("extracted_data"),
-            ),
-            P.KEPT_NULLS,
-        ).alias("document"),
+        F.concat(opened, F.lit(',"extracted_data":'), F.col("extracted_data"), F.lit("}")).alias("document"),
     )

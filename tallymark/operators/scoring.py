@@ -32,21 +32,23 @@ def clean_prompt(text: Column) -> Column:
 def pick_roles(records: DataFrame) -> DataFrame:
     """Adds truth, system_texts and prompt to records with a messages array."""
 
-    def texts(role: str) -> Column:
+    def picked(role: str) -> Column:
         return F.transform(F.filter("messages", lambda m: m["role"] == role), lambda m: m["content"])
 
-    truth = F.try_element_at(texts("assistant"), F.lit(1))
-    prompt = F.try_element_at(texts("user"), F.lit(1))
-    has_truth = F.exists("messages", lambda m: m["role"] == "assistant")
-    has_user = F.exists("messages", lambda m: m["role"] == "user")
-    return records.select(
+    chosen = records.select(
         "*",
-        truth.alias("truth"),
-        texts("system").alias("system_texts"),
-        clean_prompt(prompt).alias("prompt"),
-        F.when(~has_truth, F.lit("record has no assistant ground-truth message"))
-        .when(P.json_object(truth).isNull(), F.lit("assistant ground truth must be a JSON object"))
-        .when(~has_user, F.lit("record has no user message"))
+        picked("assistant").alias("_assistant"),
+        picked("user").alias("_user"),
+        picked("system").alias("system_texts"),
+    ).withColumn("truth", F.try_element_at("_assistant", F.lit(1)))
+    return P.add_object(chosen, "truth", "_truth").select(
+        *records.columns,
+        "truth",
+        "system_texts",
+        clean_prompt(F.try_element_at("_user", F.lit(1))).alias("prompt"),
+        F.when(F.size("_assistant") == 0, F.lit("record has no assistant ground-truth message"))
+        .when(F.col("_truth").isNull(), F.lit("assistant ground truth must be a JSON object"))
+        .when(F.size("_user") == 0, F.lit("record has no user message"))
         .alias("record_error"),
     )
 
@@ -80,8 +82,8 @@ def pick_roles_by_turn(turns: DataFrame) -> DataFrame:
 def request_batch(
     records: DataFrame, model: str, max_tokens: int = K.REQUEST_MAX_TOKENS
 ) -> DataFrame:
-    """One chat-completion request text per record, for an external batch runner. The
-    image stays a reference; data_url() of the content replaces it where bytes exist."""
+    """One chat-completion request text per record, for an external batch runner; a
+    record without truth or prompt keeps its row with an error instead. The image stays a reference; data_url() of the content replaces it where bytes exist."""
     picked = pick_roles(records)
     system = F.transform("system_texts", lambda text: F.to_json(F.struct(F.lit("system").alias("role"), text.alias("content"))))
     part_text = F.struct(F.lit("text").alias("type"), F.col("prompt").alias("text"))
@@ -98,7 +100,7 @@ def request_batch(
         P.per_side(F.col("side"), SIDE_TEMPLATES, lambda t: F.lit(_format_text(t))),
         F.lit("}"),
     )
-    return picked.filter(F.col("record_error").isNull()).select("csv_row", "side", body.alias("request"))
+    return picked.select("csv_row", "side", F.when(F.col("record_error").isNull(), body).alias("request"), "record_error")
 
 
 def _format_text(template: P.Template) -> str:
@@ -110,21 +112,24 @@ def _format_text(template: P.Template) -> str:
 
 def reply_texts(replies: DataFrame, body: str = "body") -> DataFrame:
     """Adds content and refusal for raw chat replies."""
-    parsed = replies.withColumn("_reply", P.json_value(F.col(body)))
-    return parsed.select(
+    reply = F.col("_reply")
+    return P.add_value(replies, F.col(body), "_reply").select(
         *replies.columns,
-        F.when(F.col("_reply").isNotNull(), P.reply_text(F.col("_reply"))).alias("content"),
-        P.refusal_text(F.col("_reply")).alias("refusal"),
+        F.when(reply.isNotNull(), P.reply_text(reply, F.col(body))).alias("content"),
+        P.refusal_text(reply).alias("refusal"),
     )
 
 
 def parse_replies(texts: DataFrame, content: str = "content") -> DataFrame:
     """Adds predicted_text (strict JSON object after fence removal) and parse_error."""
-    return texts.withColumn("_body", P.unfence(F.col(content))).select(
+    bare = texts.withColumn("_body", P.unfence(F.col(content)))
+    value = F.col("_value")
+    is_object = F.col("_body").startswith("{")
+    return P.add_value(bare, F.col("_body"), "_value").select(
         *texts.columns,
-        F.when(P.json_object(F.col("_body")).isNotNull(), F.col("_body")).alias("predicted_text"),
-        F.when(P.json_value(F.col("_body")).isNull(), F.lit(_NOT_JSON))
-        .when(~F.col("_body").startswith("{"), F.lit(_NOT_AN_OBJECT))
+        F.when(value.isNotNull() & is_object, F.col("_body")).alias("predicted_text"),
+        F.when(F.col("_body").isNotNull() & value.isNull(), F.lit(_NOT_JSON))
+        .when(~is_object, F.lit(_NOT_AN_OBJECT))
         .alias("parse_error"),
     )
 
@@ -133,36 +138,46 @@ def parse_replies_tolerant(replies: DataFrame, body: str = "body") -> DataFrame:
     """Adds payload_text and parse_error for raw chat replies: a refusal is an error,
     the parsed member counts only when the text is blank, prose around the first
     balanced object is ignored."""
-    read = replies.withColumn("_reply", P.json_value(F.col(body)))
-    texts = read.select(
+    reply = F.col("_reply")
+    kind = P.type_of(P.at(P.message_of(reply), "content"))
+    plain = F.when(kind.isin("STRING", "ARRAY"), P.reply_text(reply, F.col(body))).otherwise(F.lit(""))
+    read = P.add_value(replies, F.col(body), "_reply").select(
         *replies.columns,
-        P.refusal_text(F.col("_reply")).alias("_refusal"),
-        P.tolerant_body(_plain_text(F.col("_reply"))).alias("_text"),
-        P.parsed_text(F.col("_reply")).alias("_parsed"),
+        reply.isNull().alias("_unreadable"),
+        P.refusal_text(reply).alias("_refusal"),
+        P.tolerant_body(plain).alias("_text"),
+        P.parsed_text(F.col(body)).alias("_parsed"),
     )
-    cut = texts.withColumn("_object", P.first_json_object(F.col("_text")))
-    blank = F.coalesce(F.col("_text"), F.lit("")) == ""
-    from_text = P.json_object(F.col("_object")).isNotNull()
-    return cut.select(
+    cut = read.withColumn("_object", strip(P.first_json_object(F.col("_text"))))
+    blank = F.col("_text") == ""
+    value = F.col("_value")
+    is_object = F.col("_object").startswith("{")
+    return P.add_value(cut, F.col("_object"), "_value").select(
         *replies.columns,
-        F.when(F.col("_refusal").isNull(), F.when(blank, F.col("_parsed")).when(from_text, strip(F.col("_object")))).alias(
-            "payload_text"
-        ),
-        F.when(F.col("_refusal").isNotNull(), F.concat(F.lit("model refused request: "), F.col("_refusal")))
+        F.when(F.col("_unreadable") | F.col("_refusal").isNotNull(), F.lit(None))
+        .when(blank, F.col("_parsed"))
+        .when(value.isNotNull() & is_object, F.col("_object"))
+        .alias("payload_text"),
+        F.when(F.col("_unreadable"), F.lit("model returned invalid response JSON"))
+        .when(F.col("_refusal").isNotNull(), F.concat(F.lit("model refused request: "), F.col("_refusal")))
         .when(blank & F.col("_parsed").isNull(), F.lit("model returned empty content"))
-        .when(~blank & P.json_value(F.col("_object")).isNull(), F.lit("model returned invalid JSON"))
-        .when(~blank & ~from_text, F.lit("model JSON response must be an object"))
+        .when(~blank & value.isNull(), F.lit("model returned invalid JSON"))
+        .when(~blank & ~is_object, F.lit("model JSON response must be an object"))
         .alias("parse_error"),
     )
 
 
-def _plain_text(reply: Column) -> Column:
-    """String or joined text parts, without the fallback to the parsed member."""
-    kind = P.type_of(P.at(P.message_of(reply), "content"))
-    return F.when(kind.isin("STRING", "ARRAY"), P.reply_text(reply)).otherwise(F.lit(""))
+# --- scores -------------------------------------------------------------------------
 
 
-# --- scores -------------------------------------------------------------------------
+def _level_maps(text: str, template: P.Template) -> list[Column]:
+    """Members of every object of the template, as maps from key to text."""
+    maps: dict[str, Column] = {}
+    for level in P.levels(template):
+        parent, _, key = level.path.rpartition(".")
+        source = F.col(text) if not level.path else F.try_element_at(maps[parent], F.lit(key))
+        maps[level.path] = F.from_json(source, "map<string,string>")
+    return list(maps.values())
 
 
 def score_fields(
@@ -173,40 +188,56 @@ def score_fields(
 ) -> DataFrame:
     """Adds field_matches, matched_fields, total_fields, field_accuracy, exact_match.
 
-    Python spells both sides canonically, once per row; the comparison itself is one
-    projection. A missing path equals null, whole objects are compared with their keys.
+    Python spells both sides canonically, once per row; the comparison itself is a
+    projection over key lists. A missing path equals null; whole objects are compared
+    with their keys.
     """
-    spelled = pairs.withColumn("_want", canonical_json(F.col(expected))).withColumn(
-        "_got", canonical_json(F.col(predicted))
+    side = F.col("side")
+
+    def maps(text: str) -> Column:
+        return P.per_side(side, templates, lambda t: F.array(*_level_maps(text, t)))
+
+    def over_fields(build) -> Column:
+        def per_template(template: P.Template) -> Column:
+            # A Python default argument would count as a lambda parameter here.
+            def piece(i: int, level: P.Level) -> Column:
+                return F.transform(P.texts(level.free), lambda key: build(i, key))
+
+            return F.concat(*[piece(i, level) for i, level in enumerate(P.levels(template)) if level.free])
+
+        return P.per_side(side, templates, per_template)
+
+    spelled = (
+        pairs.withColumn("_want", canonical_json(F.col(expected)))
+        .withColumn("_got", canonical_json(F.col(predicted)))
+        .withColumn("_want_maps", maps("_want"))
+        .withColumn("_got_maps", maps("_got"))
     )
     readable = F.col("_got").startswith("{")
 
-    def matches(template: P.Template) -> Column:
-        schema = P.template_struct(template).simpleString()
-        want, got = F.from_json("_want", schema), F.from_json("_got", schema)
-        shown_want, shown_got = P.json_value(F.col(expected)), P.json_value(F.col(predicted))
-        entries = []
-        for path in P.leaf_paths(template):
-            left, right = want, got
-            for step in path.split("."):
-                left, right = left[step], right[step]
-            entries += [
-                F.lit(path),
-                F.struct(
-                    P.text_at(shown_want, path).alias("expected"),
-                    P.text_at(shown_got, path).alias("predicted"),
-                    left.eqNullSafe(right).alias("match"),
-                ),
-            ]
-        return F.create_map(*entries)
-
-    side = F.col("side")
-    scored = spelled.withColumn("field_matches", F.when(readable, P.per_side(side, templates, matches)))
-    hits = F.size(F.filter(F.map_values("field_matches"), lambda item: item["match"]))
+    def same(i: int, key: Column) -> Column:
+        want, got = F.get("_want_maps", F.lit(i)), F.get("_got_maps", F.lit(i))
+        return F.try_element_at(want, key).eqNullSafe(F.try_element_at(got, key))
+
+    def shown(i: int, key: Column) -> Column:
+        want, got = F.get("_want_shown", F.lit(i)), F.get("_got_shown", F.lit(i))
+        return F.struct(
+            F.try_element_at(want, key).alias("expected"),
+            F.try_element_at(got, key).alias("predicted"),
+            same(i, key).alias("match"),
+        )
+
+    # The shown values are the recorded ones, not their comparison spelling.
+    scored = (
+        spelled.withColumn("_want_shown", maps(expected))
+        .withColumn("_got_shown", maps(predicted))
+        .withColumn("_hits", over_fields(same))
+    )
+    paths = P.per_side(side, templates, lambda t: P.texts(P.leaf_paths(t)))
     return scored.select(
         *pairs.columns,
-        "field_matches",
-        F.when(readable, hits).otherwise(0).cast("bigint").alias("matched_fields"),
+        F.when(readable, F.map_from_arrays(paths, over_fields(shown))).alias("field_matches"),
+        F.when(readable, F.size(F.filter("_hits", lambda hit: hit))).otherwise(0).cast("bigint").alias("matched_fields"),
         P.per_side(side, templates, lambda t: F.lit(len(P.leaf_paths(t)))).cast("bigint").alias("total_fields"),
         F.coalesce(readable & (F.col("_want") == F.col("_got")), F.lit(False)).alias("exact_match"),
     ).withColumn("field_accuracy", ratio(F.col("matched_fields"), F.col("total_fields")))
@@ -216,32 +247,30 @@ def check_schema(
     parsed: DataFrame, templates: dict[str, P.Template] = SIDE_TEMPLATES, text: str = "predicted_text"
 ) -> DataFrame:
     """Adds schema_errors, NULL where there is no payload to check."""
-    checked = P.per_side(F.col("side"), templates, lambda t: P.schema_errors(F.col("_value"), t))
-    return (
-        parsed.withColumn("_value", P.json_value(F.col(text)))
-        .withColumn("schema_errors", F.when(F.col("_value").isNotNull(), checked))
-        .drop("_value")
+    value = F.col("_value")
+    checked = P.per_side(F.col("side"), templates, lambda t: P.schema_errors(value, t))
+    return P.add_value(parsed, F.col(text), "_value").select(
+        *parsed.columns, F.when(value.isNotNull(), checked).alias("schema_errors")
     )
 
 
 def key_diff(pairs: DataFrame, expected: str = "expected_text", predicted: str = "predicted_text") -> DataFrame:
-    """Adds missing_keys and extra_keys of the top level and of fields."""
-
-    def keys(text: str, path: str) -> Column:
-        return F.map_keys(P.members(P.at(P.json_value(F.col(text)), path)))
+    """Adds missing and extra keys of the top level and of fields."""
+    read = P.add_value(P.add_value(pairs, F.col(expected), "_want"), F.col(predicted), "_got")
 
-    def level(path: str) -> tuple[Column, Column]:
-        want, got = keys(expected, path), keys(predicted, path)
-        return P.missing_keys(want, got), P.missing_keys(got, want)
+    def keys(value: str, path: str) -> Column:
+        return F.map_keys(P.members(P.at(F.col(value), path)))
 
-    top_missing, top_extra = level("")
-    field_missing, field_extra = level("fields")
-    return pairs.select(
-        "*",
-        top_missing.alias("missing_keys"),
-        top_extra.alias("extra_keys"),
-        field_missing.alias("missing_fields"),
-        field_extra.alias("extra_fields"),
+    found = read.select(
+        *pairs.columns,
+        *[keys(value, path).alias(f"{value}_{path}") for value in ("_want", "_got") for path in ("", "fields")],
+    )
+    return found.select(
+        *pairs.columns,
+        P.missing_keys(F.col("_want_"), F.col("_got_")).alias("missing_keys"),
+        P.missing_keys(F.col("_got_"), F.col("_want_")).alias("extra_keys"),
+        P.missing_keys(F.col("_want_fields"), F.col("_got_fields")).alias("missing_fields"),
+        P.missing_keys(F.col("_got_fields"), F.col("_want_fields")).alias("extra_fields"),
     )
 
 

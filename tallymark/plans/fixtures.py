@@ -6,6 +6,7 @@ start from the same rows. Inputs that need an ordered scan are built with operat
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -320,7 +321,7 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     for needed in NEEDS.get(name, ()):
         load(spark, folder, needed).createOrReplaceTempView(needed)
     for base in TABLES:
-        if base in FIXTURES[name]:
+        if re.search(rf"FROM {base}\b", FIXTURES[name]):
             table(spark, folder, base).createOrReplaceTempView(base)
     return spark.sql(FIXTURES[name])
 

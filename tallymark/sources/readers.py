@@ -9,13 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymark.functions import ship_by_value
+from tallymark.functions import once_per_row, ship_by_value
 from tallymark.operators.labels import LABEL_COLUMNS
 
-TABLES = (
-    "region nation customer supplier part orders lineitem events documents "
-    "embeddings pages benchmark labels conversations"
-).split()
+TABLE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+TABLES = tuple(TABLE_SCHEMAS)
 
 REPORT_SCHEMA = (
     "model string, endpoint string, num_requests bigint, successful bigint, avg_latency_s double, "
@@ -31,7 +44,8 @@ ship_by_value(__name__)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A driver table under its known schema, so that no file is opened to plan."""
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def with_ordinal(rows: DataFrame, name: str, first: int) -> DataFrame:
@@ -127,7 +141,7 @@ def _yaml_loader():
     return yaml.safe_load
 
 
-@F.arrow_udf(T.StringType())
+@once_per_row(T.StringType())
 def _yaml_as_json(values: pa.Array) -> pa.Array:
     load = _yaml_loader()
     return pa.array([None if text is None else json.dumps(load(text), default=str) for text in values.to_pylist()])
