@@ -188,7 +188,10 @@ def leaf_paths(template: Template) -> list[str]:
 
 
 def texts(values: list[str]) -> Column:
-    return F.array(*[F.lit(value) for value in values]).cast("array<string>")
+    """Constant array of texts, built in one call."""
+    spelled = [value.replace("\\", "\\\\").replace("'", "\\'") for value in values]
+    items = ", ".join(f"'{value}'" for value in spelled)
+    return F.expr(f"cast(array({items}) AS array<string>)")
 
 
 def missing_keys(expected: Column, actual: Column) -> Column:

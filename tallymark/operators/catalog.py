@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark import constants as K
+from tallymark.functions.payload import texts
 from tallymark.functions.text import strip
 from tallymark.operators.skew import lookup_join
 
 
 def _empty() -> Column:
-    return F.array().cast("array<string>")
+    return texts([])
 
 
 def _filled(name: str) -> Column:
@@ -43,7 +44,7 @@ def targets_of() -> Column:
 
 def add_quantization(entries: DataFrame, quantization: str) -> DataFrame:
     """Effect of a conversion: one more quantisation and the converted targets."""
-    added = F.array(*[F.lit(target) for target in K.CONVERTED_TARGETS])
+    added = texts(list(K.CONVERTED_TARGETS))
     return entries.withColumn(
         "quantizations", _append(F.coalesce("quantizations", _empty()), F.array(F.lit(quantization)))
     ).withColumn("serving_targets", _append(F.coalesce("serving_targets", _empty()), added))
@@ -58,7 +59,7 @@ def allowed_targets(fmt: Column) -> Column:
     table is configuration of three rows, so it is part of the expression."""
     result = F
     for name, targets in K.FORMAT_TARGETS.items():
-        result = result.when(fmt == name, F.array(*[F.lit(target) for target in targets]))
+        result = result.when(fmt == name, texts(list(targets)))
     return result
 
 
@@ -193,7 +194,7 @@ def check_bindings(bindings: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
     def blank(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit("")) == ""
+        return F.coalesce(F.col(name).cast("string"), F.lit("")) == ""
 
     runtime, kind = F.col("runtime"), F.coalesce(F.col("model_type"), F.lit("None"))
     error = (

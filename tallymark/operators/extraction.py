@@ -16,7 +16,7 @@ def _listed(keys: Column) -> Column:
 
 
 def _unexpected(value: Column, specs: list[FieldSpec], lead: str) -> Column:
-    declared = F.array(*[F.lit(spec["field_key"]) for spec in specs]).cast("array<string>")
+    declared = P.texts([spec["field_key"] for spec in specs])
     extra = P.missing_keys(F.map_keys(P.members(value)), declared)
     return F.when(F.size(extra) > 0, F.concat(F.lit(f"{lead} contains unexpected keys: "), _listed(extra)))
 
@@ -116,7 +116,7 @@ def normalize_extracted(
 
 def _has_keys(value: Column, keys: tuple[str, ...]) -> Column:
     found = F.array_sort(F.map_keys(P.members(value)))
-    return F.coalesce(found == F.array(*[F.lit(key) for key in sorted(keys)]), F.lit(False))
+    return F.coalesce(found == P.texts(sorted(keys)), F.lit(False))
 
 
 def _items(value: Column, key: str) -> Column:
@@ -174,14 +174,17 @@ def check_unknown(payloads: DataFrame, text: str = "payload_text") -> DataFrame:
 
 
 def emit_documents(documents: DataFrame) -> DataFrame:
-    """One JSON text per extracted document; null field values stay visible. The data
-    is put in as text, since a VARIANT would not keep the declared key order."""
+    """One JSON text per extracted document; null field values stay visible. A rejected
+    document keeps its row, with its error and no text. The data is put in as text,
+    since a VARIANT would not keep the declared key order."""
     head = F.to_json(
         F.struct("document_code", "group_name", "document_name", "page_order", "duplicate_pages"), P.KEPT_NULLS
     )
-    opened = F.left(head, F.length(head) - 1)
-    return documents.filter(F.col("extraction_error").isNull()).select(
+    return documents.withColumn("_head", head).select(
         "file_id",
         "doc_no",
-        F.concat(opened, F.lit(',"extracted_data":'), F.col("extracted_data"), F.lit("}")).alias("document"),
+        F.concat(
+            F.left("_head", F.length("_head") - 1), F.lit(',"extracted_data":'), F.col("extracted_data"), F.lit("}")
+        ).alias("document"),
+        "extraction_error",
     )

@@ -48,14 +48,15 @@ def rows_of(columns, rows):
 def kind(name: str) -> str:
     name = name.lower()
     for short, words in {
-        "int": ("bigint", "int", "long"),
+        "long": ("bigint",),
+        "int": ("int",),
         "text": ("varchar", "string"),
         "float": ("double", "float", "decimal"),
         "bool": ("bool",),
         "time": ("timestamp",),
     }.items():
         if any(word in name for word in words):
-            return name if short == "int" else short
+            return short
     return name
 
 
@@ -72,9 +73,7 @@ def compare(df, connection, sql) -> list[str]:
     types = {item[0]: kind(str(item[1])) for item in cursor.description}
     for name, spark_type in df.dtypes:
         other = types.get(name, "")
-        if kind(spark_type).replace("int", "integer") != other.replace("int", "integer") and not (
-            "num" in other or other == kind(spark_type)
-        ):
+        if kind(spark_type) != other:
             problems.append(f"type of {name}: {spark_type} vs {other}")
     if len(got) != len(want):
         problems.append(f"rows {len(got)} vs {len(want)}")
