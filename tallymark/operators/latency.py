@@ -40,7 +40,7 @@ def run_summary(requests: DataFrame, keys: list[str]) -> DataFrame:
 
 def number_requests(requests: DataFrame, keys: list[str], sent: str, tie: str) -> DataFrame:
     """Adds request_id 1..N per run in send order; long runs are cut by the hour."""
-    return sequence_number(requests, keys, [sent, tie], F.date_trunc("hour", F.col(sent)), "request_id")
+    return sequence_number(requests, keys, [sent, tie], "request_id")
 
 
 def run_report(reports: DataFrame) -> DataFrame:

@@ -280,12 +280,12 @@ def eval_details(truth: DataFrame, replies: DataFrame, inventory: DataFrame | No
     truth: line_number, side, image, expected_text; replies: side, line_number,
     http_status, body, latency_s. A failed record keeps its fields in the denominator.
     """
-    paired = truth.join(replies, ["side", "line_number"], "left")
-    if inventory is not None:
-        known = inventory.select(F.col("name").alias("image"), F.lit(True).alias("_known")).distinct()
-        paired = lookup_join(paired, known, ["image"], ["side", "line_number"])
+    if inventory is None:
+        listed = truth.withColumn("_known", F.lit(True))
     else:
-        paired = paired.withColumn("_known", F.lit(True))
+        known = inventory.select(F.col("name").alias("image"), F.lit(True).alias("_known")).distinct()
+        listed = lookup_join(truth, known, ["image"], ["side", "line_number"])
+    paired = listed.join(replies, ["side", "line_number"], "left")
     http_ok = F.coalesce(F.col("http_status") < 400, F.lit(False))
     usable = F.col("_known") & http_ok
     read = reply_texts(paired.withColumn("_reply_body", F.when(usable, F.col("body"))), "_reply_body")

@@ -69,23 +69,40 @@ def lookup_join(
     return spread.join(copies, [*keys, "_part"], how).drop("_part")
 
 
-def _slice_order(order: list[str]) -> list[Column]:
-    return [F.col(name) for name in order]
+_MICRO = 1_000_000
+
+
+def with_time_slices(df: DataFrame, keys: list[str], time: str, width_s: int) -> DataFrame:
+    """Adds _slice, the start (microseconds) of the row's time slice within its key.
+
+    Slices are `width_s` long; one that holds more rows than a task should take is cut
+    into equally long parts. Slice starts never fall along the time. The table of cut
+    slices has at most (rows / rows per task) rows, so it may be broadcast.
+    """
+    width = width_s * _MICRO
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    coarse = df.withColumn("_us", micros).withColumn("_coarse", (F.floor(F.col("_us") / width) * width).cast("bigint"))
+    cut = hot_keys(coarse, [*keys, "_coarse"])
+    part = (F.lit(width) / F.coalesce(F.col("_parts"), F.lit(1))).cast("bigint")
+    joined = coarse.join(F.broadcast(cut), [*keys, "_coarse"], "left")
+    start = F.col("_coarse") + F.floor((F.col("_us") - F.col("_coarse")) / part) * part
+    return joined.select(*df.columns, start.cast("bigint").alias("_slice"))
 
 
 def running_sum(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    slice_of: Column,
     sums: dict[str, Column],
+    width_s: int = 3600,
 ) -> DataFrame:
-    """Inclusive running sums per key in the given order.
+    """Inclusive running sums per key; order[0] is a time, the rest breaks ties.
 
-    `slice_of` must not fall along the order. A window covers one (key, slice); the
-    totals of earlier slices arrive by a join on the same columns.
+    A window covers one time slice of a key; the totals of earlier slices arrive by a
+    join on the same columns, so nothing is partitioned by the key alone but one row
+    per slice.
     """
-    sliced = df.withColumn("_slice", slice_of)
+    sliced = with_time_slices(df, keys, order[0], width_s)
     totals = sliced.groupBy(*keys, "_slice").agg(
         *[F.sum(value).alias(f"_total_{name}") for name, value in sums.items()]
     )
@@ -97,42 +114,39 @@ def running_sum(
     )
     inside = (
         Window.partitionBy(*keys, "_slice")
-        .orderBy(*_slice_order(order))
+        .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = sliced.select("*", *[F.sum(value).over(inside).alias(f"_local_{name}") for name, value in sums.items()])
-    joined = local.join(carry, [*keys, "_slice"])
-    return joined.select(
+    return local.join(carry, [*keys, "_slice"]).select(
         *df.columns,
         *[(F.col(f"_local_{name}") + F.col(f"_carry_{name}")).alias(name) for name in sums],
     )
 
 
-def sequence_number(
-    df: DataFrame, keys: list[str], order: list[str], slice_of: Column, name: str = "row_no"
-) -> DataFrame:
-    """1, 2, 3, ... per key in the given order."""
-    return running_sum(df, keys, order, slice_of, {name: F.lit(1).cast("bigint")})
+def sequence_number(df: DataFrame, keys: list[str], order: list[str], name: str, width_s: int = 3600) -> DataFrame:
+    """1, 2, 3, ... per key in the given order (time first)."""
+    return running_sum(df, keys, order, {name: F.lit(1).cast("bigint")}, width_s)
 
 
 def previous_value(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    slice_of: Column,
     values: dict[str, str],
+    width_s: int = 3600,
 ) -> DataFrame:
-    """Columns of the row before, per key; NULL on the first row of a key."""
-    sliced = df.withColumn("_slice", slice_of)
+    """Columns of the row before, per key (time first in the order); NULL on the first
+    row of a key. The first row of a slice takes the last row of the slice before."""
+    sliced = with_time_slices(df, keys, order[0], width_s)
     picked = F.struct(*[F.col(source).alias(name) for name, source in values.items()])
     last = sliced.groupBy(*keys, "_slice").agg(F.max_by(picked, F.struct(*order)).alias("_last"))
     carry = last.select(
         *keys, "_slice", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_carry")
     )
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*_slice_order(order))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     local = sliced.select("*", F.lag(picked).over(inside).alias("_local"))
-    joined = local.join(carry, [*keys, "_slice"])
-    return joined.select(
+    return local.join(carry, [*keys, "_slice"]).select(
         *df.columns,
         *[F.coalesce(F.col("_local"), F.col("_carry"))[name].alias(name) for name in values],
     )
@@ -142,5 +156,5 @@ def first_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFra
     """First n rows per key: tasks keep their own first n before anything moves."""
     if n < 1:
         return df.limit(0)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*_slice_order(order)))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")

@@ -22,7 +22,6 @@ from tallymark.functions.exposition import (
 from tallymark.functions.text import number_or_zero
 from tallymark.operators.skew import previous_value
 
-SLICE_SECONDS = 3600
 _MICRO = 1_000_000
 
 
@@ -72,8 +71,7 @@ def counter_windows(samples: DataFrame, series: list[str], step: int, reach: int
     rest is one aggregation whose parts merge, so a busy series is combined before the
     shuffle.
     """
-    slice_of = F.floor(_micros() / (SLICE_SECONDS * _MICRO))
-    chained = previous_value(samples, series, ["ts"], slice_of, {"_before": "value"})
+    chained = previous_value(samples, series, ["ts"], {"_before": "value"})
     reset = F.when(F.col("value") < F.col("_before"), F.col("_before")).otherwise(F.lit(0.0))
     return (
         on_grid(chained.withColumn("_reset", reset), step, reach)

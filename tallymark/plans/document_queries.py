@@ -69,9 +69,10 @@ def ordered_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unique_check(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts that occur more than once in a language."""
-    repeated = G.duplicate_keys(table(spark, folder, "documents"), ["lang"], "text")
-    return repeated.select("lang", F.md5("text").alias("text_md5"), "uses")
+    """Texts that occur more than once in a language; a digest stands for the text, so
+    whole texts are read but not moved."""
+    texts = table(spark, folder, "documents").select("lang", F.sha2("text", 256).alias("text_digest"))
+    return G.duplicate_keys(texts, ["lang"], "text_digest")
 
 
 def schema_paths(spark: SparkSession, folder: str) -> DataFrame:
@@ -300,7 +301,7 @@ FROM lap l JOIN firsts f ON l.file_id = f.file_id AND l.doc_no = f.doc_no GROUP
 SELECT w.file_id, w.doc_no, cast(w.position AS int) AS position, cast(w.page_number AS int) AS page_number, c.role, cast(length(c.text) AS int) AS chars,
  CASE WHEN c.conv_id IS NULL THEN 'page_order references missing page ' || cast(w.page_number AS varchar) END AS error
 FROM w LEFT JOIN conversations c ON c.conv_id = w.file_id AND c.turn + 1 = w.page_number""",
-    "unique_check": "SELECT lang, md5(text) AS text_md5, count(*) AS uses FROM documents GROUP BY lang, text HAVING count(*) > 1",
+    "unique_check": "SELECT lang, sha256(text) AS text_digest, count(*) AS uses FROM documents GROUP BY lang, text HAVING count(*) > 1",
     "schema_paths": f"""{with_clause('f_fields')} SELECT group_code, {_PATH} AS path, CASE WHEN data_type IN ('number', 'boolean', 'array') THEN data_type ELSE 'string' END AS json_type,
  nullable, coalesce(description, field_name) AS description FROM f_fields""",
     "schema_def_check": _DEF_SQL,

@@ -340,7 +340,7 @@ def counters(spark: SparkSession, folder: str) -> DataFrame:
     """Counter per metric and instance that starts again every day."""
     base = timed(load(spark, folder, "f_metrics"))
     summed = running_sum(
-        base, ["metric", "instance", "day"], ["ts", "event_id"], F.date_trunc("hour", "ts"), {"counter": F.col("cents")}
+        base, ["metric", "instance", "day"], ["ts", "event_id"], {"counter": F.col("cents")}
     )
     return summed.select("metric", "instance", "ts", (F.col("counter") / 100.0).alias("value"))
 
@@ -356,7 +356,6 @@ def bucket_counters(spark: SparkSession, folder: str) -> DataFrame:
         base,
         ["metric", "instance", "day"],
         ["ts", "event_id"],
-        F.date_trunc("hour", "ts"),
         {f"le_{i}": inside(bound).cast("bigint") for i, bound in enumerate(BUCKETS)},
     )
     pairs = F.array(

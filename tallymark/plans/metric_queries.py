@@ -36,19 +36,13 @@ def request_sequence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _reports(spark: SparkSession, folder: str) -> DataFrame:
-    """One report file per model and day, scanned back by the report reader."""
+    """One report per model and day, written as JSON and scanned back."""
     summary = L.run_summary(_bench(spark, folder), ["model", "run_day"])
-    day = F.date_format("run_day", "yyyyMMdd")
-    report = F.struct(
-        "model", "num_requests", "successful", "avg_latency_s", "min_latency_s", "max_latency_s",
-        F.concat(F.col("run_day").cast("string"), F.lit("T00:00:00")).alias("timestamp"),
-    )
+    name = F.concat(F.lit("benchmark_"), "model", F.lit("_"), F.date_format("run_day", "yyyyMMdd"), F.lit(".json"))
+    stamp = F.concat(F.col("run_day").cast("string"), F.lit("T00:00:00"))
     out = new_shared_path(spark, "reports")
-    W.write_lines(summary.select(F.to_json(report).alias("line"), F.concat("model", F.lit("_"), day).alias("run")), out, by=["run"])
-    # Spark names the files inside each run's folder; the folder is the report's name.
-    schema = R.REPORT_SCHEMA + ", run string"
-    reports = spark.read.schema(schema).option("basePath", out).json(out)
-    return reports.withColumn("file_name", F.concat(F.lit("benchmark_"), F.col("run"), F.lit(".json"))).drop("run")
+    summary.select(name.alias("file_name"), stamp.alias("timestamp"), "model", *J.LATENCY_COLUMNS).write.json(out)
+    return spark.read.schema(R.REPORT_SCHEMA + ", file_name string").json(out)
 
 
 def run_report(spark: SparkSession, folder: str) -> DataFrame:

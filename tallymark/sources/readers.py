@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions import once_per_row, ship_by_value
 from tallymark.operators.labels import LABEL_COLUMNS
+from tallymark.session import new_shared_path
 
 TABLE_SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -48,27 +49,31 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
+# Offsets are three numbers per file block; up to this many may be broadcast.
+MAX_BROADCAST_BLOCKS = 1_000_000
+
+
 def with_ordinal(rows: DataFrame, name: str, first: int) -> DataFrame:
     """Dense row ordinal per file, starting at `first`.
 
     rows carry _file, _block (start of the file block a task read) and _row (row order
     inside the task). Each block's rows are consecutive there, so an ordinal is the
-    rows of the file's earlier blocks plus the place inside the block; only one line
-    per block is shuffled for that.
+    rows of the file's earlier blocks plus the place inside the block. The offsets, one
+    line per block, are written once; their number decides how they are joined.
     """
-    from pyspark.sql import Window
-
-    blocks = rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_start"))
-    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(
-        "_file", "_block", "_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
-    )
-    numbered = rows.join(offsets, ["_file", "_block"])
+    spark = rows.sparkSession
+    at = ["_file_key", "_block"]
+    placed = rows.withColumn("_file_key", F.xxhash64("_file"))
+    blocks = placed.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_start"))
+    earlier = Window.partitionBy("_file_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    path = new_shared_path(spark, "offsets")
+    blocks.select(*at, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_start") + first).alias("_add")).write.parquet(path)
+    offsets = spark.read.schema("_file_key bigint, _block bigint, _add bigint").parquet(path)
+    if offsets.count() <= MAX_BROADCAST_BLOCKS:
+        offsets = F.broadcast(offsets)
     others = [column for column in rows.columns if column not in ("_file", "_block", "_row")]
-    return numbered.select(
-        F.col("_file").alias("file_name"),
-        (F.col("_before") + F.col("_row") - F.col("_start") + first).alias(name),
-        *others,
+    return placed.join(offsets, at).select(
+        F.col("_file").alias("file_name"), (F.col("_row") + F.col("_add")).alias(name), *others
     )
 
 
