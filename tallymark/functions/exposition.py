@@ -37,23 +37,26 @@ _LINE = r'^([a-zA-Z_:][a-zA-Z0-9_:]*)(\{(?:[^"{}]|"(?:\\.|[^"\\])*")*\})?\s+(\S+
 _PAIR = r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:\\.|[^"\\])*)"'
 
 
-def is_sample(line: Column) -> Column:
-    return line.rlike(_LINE)
+def line_parts(line: Column) -> Column:
+    """Metric, value, time and label block of a sample line, from one match; an array of
+    one text when the line is no sample. Labels come last, they may hold anything."""
+    return F.split(F.regexp_replace(line, _LINE, "$1\x01$3\x01$4\x01$2"), "\x01", 4)
 
 
-def metric_name(line: Column) -> Column:
-    return F.regexp_extract(line, _LINE, 1)
+def is_sample(parts: Column) -> Column:
+    return F.size(parts) == 4
 
 
-def label_map(line: Column) -> Column:
-    block = F.regexp_extract(line, _LINE, 2)
+def label_map(parts: Column) -> Column:
+    block = F.get(parts, F.lit(3))
     names = F.regexp_extract_all(block, F.lit(_PAIR), F.lit(1))
     values = F.regexp_extract_all(block, F.lit(_PAIR), F.lit(2))
-    return F.map_from_arrays(names, F.transform(values, unescape_label))
+    plain = F.transform(values, lambda value: F.when(value.contains("\\"), unescape_label(value)).otherwise(value))
+    return F.map_from_arrays(names, plain)
 
 
-def sample_value(line: Column) -> Column:
-    text = F.regexp_extract(line, _LINE, 3)
+def sample_value(parts: Column) -> Column:
+    text = F.get(parts, F.lit(1))
     return (
         F.when(F.lower(text).isin("+inf", "inf"), F.lit(float("inf")))
         .when(F.lower(text) == "-inf", F.lit(float("-inf")))
@@ -61,5 +64,5 @@ def sample_value(line: Column) -> Column:
     )
 
 
-def sample_time_ms(line: Column) -> Column:
-    return F.nullif(F.regexp_extract(line, _LINE, 4), F.lit("")).cast("bigint")
+def sample_time_ms(parts: Column) -> Column:
+    return F.nullif(F.get(parts, F.lit(2)), F.lit("")).try_cast("bigint")

@@ -48,7 +48,18 @@ def add_object(df: DataFrame, text: str, name: str) -> DataFrame:
 
 def type_of(value: Column) -> Column:
     """STRING, BIGINT, DOUBLE, DECIMAL, BOOLEAN, VOID, ARRAY, OBJECT; NULL when absent."""
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
+
+
+def member_types(value: Column) -> Column:
+    """Type of every member of an object as a map; NULL when the value is no object."""
+    return F.transform_values(members(value), lambda _, member: type_of(member))
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, for places that have no column to put
+    it in (the inside of a lambda)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def is_number(kind: Column) -> Column:
@@ -155,6 +166,21 @@ def tolerant_body(text: Column) -> Column:
 # --- templates: nested dicts whose leaves are None (text or null) or a constant ---
 
 
+def template_struct(template: Template) -> str:
+    """Struct of texts with the template's shape, as a schema text."""
+    parts = [
+        f"`{key}`: {template_struct(item) if isinstance(item, dict) else 'string'}" for key, item in template.items()
+    ]
+    return f"struct<{', '.join(parts)}>"
+
+
+def texts(values: list[str]) -> Column:
+    """Constant array of texts, built in one call."""
+    spelled = [value.replace("\\", "\\\\").replace("'", "\\'") for value in values]
+    items = ", ".join(f"'{value}'" for value in spelled)
+    return F.expr(f"cast(array({items}) AS array<string>)")
+
+
 class Level(NamedTuple):
     """One object of a template: its path and its keys by what they hold."""
 
@@ -187,53 +213,47 @@ def leaf_paths(template: Template) -> list[str]:
     return [level.child(key) for level in levels(template) for key in level.free]
 
 
-def texts(values: list[str]) -> Column:
-    """Constant array of texts, built in one call."""
-    spelled = [value.replace("\\", "\\\\").replace("'", "\\'") for value in values]
-    items = ", ".join(f"'{value}'" for value in spelled)
-    return F.expr(f"cast(array({items}) AS array<string>)")
-
-
 def missing_keys(expected: Column, actual: Column) -> Column:
     return F.array_sort(F.array_except(expected, actual))
 
 
-def _level_errors(value: Column, level: Level) -> Column:
+def level_types(value: Column, template: Template) -> Column:
+    """Member types at every object of the template (NULL where there is no object)."""
+    return F.array(*[member_types(at(value, level.path)) for level in levels(template)])
+
+
+def _level_errors(value: Column, types: Column, level: Level) -> Column:
     """Deviations at one object of the template. The rules run over key lists, so the
     expression does not grow with the number of fields."""
-    here = members(at(value, level.path))
-    found = F.map_keys(here)
+    found = F.map_keys(types)
     prefix = f"{level.path}." if level.path else ""
 
     def named(keys: Column, suffix: str) -> Column:
         return F.transform(keys, lambda key: F.concat(F.lit(prefix), key, F.lit(suffix)))
 
-    def kind(key: Column) -> Column:
-        return type_of(F.try_element_at(here, key))
-
     pieces = [
         named(missing_keys(texts(level.keys), found), " is missing"),
         named(missing_keys(found, texts(level.keys)), " is not allowed"),
     ]
     if level.free:
-        wrong = F.filter(texts(level.free), lambda key: ~kind(key).isin("STRING", "VOID"))
+        wrong = F.filter(texts(level.free), lambda key: ~F.try_element_at(types, key).isin("STRING", "VOID"))
         pieces.append(named(wrong, " must be string or null"))
     for key, constant in level.constants.items():
-        member = F.try_element_at(here, F.lit(key))
-        same = (type_of(member) == "STRING") & (F.try_variant_get(member, "$", "string") == constant)
-        wrong = F.array_contains(found, key) & ~same
-        pieces.append(F.when(wrong, texts([f"{level.child(key)} must equal {constant!r}"])).otherwise(texts([])))
-    # Below a member that is no object there is nothing to compare; its own level
-    # reports that, unless the member is absent, which the level above reports.
-    not_object = F.when(
-        type_of(at(value, level.path)).isNotNull(), texts([f"{level.path or '$'} must be an object"])
-    ).otherwise(texts([]))
-    return F.when(here.isNotNull(), F.concat(*pieces)).otherwise(not_object)
-
-
-def schema_errors(value: Column, template: Template) -> Column:
-    """Every deviation of a payload from its template, sorted."""
-    return F.array_sort(F.concat(*[_level_errors(value, level) for level in levels(template)]))
+        kind = F.try_element_at(types, F.lit(key))
+        same = (kind == "STRING") & (text_at(value, level.child(key)) == constant)
+        message = texts([f"{level.child(key)} must equal {constant!r}"])
+        pieces.append(F.when(kind.isNotNull() & ~same, message).otherwise(texts([])))
+    # An absent object is reported by the level above.
+    present = at(value, level.path).isNotNull()
+    not_object = F.when(present, texts([f"{level.path or '$'} must be an object"])).otherwise(texts([]))
+    return F.when(types.isNotNull(), F.concat(*pieces)).otherwise(not_object)
+
+
+def schema_errors(value: Column, types: Column, template: Template) -> Column:
+    """Every deviation of a payload from its template, sorted; types as level_types()
+    gives them."""
+    found = [_level_errors(value, F.get(types, F.lit(i)), level) for i, level in enumerate(levels(template))]
+    return F.array_sort(F.concat(*found))
 
 
 def per_side(side: Column, templates: dict[str, Template], build) -> Column:

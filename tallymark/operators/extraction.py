@@ -15,9 +15,9 @@ def _listed(keys: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(keys, quoted), ", "), F.lit("]"))
 
 
-def _unexpected(value: Column, specs: list[FieldSpec], lead: str) -> Column:
+def _unexpected(types: Column, specs: list[FieldSpec], lead: str) -> Column:
     declared = P.texts([spec["field_key"] for spec in specs])
-    extra = P.missing_keys(F.map_keys(P.members(value)), declared)
+    extra = P.missing_keys(F.map_keys(types), declared)
     return F.when(F.size(extra) > 0, F.concat(F.lit(f"{lead} contains unexpected keys: "), _listed(extra)))
 
 
@@ -25,11 +25,11 @@ def _member(value: Column, key: str) -> Column:
     return F.try_variant_get(value, f'$["{key}"]', "variant")
 
 
-def _field_error(value: Column, spec: FieldSpec) -> Column:
-    """First problem of one field value, NULL when it is fine."""
+def _field_error(value: Column, types: Column, spec: FieldSpec) -> Column:
+    """First problem of one field of an object with the given member types, NULL when
+    it is fine."""
     key, kind, nullable = spec["field_key"], spec["data_type"], spec.get("nullable", True)
-    actual = P.type_of(value)
-    absent = actual.isNull() | (actual == "VOID")
+    actual = F.try_element_at(types, F.lit(key))
     suffix = " or null" if nullable else ""
     expected = "string" if kind in ("string", "date") else kind
     fits = {
@@ -38,11 +38,11 @@ def _field_error(value: Column, spec: FieldSpec) -> Column:
         "boolean": actual == "BOOLEAN",
         "array": actual == "ARRAY",
     }[expected]
-    result = F.when(absent, F.lit(None if nullable else f"{key} must not be null").cast("string")).when(
-        ~fits, F.lit(f"{key} must be a {expected}{suffix}")
-    )
+    result = F.when(
+        actual.isNull() | (actual == "VOID"), F.lit(None if nullable else f"{key} must not be null").cast("string")
+    ).when(~fits, F.lit(f"{key} must be a {expected}{suffix}"))
     if kind == "array":
-        items = F.try_variant_get(value, "$", "array<variant>")
+        items = F.try_variant_get(_member(value, key), "$", "array<variant>")
         errors = F.array_compact(F.transform(items, lambda item: _item_error(item, spec)))
         result = result.otherwise(F.try_element_at(errors, F.lit(1)))
     return result
@@ -50,12 +50,16 @@ def _field_error(value: Column, spec: FieldSpec) -> Column:
 
 def _item_error(item: Column, spec: FieldSpec) -> Column:
     key, children = spec["field_key"], spec.get("child_schema") or []
-    return F.when(P.type_of(item) != "OBJECT", F.lit(f"{key} array items must be objects")).otherwise(
-        F.coalesce(
-            _unexpected(item, children, f"{key} array item"),
-            *[_field_error(_member(item, child["field_key"]), child) for child in children],
+
+    def judged(types: Column) -> Column:
+        return F.when(types.isNull(), F.lit(f"{key} array items must be objects")).otherwise(
+            F.coalesce(
+                _unexpected(types, children, f"{key} array item"),
+                *[_field_error(item, types, child) for child in children],
+            )
         )
-    )
+
+    return P.bound(P.member_types(item), judged)
 
 
 def _field_output(value: Column, spec: FieldSpec) -> Column:
@@ -88,14 +92,14 @@ def normalize_extracted(
     The field lists are compiled once into one CASE over document_code: no shuffle and
     no Python. Values are type-checked as VARIANT, before anything could coerce them.
     """
-    value = F.col("_value")
+    value, types = F.col("_value"), F.col("_types")
 
     def error(code: str, specs: list[FieldSpec]) -> Column:
         if code == "unknown" and not specs:
             return unknown_error(value)
         return F.coalesce(
-            _unexpected(value, specs, "extracted_data"),
-            *[_field_error(_member(value, spec["field_key"]), spec) for spec in specs],
+            _unexpected(types, specs, "extracted_data"),
+            *[_field_error(value, types, spec) for spec in specs],
         )
 
     def output(code: str, specs: list[FieldSpec]) -> Column:
@@ -103,7 +107,8 @@ def normalize_extracted(
             return F.col(text)
         return F.to_json(_object_output(value, specs), P.KEPT_NULLS)
 
-    checked = P.add_object(payloads, text, "_value").withColumn(
+    typed = P.add_object(payloads, text, "_value").withColumn("_types", P.member_types(value))
+    checked = typed.withColumn(
         "extraction_error",
         F.when(F.col("_value").isNull(), F.lit("payload is not a JSON object"))
         .when(~F.col("document_code").isin(*groups), F.lit("document_code has no field list"))
@@ -111,7 +116,7 @@ def normalize_extracted(
     )
     return checked.withColumn(
         "extracted_data", F.when(F.col("extraction_error").isNull(), _by_group(groups, output))
-    ).drop("_value")
+    ).drop("_value", "_types")
 
 
 def _has_keys(value: Column, keys: tuple[str, ...]) -> Column:

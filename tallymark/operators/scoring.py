@@ -170,14 +170,10 @@ def parse_replies_tolerant(replies: DataFrame, body: str = "body") -> DataFrame:
 # --- scores -------------------------------------------------------------------------
 
 
-def _level_maps(text: str, template: P.Template) -> list[Column]:
-    """Members of every object of the template, as maps from key to text."""
-    maps: dict[str, Column] = {}
-    for level in P.levels(template):
-        parent, _, key = level.path.rpartition(".")
-        source = F.col(text) if not level.path else F.try_element_at(maps[parent], F.lit(key))
-        maps[level.path] = F.from_json(source, "map<string,string>")
-    return list(maps.values())
+def _leaf(payload: Column, path: str) -> Column:
+    for step in path.split("."):
+        payload = payload[step]
+    return payload
 
 
 def score_fields(
@@ -188,58 +184,59 @@ def score_fields(
 ) -> DataFrame:
     """Adds field_matches, matched_fields, total_fields, field_accuracy, exact_match.
 
-    Python spells both sides canonically, once per row; the comparison itself is a
-    projection over key lists. A missing path equals null; whole objects are compared
-    with their keys.
+    Python spells both sides canonically, once per row; each spelling is parsed once
+    into a struct of texts and the comparison is a projection. A missing path equals
+    null; whole objects are compared with their keys.
     """
     side = F.col("side")
-
-    def maps(text: str) -> Column:
-        return P.per_side(side, templates, lambda t: F.array(*_level_maps(text, t)))
-
-    def over_fields(build) -> Column:
-        def per_template(template: P.Template) -> Column:
-            # A Python default argument would count as a lambda parameter here.
-            def piece(i: int, level: P.Level) -> Column:
-                return F.transform(P.texts(level.free), lambda key: build(i, key))
-
-            return F.concat(*[piece(i, level) for i, level in enumerate(P.levels(template)) if level.free])
-
-        return P.per_side(side, templates, per_template)
-
-    spelled = (
-        pairs.withColumn("_want", canonical_json(F.col(expected)))
-        .withColumn("_got", canonical_json(F.col(predicted)))
-        .withColumn("_want_maps", maps("_want"))
-        .withColumn("_got_maps", maps("_got"))
-    )
-    readable = F.col("_got").startswith("{")
-
-    def same(i: int, key: Column) -> Column:
-        want, got = F.get("_want_maps", F.lit(i)), F.get("_got_maps", F.lit(i))
-        return F.try_element_at(want, key).eqNullSafe(F.try_element_at(got, key))
-
-    def shown(i: int, key: Column) -> Column:
-        want, got = F.get("_want_shown", F.lit(i)), F.get("_got_shown", F.lit(i))
-        return F.struct(
-            F.try_element_at(want, key).alias("expected"),
-            F.try_element_at(got, key).alias("predicted"),
-            same(i, key).alias("match"),
-        )
-
-    # The shown values are the recorded ones, not their comparison spelling.
-    scored = (
-        spelled.withColumn("_want_shown", maps(expected))
-        .withColumn("_got_shown", maps(predicted))
-        .withColumn("_hits", over_fields(same))
+    sources = {"_want": "_want_text", "_got": "_got_text", "_want_shown": expected, "_got_shown": predicted}
+
+    def parsed_columns() -> dict[str, Column]:
+        # One struct column per side and text; only the row's own side is parsed.
+        return {
+            f"{name}_{of}": F.from_json(F.when(side == of, F.col(text)), P.template_struct(template))
+            for of, template in templates.items()
+            for name, text in sources.items()
+        }
+
+    def same(of: str, path: str) -> Column:
+        return _leaf(F.col(f"_want_{of}"), path).eqNullSafe(_leaf(F.col(f"_got_{of}"), path))
+
+    def hits(of: str, template: P.Template) -> Column:
+        count = F.lit(0)
+        for path in P.leaf_paths(template):
+            count = count + same(of, path).cast("int")
+        return count
+
+    def shown(of: str, template: P.Template) -> Column:
+        entries: list[Column] = []
+        for path in P.leaf_paths(template):
+            value = F.struct(
+                _leaf(F.col(f"_want_shown_{of}"), path).alias("expected"),
+                _leaf(F.col(f"_got_shown_{of}"), path).alias("predicted"),
+                same(of, path).alias("match"),
+            )
+            entries += [F.lit(path), value]
+        return F.create_map(*entries)
+
+    def by_side(build) -> Column:
+        result = F
+        for of, template in templates.items():
+            result = result.when(side == of, build(of, template))
+        return result
+
+    parsed = (
+        pairs.withColumn("_want_text", canonical_json(F.col(expected)))
+        .withColumn("_got_text", canonical_json(F.col(predicted)))
+        .withColumns(parsed_columns())
     )
-    paths = P.per_side(side, templates, lambda t: P.texts(P.leaf_paths(t)))
-    return scored.select(
+    readable = F.col("_got_text").startswith("{")
+    return parsed.select(
         *pairs.columns,
-        F.when(readable, F.map_from_arrays(paths, over_fields(shown))).alias("field_matches"),
-        F.when(readable, F.size(F.filter("_hits", lambda hit: hit))).otherwise(0).cast("bigint").alias("matched_fields"),
-        P.per_side(side, templates, lambda t: F.lit(len(P.leaf_paths(t)))).cast("bigint").alias("total_fields"),
-        F.coalesce(readable & (F.col("_want") == F.col("_got")), F.lit(False)).alias("exact_match"),
+        F.when(readable, by_side(shown)).alias("field_matches"),
+        F.when(readable, by_side(hits)).otherwise(0).cast("bigint").alias("matched_fields"),
+        by_side(lambda _, t: F.lit(len(P.leaf_paths(t)))).cast("bigint").alias("total_fields"),
+        F.coalesce(readable & (F.col("_want_text") == F.col("_got_text")), F.lit(False)).alias("exact_match"),
     ).withColumn("field_accuracy", ratio(F.col("matched_fields"), F.col("total_fields")))
 
 
@@ -247,11 +244,12 @@ def check_schema(
     parsed: DataFrame, templates: dict[str, P.Template] = SIDE_TEMPLATES, text: str = "predicted_text"
 ) -> DataFrame:
     """Adds schema_errors, NULL where there is no payload to check."""
-    value = F.col("_value")
-    checked = P.per_side(F.col("side"), templates, lambda t: P.schema_errors(value, t))
-    return P.add_value(parsed, F.col(text), "_value").select(
-        *parsed.columns, F.when(value.isNotNull(), checked).alias("schema_errors")
+    side, value, types = F.col("side"), F.col("_value"), F.col("_types")
+    typed = P.add_value(parsed, F.col(text), "_value").withColumn(
+        "_types", P.per_side(side, templates, lambda t: P.level_types(value, t))
     )
+    checked = P.per_side(side, templates, lambda t: P.schema_errors(value, types, t))
+    return typed.select(*parsed.columns, F.when(value.isNotNull(), checked).alias("schema_errors"))
 
 
 def key_diff(pairs: DataFrame, expected: str = "expected_text", predicted: str = "predicted_text") -> DataFrame:
@@ -358,8 +356,10 @@ def eval_summary(details: DataFrame) -> DataFrame:
 def first_error(details: DataFrame) -> DataFrame:
     """First error per side in record order, as 'image: error'."""
     text = F.concat(F.coalesce("image", F.lit("unknown image")), F.lit(": "), F.col("error"))
-    failed = details.filter(F.col("error").isNotNull() & (F.col("error") != ""))
-    return failed.groupBy("side").agg(F.min_by(text, "line_number").alias("first_error"))
+    # Ordered by failed lines only; a filter would be pushed down and score rows twice.
+    failed_line = F.when(F.col("error") != "", F.col("line_number"))
+    firsts = details.groupBy("side").agg(F.min_by(text, failed_line).alias("first_error"))
+    return firsts.filter(F.col("first_error").isNotNull())
 
 
 def limit_per_split(records: DataFrame, split: str, order: str, n: int) -> DataFrame:

@@ -1,8 +1,8 @@
 """Building blocks that hold when one key owns a large share of the rows.
 
 Joins: a key with many left rows is spread over several copies of its lookup row.
-Ordered work (running sums, previous values): a key is cut into slices of its
-order column; each slice is one window group and slices exchange one carry row.
+Ordered work (running sums): a key is cut into slices of its time; each slice is one
+window group and slices exchange one carry row.
 """
 
 from __future__ import annotations
@@ -129,29 +129,6 @@ def sequence_number(df: DataFrame, keys: list[str], order: list[str], name: str,
     return running_sum(df, keys, order, {name: F.lit(1).cast("bigint")}, width_s)
 
 
-def previous_value(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    values: dict[str, str],
-    width_s: int = 3600,
-) -> DataFrame:
-    """Columns of the row before, per key (time first in the order); NULL on the first
-    row of a key. The first row of a slice takes the last row of the slice before."""
-    sliced = with_time_slices(df, keys, order[0], width_s)
-    picked = F.struct(*[F.col(source).alias(name) for name, source in values.items()])
-    last = sliced.groupBy(*keys, "_slice").agg(F.max_by(picked, F.struct(*order)).alias("_last"))
-    carry = last.select(
-        *keys, "_slice", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_carry")
-    )
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    local = sliced.select("*", F.lag(picked).over(inside).alias("_local"))
-    return local.join(carry, [*keys, "_slice"]).select(
-        *df.columns,
-        *[F.coalesce(F.col("_local"), F.col("_carry"))[name].alias(name) for name in values],
-    )
-
-
 def first_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """First n rows per key: tasks keep their own first n before anything moves."""
     if n < 1:

@@ -6,21 +6,22 @@ Steps and times are seconds since the epoch (BIGINT) in the results.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark import constants as K
 from tallymark.functions.exposition import (
     is_sample,
     label_map,
-    metric_name,
+    line_parts,
     render_labels,
     render_line,
     sample_time_ms,
     sample_value,
 )
 from tallymark.functions.text import number_or_zero
-from tallymark.operators.skew import previous_value
 
 _MICRO = 1_000_000
 
@@ -64,28 +65,70 @@ def bytes_to_mib(value: Column) -> Column:
     return value / 1024 / 1024
 
 
+_PIECE = ("samples", "first_us", "last_us", "first_value", "last_value", "resets")
+_SLICE_SECONDS = 60
+
+
+def _merged(pieces: Column) -> list[Column]:
+    """One summary of consecutive summaries (an array in time order): a counter that is
+    lower at the start of a piece than at the end of the piece before was reset."""
+    count = F.size(pieces)
+    between = F.zip_with(
+        F.slice(pieces, F.lit(1), count - 1),
+        F.slice(pieces, F.lit(2), count - 1),
+        lambda a, b: F.when(b["first_value"] < a["last_value"], a["last_value"]).otherwise(F.lit(0.0)),
+    )
+    inside = F.transform(pieces, lambda piece: piece["resets"])
+    first, last = F.element_at(pieces, 1), F.element_at(pieces, -1)
+
+    def total(values: Column, zero: Column) -> Column:
+        return F.aggregate(values, zero, lambda sum_, value: sum_ + value)
+
+    return [
+        total(F.transform(pieces, lambda piece: piece["samples"]), F.lit(0).cast("bigint")).alias("samples"),
+        first["first_us"].alias("first_us"),
+        last["last_us"].alias("last_us"),
+        first["first_value"].alias("first_value"),
+        last["last_value"].alias("last_value"),
+        total(F.concat(inside, between), F.lit(0.0)).alias("resets"),
+    ]
+
+
+def _merge_by(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("first_us", *[name for name in _PIECE if name != "first_us"])))
+    return pieces.groupBy(*keys).agg(ordered.alias("_pieces")).select(*keys, *_merged(F.col("_pieces")))
+
+
 def counter_windows(samples: DataFrame, series: list[str], step: int, reach: int) -> DataFrame:
-    """Per series and grid point: first and last sample and the reset-aware increase.
+    """Per series and grid point t: summary of the samples in (t - reach, t].
 
-    Resets need each sample's predecessor; series are cut by the hour for that. The
-    rest is one aggregation whose parts merge, so a busy series is combined before the
-    shuffle.
+    Samples are ordered only inside slices of a minute at most, which hold one sample
+    per instant; slice summaries are merged to buckets that every window is made of,
+    and buckets to windows. The input is read once, and a busy series is spread over
+    its slices. A group never holds more than reach / slice summaries.
     """
-    chained = previous_value(samples, series, ["ts"], {"_before": "value"})
-    reset = F.when(F.col("value") < F.col("_before"), F.col("_before")).otherwise(F.lit(0.0))
-    return (
-        on_grid(chained.withColumn("_reset", reset), step, reach)
-        .groupBy(*series, "step_s")
-        .agg(
-            F.count(F.lit(1)).alias("samples"),
-            F.min("_us").alias("first_us"),
-            F.max("_us").alias("last_us"),
-            F.min_by("value", "_us").alias("first_value"),
-            F.max_by("value", "_us").alias("last_value"),
-            # The first sample's own reset happened before the window's first sample.
-            (F.sum("_reset") - F.min_by("_reset", "_us")).alias("resets"),
-        )
+    bucket = math.gcd(step, reach)
+    piece = math.gcd(bucket, _SLICE_SECONDS)
+    micros = samples.withColumn("_us", _micros()).withColumn(
+        "_end", (F.ceil(F.col("_us") / (piece * _MICRO)) * piece).cast("bigint")
+    )
+    before = F.lag("value").over(Window.partitionBy(*series, "_end").orderBy("_us"))
+    chained = micros.withColumn("_before", before)
+    pieces = chained.groupBy(*series, "_end").agg(
+        F.count(F.lit(1)).alias("samples"),
+        F.min("_us").alias("first_us"),
+        F.max("_us").alias("last_us"),
+        F.min_by("value", "_us").alias("first_value"),
+        F.max_by("value", "_us").alias("last_value"),
+        F.sum(F.when(F.col("value") < F.col("_before"), F.col("_before")).otherwise(F.lit(0.0))).alias("resets"),
     )
+    if piece < bucket:
+        aligned = pieces.withColumn("_end", (F.ceil(F.col("_end") / bucket) * bucket).cast("bigint"))
+        pieces = _merge_by(aligned, [*series, "_end"])
+    first = (F.ceil(F.col("_end") / step) * step).cast("bigint")
+    last = (F.ceil((F.col("_end") + reach) / step) * step - step).cast("bigint")
+    grid = F.when(last >= first, F.sequence(first, last, F.lit(step).cast("bigint")))
+    return _merge_by(pieces.withColumn("step_s", F.explode(grid)), [*series, "step_s"])
 
 
 def extrapolated_rate(windows: DataFrame, reach: int) -> DataFrame:
@@ -193,14 +236,16 @@ def scrape_grid(
 def parse_scrape(lines: DataFrame, text: str = "line") -> DataFrame:
     """Sample lines of a text exposition as metric, labels, value, time_ms; comments
     and unreadable lines are left out."""
-    line = F.col(text)
+    parts = F.col("_parts")
     others = [name for name in lines.columns if name != text]
-    return lines.filter(is_sample(line)).select(
+    # Comments go before anything is matched.
+    candidates = lines.filter(~F.col(text).startswith("#")).withColumn("_parts", line_parts(F.col(text)))
+    return candidates.filter(is_sample(parts)).select(
         *others,
-        metric_name(line).alias("metric"),
-        label_map(line).alias("labels"),
-        sample_value(line).alias("value"),
-        sample_time_ms(line).alias("time_ms"),
+        F.get(parts, F.lit(0)).alias("metric"),
+        label_map(parts).alias("labels"),
+        sample_value(parts).alias("value"),
+        sample_time_ms(parts).alias("time_ms"),
     )
 
 

@@ -93,8 +93,10 @@ def main() -> int:
 
     from tallymark.session import build_session
 
-    SparkSession.builder.config("spark.ui.showConsoleProgress", "false").config("spark.ui.enabled", "false")
-    spark = build_session("oracle-check", "local[8]")
+    SparkSession.builder.master("local[8]").config("spark.ui.showConsoleProgress", "false").config(
+        "spark.ui.enabled", "false"
+    ).config("spark.driver.memory", "12g").getOrCreate()
+    spark = build_session("oracle-check")
     spark.sparkContext.setLogLevel("ERROR")
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     folder = f"/root/testdata/sf{args.sf}"
