@@ -17,6 +17,7 @@ ship_by_value(__name__)
 
 Template = dict[str, Any]
 
+_END = "end of the recorded text"
 KEPT_NULLS = {"ignoreNullFields": "false"}
 
 
@@ -27,15 +28,15 @@ def _step(path: str) -> str:
 def add_value(df: DataFrame, text: Column, name: str) -> DataFrame:
     """Adds the VARIANT of a text that is one JSON value and nothing else.
 
-    The variant parser ignores whatever follows the first value; inside a wrapper
-    object such a rest costs the closing marker, and then the text is refused. The
-    wrapper is a column of its own, so that every text is parsed once.
+    The variant parser ignores whatever follows the first value. Put into an array with
+    an end mark, a text with such a rest moves the mark from its place, and then it is
+    refused. The array is a column of its own, so that every text is parsed once.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit('{"value":'), text, F.lit(',"end":0}')))
-    whole = F.try_variant_get("_wrapped", "$.end", "int").isNotNull()
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    whole = F.try_variant_get("_wrapped", "$[1]", "string") == _END
     return (
         df.withColumn("_wrapped", wrapped)
-        .withColumn(name, F.when(whole, F.try_variant_get("_wrapped", "$.value", "variant")))
+        .withColumn(name, F.when(whole, F.try_variant_get("_wrapped", "$[0]", "variant")))
         .drop("_wrapped")
     )
 

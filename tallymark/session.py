@@ -36,10 +36,10 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a session without that setting (a local test) gets a temporary folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tallymark.sharedFolder", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="tallymark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.conf.set("tallymark.sharedFolder", folder)
     return folder.rstrip("/")
 
 
