@@ -33,8 +33,12 @@ def render_line(metric: Column, labels: Column, value: Column) -> Column:
     return F.concat(metric, render_labels(labels), F.lit(" "), value)
 
 
-_LINE = r'^([a-zA-Z_:][a-zA-Z0-9_:]*)(\{(?:[^"{}]|"(?:\\.|[^"\\])*")*\})?\s+(\S+)(?:\s+(-?[0-9]+))?\s*$'
-_PAIR = r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:\\.|[^"\\])*)"'
+# Possessive repeats: long label values must not recurse.
+_TEXT = r'"(?:[^"\\]++|\\.)*+"'
+_NAME = "[a-zA-Z_][a-zA-Z0-9_]*+"
+_LABELS = rf"\{{\s*+(?:{_NAME}\s*+=\s*+{_TEXT}\s*+,?\s*+)*+\}}"
+_LINE = rf"^([a-zA-Z_:][a-zA-Z0-9_:]*+)\s*+({_LABELS})?\s*+([^\s{{]\S*+)(?:\s++(-?[0-9]++))?\s*$"
+_PAIR = rf'({_NAME})\s*+=\s*+"((?:[^"\\]++|\\.)*+)"'
 
 
 def line_parts(line: Column) -> Column:

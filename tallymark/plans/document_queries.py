@@ -32,19 +32,18 @@ ORDER_FIELDS = [
 ORDER_GROUPS = {"order": ORDER_FIELDS, "unknown": []}
 
 
-def _groups(spark: SparkSession, folder: str) -> DataFrame:
-    """Allowed groups of the conversation documents, read off the data itself."""
-    turns = table(spark, folder, "conversations")
-    return turns.select(F.lit("chat").alias("group_code"), F.lit("Chat").alias("group_name")).distinct()
+def _groups(spark: SparkSession) -> DataFrame:
+    """Allowed groups of the conversation documents: part of the request, not data."""
+    return spark.createDataFrame([("chat", "Chat"), ("mail", "Mail")], "group_code string, group_name string")
 
 
 def _valid(spark: SparkSession, folder: str) -> DataFrame:
-    allowed = S.allowed_groups(segments(spark, folder), _groups(spark, folder))
+    allowed = S.allowed_groups(segments(spark, folder), _groups(spark))
     return S.check_pages(allowed).filter(F.col("page_error").isNull())
 
 
 def allowed_groups(spark: SparkSession, folder: str) -> DataFrame:
-    kept = S.allowed_groups(segments(spark, folder), _groups(spark, folder))
+    kept = S.allowed_groups(segments(spark, folder), _groups(spark))
     return kept.select("file_id", "doc_no", "document_code", "group_name", "document_name")
 
 

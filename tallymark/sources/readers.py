@@ -105,7 +105,8 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder: path, name, length. The content column is never read."""
+    """Files of a folder: path, name, length. The content column is never read. Files
+    without a byte are not listed by this source."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", F.substring_index("path", "/", -1).alias("name"), "length").filter(
         ~F.col("name").startswith(".")
@@ -146,16 +147,27 @@ def _yaml_loader():
     return yaml.safe_load
 
 
+def _as_json(text: str | None, load) -> str | None:
+    try:
+        return None if text is None else json.dumps(load(text), default=str)
+    except ValueError:
+        return None
+    except Exception as error:  # the YAML library's own error, known only where it is installed
+        if type(error).__module__.startswith("yaml"):
+            return None
+        raise
+
+
 @once_per_row(T.StringType())
 def _yaml_as_json(values: pa.Array) -> pa.Array:
     load = _yaml_loader()
-    return pa.array([None if text is None else json.dumps(load(text), default=str) for text in values.to_pylist()])
+    return pa.array([_as_json(text, load) for text in values.to_pylist()], pa.string())
 
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     """One small document per entry directory (JSON, or YAML where a YAML library is
     installed), sorted by directory; empty ones are left out."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     named = files.select(
         F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1).alias("entry"), F.col("value").alias("text")
     )
