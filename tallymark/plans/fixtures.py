@@ -98,7 +98,7 @@ FIXTURES: dict[str, str] = {}
 
 FIXTURES["f_bench"] = """
 SELECT concat('m', cast(user_id % 10 AS string)) AS model, cast(ts AS date) AS run_day, ts, event_id,
-       CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code, value / 100 AS latency_s
+       CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code, value / 97 AS latency_s
 FROM events
 """
 

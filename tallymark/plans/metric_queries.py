@@ -118,7 +118,7 @@ def stream_summary(spark: SparkSession, folder: str) -> DataFrame:
         "ts",
         F.concat(F.lit("m"), (F.col("user_id") % 10).cast("string")).alias("model"),
         F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status_code"),
-        (F.col("value") / 100).alias("latency_s"),
+        (F.col("value") / 97).alias("latency_s"),
     )
     out = J.run_updates(J.latency_stream(requests), "latency")
     last = J.last_versions(spark, out, ["window_start", "model"])
