@@ -23,7 +23,7 @@ def render_labels(labels: Column) -> Column:
     """{a="x",b="y"} with sorted names; blank labels are dropped, '' when none is left."""
     kept = F.map_filter(labels, lambda _, value: F.coalesce(value, F.lit("")) != "")
     pairs = F.transform(
-        F.array_sort(F.map_entries(kept)),
+        F.sort_array(F.map_entries(kept)),
         lambda pair: F.concat(pair["key"], F.lit('="'), escape_label(pair["value"]), F.lit('"')),
     )
     return F.when(F.size(pairs) > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise(F.lit(""))

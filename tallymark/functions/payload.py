@@ -215,7 +215,7 @@ def leaf_paths(template: Template) -> list[str]:
 
 
 def missing_keys(expected: Column, actual: Column) -> Column:
-    return F.array_sort(F.array_except(expected, actual))
+    return F.sort_array(F.array_except(expected, actual))
 
 
 def level_types(value: Column, template: Template) -> Column:
@@ -254,7 +254,7 @@ def schema_errors(value: Column, types: Column, template: Template) -> Column:
     """Every deviation of a payload from its template, sorted; types as level_types()
     gives them."""
     found = [_level_errors(value, F.get(types, F.lit(i)), level) for i, level in enumerate(levels(template))]
-    return F.array_sort(F.concat(*found))
+    return F.sort_array(F.concat(*found))
 
 
 def per_side(side: Column, templates: dict[str, Template], build) -> Column:

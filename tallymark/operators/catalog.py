@@ -74,7 +74,7 @@ def check_compatibility(entries: DataFrame) -> DataFrame:
     return entries.select(
         "*",
         F.array_join(incompatible_targets(targets, F.col("format")), ", ").alias("incompatible"),
-        F.array_join(F.array_sort(allowed_targets(F.col("format"))), ", ").alias("allowed"),
+        F.array_join(F.sort_array(allowed_targets(F.col("format"))), ", ").alias("allowed"),
     )
 
 
@@ -118,7 +118,7 @@ def check_catalog(entries: DataFrame, files: DataFrame | None = None) -> DataFra
     targets = targets_of()
     unknown = F.filter(targets, lambda target: ~target.isin(*K.KNOWN_TARGETS))
     wrong = incompatible_targets(targets, F.col("format"))
-    allowed = F.array_join(F.array_sort(allowed_targets(F.col("format"))), ", ")
+    allowed = F.array_join(F.sort_array(allowed_targets(F.col("format"))), ", ")
     status = F
     checked = entries
     if files is not None:

@@ -120,7 +120,7 @@ def normalize_extracted(
 
 
 def _has_keys(value: Column, keys: tuple[str, ...]) -> Column:
-    found = F.array_sort(F.map_keys(P.members(value)))
+    found = F.sort_array(F.map_keys(P.members(value)))
     return F.coalesce(found == P.texts(sorted(keys)), F.lit(False))
 
 

@@ -205,7 +205,7 @@ def schema_def_check(groups: DataFrame, fields: DataFrame, variants: DataFrame)
 def _joined(sort_key: str, text: str, separator: str) -> Column:
     """Texts of a group in order. Groups here are the fields or variants of one
     definition, which are unique by rule and written by hand."""
-    pairs = F.array_sort(F.collect_list(F.struct(sort_key, text)))
+    pairs = F.sort_array(F.collect_list(F.struct(sort_key, text)))
     return F.array_join(F.transform(pairs, lambda pair: pair[text]), separator)
 
 

@@ -170,10 +170,9 @@ def parse_replies_tolerant(replies: DataFrame, body: str = "body") -> DataFrame:
 # --- scores -------------------------------------------------------------------------
 
 
-def _leaf(payload: Column, path: str) -> Column:
-    for step in path.split("."):
-        payload = payload[step]
-    return payload
+def _leaf(column: str, path: str) -> str:
+    """SQL of a leaf of a parsed payload column."""
+    return ".".join(f"`{step}`" for step in [column, *path.split(".")])
 
 
 def score_fields(
@@ -199,25 +198,20 @@ def score_fields(
             for name, text in sources.items()
         }
 
-    def same(of: str, path: str) -> Column:
-        return _leaf(F.col(f"_want_{of}"), path).eqNullSafe(_leaf(F.col(f"_got_{of}"), path))
+    # One SQL text per side: as single calls, dozens of fields would make planning slow.
+    def same(of: str, path: str) -> str:
+        return f"{_leaf(f'_want_{of}', path)} <=> {_leaf(f'_got_{of}', path)}"
 
     def hits(of: str, template: P.Template) -> Column:
-        count = F.lit(0)
-        for path in P.leaf_paths(template):
-            count = count + same(of, path).cast("int")
-        return count
+        return F.expr(" + ".join(f"cast({same(of, path)} AS int)" for path in P.leaf_paths(template)))
 
     def shown(of: str, template: P.Template) -> Column:
-        entries: list[Column] = []
-        for path in P.leaf_paths(template):
-            value = F.struct(
-                _leaf(F.col(f"_want_shown_{of}"), path).alias("expected"),
-                _leaf(F.col(f"_got_shown_{of}"), path).alias("predicted"),
-                same(of, path).alias("match"),
-            )
-            entries += [F.lit(path), value]
-        return F.create_map(*entries)
+        entries = [
+            f"'{path}', named_struct('expected', {_leaf(f'_want_shown_{of}', path)}, "
+            f"'predicted', {_leaf(f'_got_shown_{of}', path)}, 'match', {same(of, path)})"
+            for path in P.leaf_paths(template)
+        ]
+        return F.expr(f"map({', '.join(entries)})")
 
     def by_side(build) -> Column:
         result = F

@@ -101,7 +101,7 @@ def page_overlap(documents: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("claims"), F.max("doc_no").alias("doc_no"))
         .filter(F.col("claims") > 1)
     )
-    per_document = shared.groupBy("file_id", "doc_no").agg(F.array_sort(F.collect_set("page")).alias("pages"))
+    per_document = shared.groupBy("file_id", "doc_no").agg(F.sort_array(F.collect_set("page")).alias("pages"))
     return per_document.groupBy("file_id").agg(
         F.min("doc_no").alias("doc_no"), F.min_by("pages", "doc_no").alias("pages")
     )

@@ -95,7 +95,7 @@ def _merged(pieces: Column) -> list[Column]:
 
 
 def _merge_by(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("first_us", *[name for name in _PIECE if name != "first_us"])))
+    ordered = F.sort_array(F.collect_list(F.struct("first_us", *[name for name in _PIECE if name != "first_us"])))
     return pieces.groupBy(*keys).agg(ordered.alias("_pieces")).select(*keys, *_merged(F.col("_pieces")))
 
 
@@ -162,7 +162,7 @@ def histogram_quantile(rates: DataFrame, series: list[str], q: float, le: str =
     grid point. A group holds one row per bucket bound of the metric."""
     bound = F.when(F.lower(le).isin("+inf", "inf"), F.lit(float("inf"))).otherwise(F.col(le).try_cast("double"))
     grouped = rates.groupBy(*series, "step_s").agg(
-        F.array_sort(F.collect_list(F.struct(bound.alias("le"), F.col("rate").alias("count")))).alias("_raw")
+        F.sort_array(F.collect_list(F.struct(bound.alias("le"), F.col("rate").alias("count")))).alias("_raw")
     )
     # Counts must not fall along the bounds; small float noise is lifted.
     lifted = F.transform(

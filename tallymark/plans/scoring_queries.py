@@ -80,7 +80,7 @@ def field_score(spark: SparkSession, folder: str) -> DataFrame:
         "total_fields",
         F.round("field_accuracy", 6).alias("field_accuracy"),
         "exact_match",
-        F.array_join(F.array_sort(missed), ",").alias("missed"),
+        F.array_join(F.sort_array(missed), ",").alias("missed"),
     )
 
 

@@ -94,7 +94,7 @@ def rate_stream(samples: DataFrame, series: list[str], reach: int, late: str = "
         "_at", F.col("ts") - F.expr("interval 1 microsecond")
     )
     collected = shifted.groupBy(F.window("_at", f"{reach} seconds"), *series).agg(
-        F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("us"), "value"))).alias("_samples")
+        F.sort_array(F.collect_list(F.struct(F.unix_micros("ts").alias("us"), "value"))).alias("_samples")
     )
     return collected.select(*series, *_summary(F.col("_samples"), reach, F.col("window.start")))
 
