@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import langid
+from tallymark.llm import langid, quality
 from tallymark.llm.common import table
 
 QUERIES = {}
@@ -19,3 +19,11 @@ def query(function):
 @query
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.language_id(table(spark, folder, "documents"))
+
+
+@query
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_rules(table(spark, folder, "documents"))
+
+
+CHECKS["op2_quality_rules"] = quality.SQL
