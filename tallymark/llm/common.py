@@ -7,6 +7,7 @@ arrays of 64-bit hashes. Nothing here depends on how rows fall into batches or t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -90,7 +91,8 @@ class WordBatch:
 
 def word_batch(texts: pa.Array, lower: bool = True) -> WordBatch:
     """NULL texts have no words."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    # Copied: lower-casing a slice in place of its own array reads beyond the slice.
+    texts = pa.array([text or "" for text in texts.to_pylist()], pa.large_string())
     if lower:
         texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)
@@ -127,5 +129,15 @@ def windows(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray
     return mix64(rolled[inside]), starts[: total - n + 1][inside]
 
 
-def batches(schema: pa.Schema, column: str, batch: pa.RecordBatch) -> pa.Array:
-    return batch.column(schema.get_field_index(column))
+def spans(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most `limit` bytes of text, or of one longer text: what a task
+    holds as arrays at a time does not grow with the batch."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    begin, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if held and held + size > limit:
+            yield begin, i
+            begin, held = i, 0
+        held += size
+    if begin < len(sizes):
+        yield begin, len(sizes)

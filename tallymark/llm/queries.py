@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import langid, quality
+from tallymark.llm import jaccard, langid, quality
 from tallymark.llm.common import table
 
 QUERIES = {}
@@ -27,3 +27,8 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 CHECKS["op2_quality_rules"] = quality.SQL
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, folder, "documents"))
