@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions import ship_by_value
-from tallymark.llm.common import fold, mix64, written
+from tallymark.llm.common import fold, mix64, spans, written
 
 ship_by_value(__name__)
 
@@ -43,6 +43,8 @@ POSITIONS = 1 << 18
 HASHES = 3
 #: One signed 64-bit number holds the bits of so many languages.
 PER_WORD = 63
+#: Counts that a task holds before it sums them up, and passes them on if they stay many.
+HELD_ENTRIES = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -93,17 +95,40 @@ def gram_counts(training: DataFrame, text: str, lang: str) -> DataFrame:
     """lang, gram, n over all training texts; tasks sum up before anything moves."""
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        entries = 0
+
+        def summed() -> dict[str, list]:
+            total = {}
+            for name, parts in held.items():
+                value, where = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+                n = np.bincount(where, np.concatenate([n for _, n in parts]), len(value)).astype(np.int64)
+                total[name] = [(value, n)]
+            return total
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for name, [(value, n)] in held.items():
+                columns = [pa.array([name] * len(value), pa.string()), pa.array(value), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n"])
+
         for frame in frames:
-            langs = np.array(frame.column(0).to_pylist(), dtype=object)
-            names, group = np.unique(langs, return_inverse=True) if len(langs) else (langs, langs)
-            grams, begin, _ = trigrams(frame.column(1).to_pylist())
-            owner = np.repeat(group, np.diff(begin)) if len(langs) else np.zeros(0, np.int64)
-            for i, name in enumerate(names):
-                value, n = np.unique(grams[owner == i], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(value), pa.string()), pa.array(value), pa.array(n.astype(np.int64))],
-                    ["lang", "gram", "n"],
-                )
+            for low, high in spans(frame.column(1)):
+                langs = frame.column(0).slice(low, high - low).to_pylist()
+                grams, begin, _ = trigrams(frame.column(1).slice(low, high - low).to_pylist())
+                names = sorted(set(langs))
+                owner = np.repeat([names.index(x) for x in langs], np.diff(begin))
+                for i, name in enumerate(names):
+                    part = np.unique(grams[owner == i], return_counts=True)
+                    held.setdefault(name, []).append(part)
+                    entries += len(part[0])
+                if entries > HELD_ENTRIES:
+                    held = summed()
+                    entries = sum(len(value) for [(value, _)] in held.values())
+                    if entries > HELD_ENTRIES // 2:
+                        yield from rows()
+                        held, entries = {}, 0
+        held = summed()
+        yield from rows()
 
     rows = training.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")
@@ -189,7 +214,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def label(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            names, score = judge(shared.value, frame.column(frame.num_columns - 1).to_pylist())
+            texts = frame.column(frame.num_columns - 1)
+            parts = [judge(shared.value, texts.slice(i, j - i).to_pylist()) for i, j in spans(texts)]
+            names = [name for part, _ in parts for name in part]
+            score = np.concatenate([np.zeros(0), *[part for _, part in parts]])
             columns = frame.columns[:-1] + [pa.array(names, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*frame.schema.names[:-1], "lang_pred", "score"])
 
