@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import jaccard, langid, quality
+from tallymark.llm import jaccard, langid, packing, quality
 from tallymark.llm.common import table
 
+#: Vocabulary file of a public tokeniser; a parameter of the operators, never copied.
+TOKENIZER = "byte_bpe_50k.json"
 QUERIES = {}
 CHECKS = {}
 
@@ -32,3 +34,14 @@ CHECKS["op2_quality_rules"] = quality.SQL
 @query
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+@query
+def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.best_fit(table(spark, folder, "documents"), tokenizer_path())
