@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import jaccard, langid, packing, quality
+from tallymark.llm import jaccard, langid, packing, quality, suffixtree
 from tallymark.llm.common import table
 
 #: Vocabulary file of a public tokeniser; a parameter of the operators, never copied.
@@ -45,3 +45,8 @@ def tokenizer_path() -> str:
 @query
 def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit(table(spark, folder, "documents"), tokenizer_path())
+
+
+@query
+def op9_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixtree.lm_scores(table(spark, folder, "documents"))
