@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import jaccard, langid, packing, quality, suffixtree
+from tallymark.llm import decontam, jaccard, langid, packing, quality, suffixtree
 from tallymark.llm.common import table
 
 #: Vocabulary file of a public tokeniser; a parameter of the operators, never copied.
@@ -50,3 +50,8 @@ def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return suffixtree.lm_scores(table(spark, folder, "documents"))
+
+
+@query
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
