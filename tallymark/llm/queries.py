@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import decontam, jaccard, langid, packing, quality, suffixtree
+from tallymark.llm import decontam, jaccard, langid, packing, quality, suffixtree, warc
 from tallymark.llm.common import table
 
 #: Vocabulary file of a public tokeniser; a parameter of the operators, never copied.
@@ -55,3 +55,11 @@ def op9_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_pages(table(spark, folder, "pages"))
+
+
+CHECKS["op5_warc"] = warc.SQL
