@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import decontam, jaccard, langid, packing, quality, suffixes, suffixtree, warc
+from tallymark.llm import decontam, jaccard, langid, packing, quality, secrets, suffixes, suffixtree, warc
 from tallymark.llm.common import table
 
 #: Vocabulary file of a public tokeniser; a parameter of the operators, never copied.
@@ -68,3 +68,11 @@ CHECKS["op5_warc"] = warc.SQL
 @query
 def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.repeats(table(spark, folder, "documents"))
+
+
+@query
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_scan(table(spark, folder, "documents"))
+
+
+CHECKS["op4_secret_scan"] = secrets.SQL
