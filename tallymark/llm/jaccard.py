@@ -2,15 +2,19 @@
 
 1. Every document becomes the set of its distinct shingles (64-bit hashes); documents
    with equal sets form one class, so copies cost nothing further.
-2. Classes that could be similar are brought together. Tokens are ordered by how many
-   documents hold them (counted in a table of fixed size over all documents) and then by
-   hash; two sets that are similar enough share a token among the first
-   n - ceil(t n) + 1 of each. Classes joined by such tokens form areas.
-3. In an area a signature tree (`sigtree`) is traversed against itself. An area with more
+2. A set that is similar enough to another one shares at least ceil(t n) of its n tokens.
+   How many of its tokens another class holds as well is counted exactly: tokens travel
+   once, as packed 40-bit fingerprints in buckets of bounded size, and counts per class
+   return (an equal fingerprint of other tokens can only add candidates). Most documents
+   leave here.
+3. Of the others, tokens are ordered by the number of sets that hold them; two similar
+   sets share a token among the first n - ceil(t n) + 1 of each. Classes joined by such
+   tokens form areas.
+4. In an area a signature tree (`sigtree`) is traversed against itself. An area with more
    tokens than a task should hold is cut into tiles: first each tile by itself, then one
    member per tile and label, and only if labels still differ pairs of tiles, again by
    dual traversal, one task per pair.
-4. Links form components; the class of a document gives its component.
+5. Links form components; the class of a document gives its component.
 
 Only connecting links are made (at most one per class and traversal), never all pairs of
 a group, and no link between different components is missed.
@@ -28,7 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions import ship_by_value
@@ -39,13 +43,14 @@ from tallymark.operators.skew import lookup_join
 
 ship_by_value(__name__)
 
-#: Slots of the document-frequency table: 1 MB whatever the corpus size.
-SLOTS = 1 << 18
+#: Tokens of one bucket, which one task holds at a time, and of one flush of a task.
+BUCKET_TOKENS = 1 << 22
+FLUSH_TOKENS = 1 << 21
+FINGERPRINT = 5
 #: Tokens that one task holds as one tile.
 TILE_TOKENS = 1 << 21
 #: Document ids that may be broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
-SETS = "row long, doc_id long, class binary, short long, n long, slot int, docs long"
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -74,86 +79,107 @@ def _short(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def prefix_size(n: int, percent: int) -> int:
-    """So many first tokens of a set of n; any similar set shares one of them."""
-    return n - -(-percent * n // 100) + 1
-
-
 def _classes(docs: DataFrame, width: int) -> DataFrame:
-    """Two kinds of rows in one pass: documents with class and size, and counts of the
-    document-frequency table (slot not NULL)."""
+    """Class and size of every document."""
 
     def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
-        names = ["row", "doc_id", "class", "short", "n", "slot", "docs"]
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
         for frame in frames:
-            classes, sizes = [], []
-            for _, tokens in shingle_sets(frame.column(2), width):
-                np.add.at(counts, (tokens & np.uint64(SLOTS - 1)).astype(np.int64), 1)
-                classes.append(class_of(tokens) if len(tokens) else None)
-                sizes.append(len(tokens))
-            none = [None] * len(sizes)
-            short = [None if c is None else _short(c) for c in classes]
+            found = [(class_of(t) if len(t) else None, len(t)) for _, t in shingle_sets(frame.column(2), width)]
             yield pa.RecordBatch.from_arrays(
                 [
                     frame.column(0),
                     frame.column(1),
-                    *[pa.array(v, t) for v, t in zip((classes, short, sizes, none, none), types[2:], strict=True)],
+                    pa.array([c for c, _ in found], pa.binary()),
+                    pa.array([None if c is None else _short(c) for c, _ in found], pa.int64()),
+                    pa.array([n for _, n in found], pa.int64()),
                 ],
-                names,
+                ["row", "doc_id", "class", "short", "n"],
             )
-        used = np.flatnonzero(counts)
-        none = [None] * len(used)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(v, t) for v, t in zip((none, none, none, none, none, used, counts[used]), types, strict=True)],
-            names,
-        )
 
-    return docs.mapInArrow(read, SETS)
-
-
-def _prefixes(docs: DataFrame, width: int, percent: int, frequency: np.ndarray) -> DataFrame:
-    """(token, short): the prefix tokens of every document's set, rare tokens first."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequency)
+    return docs.mapInArrow(read, "row long, doc_id long, class binary, short long, n long")
+
+
+def _shared_counts(docs: DataFrame, width: int, buckets: int) -> DataFrame:
+    """(short, shared): for each class the number of its tokens that another class holds."""
+
+    def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            flat = np.concatenate([np.zeros(0, np.uint64), *held.values()])
+            owner = np.repeat(np.arange(len(held)), [len(t) for t in held.values()])
+            names = np.fromiter(held, np.int64, len(held))
+            bucket = (flat % np.uint64(buckets)).astype(np.int64)
+            rank = np.argsort(bucket, kind="stable")
+            flat, owner, bucket = flat[rank], owner[rank], bucket[rank]
+            prints = mix64(flat).view(np.uint8).reshape(-1, 8)[:, :FINGERPRINT]
+            # One run for each bucket and class: tokens of a class lie together.
+            new = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])]))
+            counts = np.diff(np.append(new, len(flat))).astype(np.int32)
+            used, first = np.unique(bucket, return_index=True)
+            last = np.append(first[1:], len(flat))
+            runs = np.searchsorted(new, first), np.searchsorted(new, last)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(used),
+                    pa.array([prints[i:j].tobytes() for i, j in zip(first, last, strict=True)], pa.binary()),
+                    pa.array([names[owner[new[i:j]]].tobytes() for i, j in zip(*runs, strict=True)], pa.binary()),
+                    pa.array([counts[i:j].tobytes() for i, j in zip(*runs, strict=True)], pa.binary()),
+                ],
+                ["bucket", "prints", "classes", "counts"],
+            )
 
-    def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
         for frame in frames:
-            keys, owner, sizes = [], [], []
             for _, tokens in shingle_sets(frame.column(2), width):
-                if not len(tokens):
-                    continue
-                rarity = counts[(tokens & np.uint64(SLOTS - 1)).astype(np.int64)]
-                # Tokens are sorted already, so a stable sort leaves ties in hash order.
-                first = tokens[np.argsort(rarity, kind="stable")[: prefix_size(len(tokens), percent)]]
-                keys.append(first.view(np.int64))
-                owner.append(_short(class_of(tokens)))
-                sizes.append(len(first))
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(owner, np.int64), sizes))],
-                    ["token", "short"],
-                )
-
-    return docs.mapInArrow(read, "token long, short long")
+                if len(tokens):
+                    name = _short(class_of(tokens))
+                    size += 0 if name in held else len(tokens)
+                    held[name] = tokens
+                if size >= FLUSH_TOKENS:
+                    yield flush()
+                    held, size = {}, 0
+        if held:
+            yield flush()
+
+    def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+
+        def shared() -> pa.RecordBatch:
+            raw = np.frombuffer(b"".join(row[0] for row in held), np.uint8).reshape(-1, FINGERPRINT)
+            wide = np.zeros((len(raw), 8), np.uint8)
+            wide[:, :FINGERPRINT] = raw
+            prints = wide.view(np.uint64).ravel()
+            classes = np.frombuffer(b"".join(row[1] for row in held), np.int64)
+            owner = np.repeat(classes, np.frombuffer(b"".join(row[2] for row in held), np.int32))
+            rank = np.argsort(prints, kind="stable")
+            prints, owner = prints[rank], owner[rank]
+            first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
+            several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
+            both = np.repeat(several, np.diff(np.append(first, len(prints))))
+            # A class that several tasks or flushes sent counts a token once.
+            pair = np.unique(np.stack([owner[both], prints[both].view(np.int64)]), axis=1)[0]
+            name, n = np.unique(pair, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(name), pa.array(n.astype(np.int64))], ["short", "shared"])
 
+        for frame in frames:
+            for row in zip(*[column.to_pylist() for column in frame.columns], strict=True):
+                if row[0] != bucket:
+                    if held:
+                        yield shared()
+                    bucket, held = row[0], []
+                held.append(row[1:])
+        if held:
+            yield shared()
 
-def _areas(prefixes: DataFrame) -> DataFrame:
-    """(short, area): classes that share prefix tokens, directly or through others."""
-    shared = (
-        prefixes.groupBy("token")
-        .agg(F.min("short").alias("a"), F.max("short").alias("last"))
-        .filter(F.col("a") < F.col("last"))
-        .select("token", "a")
-    )
-    edges = prefixes.join(shared, "token").select("a", F.col("short").alias("b")).filter("a <> b").distinct()
-    return components(written(edges, "shared")).select(F.col("node").alias("short"), F.col("label").alias("area"))
+    packed = docs.mapInArrow(pack, "bucket long, prints binary, classes binary, counts binary")
+    dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(count, "short long, shared long").groupBy("short").agg(F.sum("shared").alias("shared"))
 
 
 def _payload(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
-    """(class, tokens): the sets of the chosen classes, computed again from the text of
-    one document each."""
+    """(class, short, n, tokens): the sets of the chosen classes, computed again from the
+    text of one document each."""
     ids = chosen.select(F.col("doc_id").alias("_id")).distinct()
     ids = F.broadcast(ids) if chosen.count() <= BROADCAST_ROWS else ids
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select("text")
@@ -172,7 +198,34 @@ def _payload(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
                 )
 
     sets = texts.mapInArrow(read, "class binary, tokens binary")
-    return sets.join(chosen.select("class", "area", "part", "parts"), "class").dropDuplicates(["class"])
+    return sets.join(chosen.select("class", "short", "n"), "class").dropDuplicates(["class"])
+
+
+def _areas(sets: DataFrame, percent: int) -> DataFrame:
+    """(short, area): classes that share prefix tokens, directly or through others."""
+
+    def explode(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for low, high in spans(frame.column(2)):
+                tokens = [np.frombuffer(t, np.int64) for t in frame.column(2).slice(low, high - low).to_pylist()]
+                sizes = [len(t) for t in tokens]
+                short, n = (frame.column(i).slice(low, high - low).to_numpy() for i in (0, 1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(short, sizes)), pa.array(np.repeat(n, sizes)), pa.array(np.concatenate(tokens))],
+                    ["short", "n", "token"],
+                )
+
+    tokens = sets.select("short", "n", "tokens").mapInArrow(explode, "short long, n long, token long")
+    several = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).filter("docs > 1")
+    own = Window.partitionBy("short")
+    # Tokens that no other set holds come first: they take prefix places and no part.
+    place = F.row_number().over(own.orderBy("docs", "token")) + F.col("n") - F.count(F.lit(1)).over(own)
+    prefix = F.expr(f"n - (({percent} * n + 99) div 100) + 1")
+    ranked = tokens.join(several, "token").withColumn("place", place).filter(F.col("place") <= prefix)
+    keys = written(ranked.select("token", "short"), "prefixes")
+    centre = keys.groupBy("token").agg(F.min("short").alias("a"))
+    edges = keys.join(centre, "token").select("a", F.col("short").alias("b")).filter("a <> b").distinct()
+    return components(written(edges, "shared")).select(F.col("node").alias("short"), F.col("label").alias("area"))
 
 
 def _grouped(
@@ -290,22 +343,18 @@ def similar_documents(
     Two documents link when 100 |A & B| >= percent |A | B| for their shingle sets.
     """
     source = docs.select(F.xxhash64(text).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    read = written(_classes(source, width), "classes")
-    rows = read.filter("slot is null").select("row", "doc_id", "class", "short", "n")
-    # At most SLOTS rows.
-    slots = read.filter("slot is not null").groupBy("slot").agg(F.sum("docs").alias("docs")).toArrow()
-    frequency = np.zeros(SLOTS, np.int64)
-    frequency[slots["slot"].to_numpy()] = slots["docs"].to_numpy()
-
-    prefixes = written(_prefixes(source, width, percent, frequency), "prefixes")
+    rows = written(_classes(source, width), "classes")
     classes = rows.filter("class is not null").groupBy("class", "short", "n").agg(F.min("doc_id").alias("doc_id"))
-    near = written(classes.join(_areas(prefixes), "short"), "near")
-    tiles = near.groupBy("area").agg(F.ceil(F.sum("n") / tile_tokens).cast("int").alias("parts"))
-    chosen = lookup_join(near, tiles, ["area"], ["class"], "inner").withColumn(
+    buckets = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // BUCKET_TOKENS))
+    shared = _shared_counts(source, width, buckets)
+    near = written(classes.join(shared.filter("shared > 0"), "short").filter(F.col("shared") * 100 >= F.col("n") * percent), "near")
+    found = written(_payload(source, near, width), "found")
+    placed = written(found.select("class", "short", "n").join(_areas(found, percent), "short"), "placed")
+    areas = placed.groupBy("area").agg(F.ceil(F.sum("n") / tile_tokens).cast("int").alias("parts"))
+    chosen = lookup_join(placed, areas, ["area"], ["class"], "inner").withColumn(
         "part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
     )
-    chosen = written(chosen, "chosen")
-    sets = written(_payload(source, chosen, width), "sets")
+    sets = written(found.select("class", "tokens").join(chosen.select("class", "area", "part", "parts"), "class"), "sets")
     linked = components(_links(sets, percent))
 
     # Smallest id of every component, then of every class.
