@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import decontam, jaccard, langid, packing, quality, secrets, suffixes, suffixtree, warc
+from tallymark.llm import decontam, jaccard, langid, packing, quality, secrets, suffixes, suffixtree, urls, warc
 from tallymark.llm.common import table
 
 #: Vocabulary file of a public tokeniser; a parameter of the operators, never copied.
@@ -76,3 +76,8 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 CHECKS["op4_secret_scan"] = secrets.SQL
+
+
+@query
+def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.url_filter(table(spark, folder, "pages"))
