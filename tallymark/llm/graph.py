@@ -11,9 +11,9 @@ from tallymark.llm.common import written
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) pairs to (node, label), label being the smallest node of the component.
 
-    Each round a node takes the smallest label among its neighbours and then the label
-    of that label, so paths shorten by half or better; a round is two joins and two
-    aggregations that merge before they move rows. Labels are written after each round.
+    Each round a node takes the smallest among its neighbours' labels and the label of its
+    label, so paths shorten by half or so; a round is three joins and an aggregation that
+    merges before it moves rows. Labels are written after each round.
     Edges may repeat and may join a node with itself; nodes of any ordered type; NULL
     ends are dropped. No edges, no rows.
     """
@@ -27,13 +27,13 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(
             F.min("label").alias("near")
         )
-        lower = labels.join(near, labels["node"] == near["a"]).select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label")
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        lower = (
+            labels.join(near, labels["node"] == near["a"])
+            .join(jump, "label", "left")
+            .select("node", F.col("label").alias("old"), F.least("label", "near", "next").alias("label"))
         )
-        step = written(lower, "labels")
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = step.join(jump, "label", "left").select("node", "old", F.least("label", "next").alias("label"))
-        labels = written(jumped, "labels")
+        labels = written(lower, "labels")
         if labels.filter(F.col("old") != F.col("label")).isEmpty():
             return labels.select("node", "label")
         labels = labels.select("node", "label")

@@ -81,3 +81,10 @@ CHECKS["op4_secret_scan"] = secrets.SQL
 @query
 def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.url_filter(table(spark, folder, "pages"))
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
