@@ -52,11 +52,12 @@ def is_sample(parts: Column) -> Column:
 
 
 def label_map(parts: Column) -> Column:
+    """Labels of a sample line; NULL when a name stands there twice."""
     block = F.get(parts, F.lit(3))
     names = F.regexp_extract_all(block, F.lit(_PAIR), F.lit(1))
     values = F.regexp_extract_all(block, F.lit(_PAIR), F.lit(2))
     plain = F.transform(values, lambda value: F.when(value.contains("\\"), unescape_label(value)).otherwise(value))
-    return F.map_from_arrays(names, plain)
+    return F.when(F.size(F.array_distinct(names)) == F.size(names), F.map_from_arrays(names, plain))
 
 
 def sample_value(parts: Column) -> Column:

@@ -29,11 +29,13 @@ def add_value(df: DataFrame, text: Column, name: str) -> DataFrame:
     """Adds the VARIANT of a text that is one JSON value and nothing else.
 
     The variant parser ignores whatever follows the first value. Put into an array with
-    an end mark, a text with such a rest moves the mark from its place, and then it is
-    refused. The array is a column of its own, so that every text is parsed once.
+    an end mark, a text with such a rest moves the mark from its place or leaves more
+    behind it, and then it is refused. The array is a column of its own, so that every text is parsed once.
     """
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
-    whole = F.try_variant_get("_wrapped", "$[1]", "string") == _END
+    whole = (F.try_variant_get("_wrapped", "$[1]", "string") == _END) & F.try_variant_get(
+        "_wrapped", "$[2]", "variant"
+    ).isNull()
     return (
         df.withColumn("_wrapped", wrapped)
         .withColumn(name, F.when(whole, F.try_variant_get("_wrapped", "$[0]", "variant")))
@@ -128,27 +130,55 @@ def refusal_text(reply: Column) -> Column:
     return F.nullif(text_at(message_of(reply), "refusal"), F.lit(""))
 
 
-# A JSON string (closed or running to the end of the text) or one brace.
-_TOKEN = re.compile(r'"(?:\\.|[^"\\])*+"?|[{}]', re.S)
+# All that moves the scanner.
+_TOKEN = re.compile(r'[{}"\\]')
+
+
+def _merged(one: dict[int, list[int]], level: int, other: dict[int, list[int]], other_level: int):
+    """Open starts of two scanners that go on alike, the smaller told at the larger's level."""
+    if len(one) < len(other):
+        one, level, other, other_level = other, other_level, one, level
+    for target, starts in other.items():
+        one.setdefault(target + level - other_level, []).extend(starts)
+    return one, level
 
 
 def _balanced_object(text: str | None) -> str | None:
-    """First {...} whose braces balance outside strings; the text when none does."""
+    """First {...} whose braces balance outside strings; the text when none does.
+
+    One pass for all starts: starts whose scanners are in the same state (outside or
+    inside a string) share one brace level and are filed by the level at which they
+    balance, so the time is linear in the text.
+    """
     if text is None:
         return None
-    last_close = text.rfind("}")
-    start = text.find("{")
-    while 0 <= start < last_close:
-        depth = 0
-        for token in _TOKEN.finditer(text, start):
-            if token[0] == "{":
-                depth += 1
-            elif token[0] == "}":
-                depth -= 1
-                if depth == 0:
-                    return text[start : token.end()]
-        start = text.find("{", start + 1)
-    return text
+    outside: dict[int, list[int]] = {}
+    inside: dict[int, list[int]] = {}
+    level = inside_level = 0
+    escaped = -1
+    first, end = len(text), 0
+    for token in _TOKEN.finditer(text):
+        at = token.start()
+        kind = text[at]
+        if kind == "{":
+            outside.setdefault(level, []).append(at)
+            level += 1
+        elif kind == "}":
+            level -= 1
+            done = outside.pop(level, None)
+            if done:
+                start = min(done)
+                if start < first:
+                    first, end = start, at + 1
+        elif kind == '"':
+            if at == escaped:
+                inside, inside_level = _merged(inside, inside_level, outside, level)
+                outside, level = {}, 0
+            else:
+                outside, inside, level, inside_level = inside, outside, inside_level, level
+        elif at != escaped:
+            escaped = at + 1
+    return text[first:end] if end else text
 
 
 @once_per_row(T.StringType())

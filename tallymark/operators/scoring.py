@@ -17,8 +17,6 @@ from tallymark.operators.skew import first_n, lookup_join
 _NOT_AN_OBJECT = "model response JSON must be an object"
 _NOT_JSON = "model response is not valid JSON"
 
-SUCCESS_FLAGS = ("request_success", "parse_success", "schema_success", "exact_match")
-
 
 # --- chat records -----------------------------------------------------------------
 
@@ -46,17 +44,23 @@ def pick_roles(records: DataFrame) -> DataFrame:
         "truth",
         "system_texts",
         clean_prompt(F.try_element_at("_user", F.lit(1))).alias("prompt"),
-        F.when(F.size("_assistant") == 0, F.lit("record has no assistant ground-truth message"))
+        _record_error(F.size("_assistant") > 0, F.size("_user") > 0).alias("record_error"),
+    )
+
+
+def _record_error(has_truth: Column, has_user: Column) -> Column:
+    """What a record lacks; _truth is the parsed truth."""
+    return (
+        F.when(~has_truth, F.lit("record has no assistant ground-truth message"))
         .when(F.col("_truth").isNull(), F.lit("assistant ground truth must be a JSON object"))
-        .when(F.size("_user") == 0, F.lit("record has no user message"))
-        .alias("record_error"),
+        .when(~has_user, F.lit("record has no user message"))
     )
 
 
 def pick_roles_by_turn(turns: DataFrame) -> DataFrame:
     """The same picks from one row per turn, without building a record array: the
-    first assistant and user text by a mergeable aggregate, and the number of system
-    turns (their texts stay rows, see system_turns)."""
+    first assistant and user text by a mergeable aggregate. Only the system texts, which
+    a record returns all of, are gathered."""
 
     def first(role: str) -> Column:
         return F.min_by("text", F.when(F.col("role") == role, F.col("turn")))
@@ -64,18 +68,17 @@ def pick_roles_by_turn(turns: DataFrame) -> DataFrame:
     picked = turns.groupBy("conv_id").agg(
         first("assistant").alias("truth"),
         first("user").alias("prompt"),
-        F.count_if(F.col("role") == "system").alias("system_turns"),
+        F.sort_array(F.collect_list(F.when(F.col("role") == "system", F.struct("turn", "text")))).alias("_system"),
         F.bool_or(F.col("role") == "assistant").alias("_has_truth"),
         F.bool_or(F.col("role") == "user").alias("_has_user"),
     )
-    return picked.select(
+    has_truth, has_user = (F.coalesce(name, F.lit(False)) for name in ("_has_truth", "_has_user"))
+    return P.add_object(picked, "truth", "_truth").select(
         "conv_id",
-        F.when(F.col("_has_truth"), F.col("truth")).alias("truth"),
-        F.when(F.col("_has_user"), clean_prompt(F.col("prompt"))).alias("prompt"),
-        "system_turns",
-        F.when(~F.col("_has_truth"), F.lit("record has no assistant ground-truth message"))
-        .when(~F.col("_has_user"), F.lit("record has no user message"))
-        .alias("record_error"),
+        "truth",
+        F.col("_system.text").alias("system_texts"),
+        clean_prompt(F.col("prompt")).alias("prompt"),
+        _record_error(has_truth, has_user).alias("record_error"),
     )
 
 

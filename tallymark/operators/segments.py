@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark import constants as K
 from tallymark.operators.skew import first_n, lookup_join
 
 # documents: file_id, doc_no, n_pages, document_code, document_name,
@@ -27,7 +26,15 @@ def allowed_groups(documents: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def range_error(ranges: Column) -> Column:
-    """First problem among [start, end] pairs, in their order."""
+    """First problem among [start, end] pairs, in their order.
+
+    Sound pairs overlap if two neighbours by start do, so only a list that also holds an
+    unsound pair is compared pair by pair, to tell which problem comes first.
+    """
+    unsound = F.exists(ranges, lambda pair: (pair[0] < 1) | (pair[1] < pair[0]))
+    ordered = F.sort_array(ranges)
+    following = F.slice(ordered, F.lit(2), F.greatest(F.size(ordered), F.lit(1)))
+    overlap = F.exists(F.zip_with(ordered, following, lambda a, b: a[1] >= b[0]), lambda meets: meets)
 
     def problem(pair: Column, index: Column) -> Column:
         start, end = pair[0], pair[1]
@@ -36,7 +43,8 @@ def range_error(ranges: Column) -> Column:
             (start < 1) | (end < start), F.lit("page_ranges must contain positive [start_page, end_page] pairs")
         ).when(clash, F.lit("page_ranges must be disjoint"))
 
-    return F.try_element_at(F.array_compact(F.transform(ranges, problem)), F.lit(1))
+    first = F.try_element_at(F.array_compact(F.transform(ranges, problem)), F.lit(1))
+    return F.when(unsound, first).when(overlap, F.lit("page_ranges must be disjoint"))
 
 
 def page_error(n_pages: Column) -> Column:
@@ -55,7 +63,6 @@ def page_error(n_pages: Column) -> Column:
     )
     same_pages = (F.size(order) == covered) & F.forall(order, in_ranges)
     rules = [
-        (n_pages > K.MAX_PDF_PAGES, F.lit("PDF exceeds MAX_PDF_PAGES")),
         (F.size(order) == 0, F.lit("page_order must not be empty")),
         (F.size(ranges) == 0, F.lit("page_ranges must not be empty")),
         (range_error(ranges).isNotNull(), range_error(ranges)),
@@ -78,15 +85,18 @@ def check_pages(documents: DataFrame) -> DataFrame:
 
 
 def expand_pages(documents: DataFrame) -> DataFrame:
-    """One row per page a document covers. Only documents with sound ranges inside a
-    file of at most MAX_PDF_PAGES pages expand, so a row yields at most that many."""
-    sound = documents.filter(
-        (F.col("n_pages") <= K.MAX_PDF_PAGES)
-        & range_error(F.col("page_ranges")).isNull()
-        & F.forall("page_ranges", lambda pair: pair[1] <= F.col("n_pages"))
+    """One row per page a document covers, however many. A document with unsound ranges,
+    or with some beyond its file, gives one row without a page that says why."""
+    ranges = F.col("page_ranges")
+    beyond = F.exists(ranges, lambda pair: pair[1] > F.col("n_pages"))
+    error = F.coalesce(
+        range_error(ranges), F.when(beyond, F.lit("page_ranges reference a page outside the file"))
+    )
+    judged = documents.select("file_id", "doc_no", "page_ranges", error.alias("error"))
+    pages = F.flatten(F.transform(ranges, lambda pair: F.sequence(pair[0], pair[1])))
+    return judged.select(
+        "file_id", "doc_no", F.explode_outer(F.when(F.col("error").isNull(), pages)).alias("page"), "error"
     )
-    pages = F.flatten(F.transform("page_ranges", lambda pair: F.sequence(pair[0], pair[1])))
-    return sound.select("file_id", "doc_no", F.explode(pages).alias("page"))
 
 
 def page_overlap(documents: DataFrame) -> DataFrame:
@@ -95,7 +105,8 @@ def page_overlap(documents: DataFrame) -> DataFrame:
     Only the two first documents per page matter, so tasks drop all others before the
     shuffle; a page shared by very many documents stays cheap.
     """
-    two = first_n(expand_pages(documents), ["file_id", "page"], ["doc_no"], 2)
+    pages = expand_pages(documents).filter("page is not null")
+    two = first_n(pages, ["file_id", "page"], ["doc_no"], 2)
     shared = (
         two.groupBy("file_id", "page")
         .agg(F.count(F.lit(1)).alias("claims"), F.max("doc_no").alias("doc_no"))

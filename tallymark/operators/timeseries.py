@@ -122,6 +122,13 @@ def counter_windows(samples: DataFrame, series: list[str], step: int, reach: int
         F.max_by("value", "_us").alias("last_value"),
         F.sum(F.when(F.col("value") < F.col("_before"), F.col("_before")).otherwise(F.lit(0.0))).alias("resets"),
     )
+    return merged_windows(pieces, series, piece, step, reach)
+
+
+def merged_windows(pieces: DataFrame, series: list[str], piece: int, step: int, reach: int) -> DataFrame:
+    """Windows (t - reach, t] from summaries of slices of `piece` seconds that end at
+    _end (seconds); `piece` divides step and reach."""
+    bucket = math.gcd(step, reach)
     if piece < bucket:
         aligned = pieces.withColumn("_end", (F.ceil(F.col("_end") / bucket) * bucket).cast("bigint"))
         pieces = _merge_by(aligned, [*series, "_end"])
@@ -234,18 +241,34 @@ def scrape_grid(
 
 
 def parse_scrape(lines: DataFrame, text: str = "line") -> DataFrame:
-    """Sample lines of a text exposition as metric, labels, value, time_ms; comments
-    and unreadable lines are left out."""
-    parts = F.col("_parts")
+    """Sample lines of a text exposition as metric, labels, value, time_ms. Comments and
+    blank lines are no samples; what else is none stands in scrape_rejects()."""
+    judged = _judged_lines(lines, text)
+    return judged.filter("_error is null").drop(text, "_error")
+
+
+def scrape_rejects(lines: DataFrame, text: str = "line") -> DataFrame:
+    """Lines that are neither samples nor comments, with an error each."""
     others = [name for name in lines.columns if name != text]
+    return _judged_lines(lines, text).filter("_error is not null").select(*others, text, F.col("_error").alias("error"))
+
+
+def _judged_lines(lines: DataFrame, text: str) -> DataFrame:
+    parts = F.col("_parts")
     # Comments go before anything is matched.
-    candidates = lines.filter(~F.col(text).startswith("#")).withColumn("_parts", line_parts(F.col(text)))
-    return candidates.filter(is_sample(parts)).select(
-        *others,
+    candidates = lines.filter(~F.col(text).startswith("#") & (F.trim(text) != ""))
+    split = candidates.withColumn("_parts", line_parts(F.col(text))).withColumn(
+        "_labels", F.when(is_sample(parts), label_map(parts))
+    )
+    return split.select(
+        *lines.columns,
         F.get(parts, F.lit(0)).alias("metric"),
-        label_map(parts).alias("labels"),
+        F.col("_labels").alias("labels"),
         sample_value(parts).alias("value"),
         sample_time_ms(parts).alias("time_ms"),
+        F.when(~is_sample(parts), F.lit("line is no sample"))
+        .when(F.col("_labels").isNull(), F.lit("a label name is repeated"))
+        .alias("_error"),
     )
 
 

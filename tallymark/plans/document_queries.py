@@ -175,8 +175,7 @@ QUERIES = {
 # --- checks ---------------------------------------------------------------------------
 
 _SEG = f"WITH seg AS ({SEGMENTS_SQL})"
-_PAGE_ERROR = """CASE WHEN n_pages > 20 THEN 'PDF exceeds MAX_PDF_PAGES'
-  WHEN len(page_order) = 0 THEN 'page_order must not be empty'
+_PAGE_ERROR = """CASE WHEN len(page_order) = 0 THEN 'page_order must not be empty'
   WHEN last_page < first_page OR first_page < 1 THEN 'page_ranges must contain positive [start_page, end_page] pairs'
   WHEN len(list_distinct(page_order)) < len(page_order) THEN 'page_order must not contain duplicate pages'
   WHEN len(list_filter(page_order, lambda x: x < 1 OR x > n_pages)) > 0 THEN 'page_order references a page outside the file'
@@ -289,7 +288,8 @@ _URLS = f"{with_clause('f_fetch')}, u AS (SELECT *, {_AUTH} AS auth FROM f_fetch
 CHECKS = {
     "allowed_groups": f"{_SEG} SELECT file_id, doc_no, document_code, 'Chat' AS group_name, coalesce(nullif(document_name, ''), 'Chat') AS document_name FROM seg WHERE document_code = 'chat'",
     "page_check": f"{_SEG} SELECT file_id, doc_no, {_PAGE_ERROR} AS page_error FROM seg",
-    "page_expand": f"{_SEG} SELECT file_id, doc_no, cast(unnest(generate_series(first_page, last_page)) AS int) AS page FROM seg WHERE n_pages <= 20 AND last_page <= n_pages",
+    "page_expand": f"""{_SEG} SELECT file_id, doc_no, cast(unnest(generate_series(first_page, last_page)) AS int) AS page, cast(NULL AS varchar) AS error FROM seg WHERE last_page <= n_pages
+UNION ALL SELECT file_id, doc_no, NULL, 'page_ranges reference a page outside the file' FROM seg WHERE last_page > n_pages""",
     "page_overlap": f"""{_SEG}, ok AS (SELECT * FROM seg WHERE document_code = 'chat' AND ({_PAGE_ERROR}) IS NULL),
 px AS (SELECT file_id, doc_no, unnest(generate_series(first_page, last_page)) AS page FROM ok),
 lap AS (SELECT a.file_id, a.doc_no, a.page FROM px a WHERE EXISTS (SELECT 1 FROM px b WHERE b.file_id = a.file_id AND b.page = a.page AND b.doc_no < a.doc_no)),

@@ -385,13 +385,11 @@ def segments(spark: SparkSession, folder: str) -> DataFrame:
         F.when((kind == 5) & (F.col("doc_no") == 1), F.lit("unknown")).otherwise("chat").alias("document_code"),
         F.when(F.col("doc_no") % 2 == 0, F.lit("")).otherwise("Titled").alias("document_name"),
     )
-    # A file over the page limit is refused whole, so its page lists are never built.
-    order = F.when(
-        F.col("n_pages") <= K.MAX_PDF_PAGES,
+    order = (
         F.when(kind == 1, F.slice(F.sequence("first_page", "last_page"), F.lit(1), F.col("last_page") - F.col("first_page")))
         .when(kind == 3, F.concat(F.sequence("first_page", "last_page"), F.array("first_page")))
-        .otherwise(F.sequence("first_page", "last_page")),
-    ).otherwise(F.array().cast("array<int>"))
+        .otherwise(F.sequence("first_page", "last_page"))
+    )
     copies = F.when(
         (kind == 0) & (F.col("doc_no") == 0),
         F.array(F.struct((F.col("last_page") + 1).alias("page"), F.col("first_page").alias("duplicate_of"))),

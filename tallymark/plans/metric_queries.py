@@ -105,11 +105,7 @@ def expose_render(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    stream = (
-        spark.readStream.schema(R.TABLE_SCHEMAS["events"])
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(folder)
-    )
+    stream = R.table_stream(spark, folder, "events")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -120,7 +116,7 @@ def stream_summary(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status_code"),
         (F.col("value") / 97).alias("latency_s"),
     )
-    out = J.run_updates(J.latency_stream(requests), "latency")
+    out = J.run_updates(J.latency_stream(requests), "latency").path
     last = J.last_versions(spark, out, ["window_start", "model"])
     return last.select(F.date_format("window_start", "yyyy-MM-dd").alias("run_day"), "model", *J.LATENCY_COLUMNS)
 
@@ -133,9 +129,9 @@ def stream_rate(spark: SparkSession, folder: str) -> DataFrame:
         "ts",
         _day_counter(F.col("ts")).alias("value"),
     )
-    out = J.run_updates(J.rate_stream(samples, SERIES, REACH), "rate")
-    last = J.last_versions(spark, out, [*SERIES, "step_s"])
-    return J.finished_rates(last, SERIES, REACH).withColumn("rate", F.round("rate", 6))
+    out = J.run_updates(J.rate_stream(samples, SERIES), "rate").path
+    last = J.last_versions(spark, out, [*SERIES, "_end"])
+    return J.finished_rates(last, SERIES, REACH, REACH).withColumn("rate", F.round("rate", 6))
 
 
 def _day_counter(ts):

@@ -32,8 +32,13 @@ def _details(spark: SparkSession, folder: str) -> DataFrame:
 
 def role_pick(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations")
-    marked = turns.withColumn("text", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<image>\n"), F.col("text"))).otherwise(F.col("text")))
-    return S.pick_roles_by_turn(marked)
+    marked = turns.withColumn(
+        "text",
+        F.when((F.col("role") == "assistant") & (F.col("conv_id") % 3 > 0), F.to_json(F.struct("text")))
+        .when(F.col("turn") % 2 == 0, F.concat(F.lit("<image>\n"), F.col("text")))
+        .otherwise(F.col("text")),
+    )
+    return S.pick_roles_by_turn(marked).withColumn("system_texts", F.array_join("system_texts", "\n"))
 
 
 def response_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -268,12 +273,26 @@ _RATES = """count(*) AS samples, count(*) FILTER (WHERE request_success) AS requ
  round(avg(latency_s) FILTER (WHERE request_success), 4) AS avg_latency_s, round(min(latency_s) FILTER (WHERE request_success), 4) AS min_latency_s,
  round(max(latency_s) FILTER (WHERE request_success), 4) AS max_latency_s"""
 
+_TOLERANT = f"""{with_clause('f_truth')},
+told AS (SELECT *, shape = 1 AND line_number % 7 = 2 AS prose, response LIKE '%{{%' AS has_object,
+  CASE WHEN response LIKE '%{{%' THEN regexp_extract(response, '[{{].*[}}]', 0, 's') END AS object FROM f_truth),
+judged AS (SELECT line_number, side, object, CASE WHEN http_status = 503 THEN 'model returned invalid response JSON'
+  WHEN shape = 2 AND line_number % 7 = 0 THEN 'model refused request: not allowed'
+  WHEN shape = 2 AND line_number % 7 = 1 THEN 'model returned empty content'
+  WHEN has_object THEN NULL
+  WHEN response LIKE '[%' AND NOT prose THEN 'model JSON response must be an object'
+  ELSE 'model returned invalid JSON' END AS parse_error FROM told)
+SELECT line_number, side, CASE WHEN parse_error IS NULL THEN object END AS payload_text, parse_error FROM judged"""
+
 CHECKS = {
-    "role_pick": """WITH t AS (SELECT conv_id, turn, role, CASE WHEN turn % 2 = 0 THEN concat('<image>', chr(10), text) ELSE text END AS text FROM conversations)
+    "response_parse_tolerant": _TOLERANT,
+    "role_pick": """WITH t AS (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND conv_id % 3 > 0 THEN cast(json_object('text', text) AS varchar)
+  WHEN turn % 2 = 0 THEN concat('<image>', chr(10), text) ELSE text END AS text FROM conversations)
 SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'assistant') AS truth,
  trim(replace(replace(arg_min(text, turn) FILTER (WHERE role = 'user'), concat('<image>', chr(10)), ''), '<image>', '')) AS prompt,
- count(*) FILTER (WHERE role = 'system') AS system_turns,
+ coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role = 'system'), '') AS system_texts,
  CASE WHEN count(*) FILTER (WHERE role = 'assistant') = 0 THEN 'record has no assistant ground-truth message'
+      WHEN conv_id % 3 = 0 THEN 'assistant ground truth must be a JSON object'
       WHEN count(*) FILTER (WHERE role = 'user') = 0 THEN 'record has no user message' END AS record_error FROM t GROUP BY conv_id""",
     "response_text": f"""{with_clause('f_replies')} SELECT line_number, side, {_reply_text('body')} AS content,
  CASE WHEN json_valid(body) THEN nullif(json_extract_string(body, '{_MESSAGE}.refusal'), '') END AS refusal FROM f_replies""",

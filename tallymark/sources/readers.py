@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tallymark.functions import once_per_row, ship_by_value
 from tallymark.operators.labels import LABEL_COLUMNS
-from tallymark.session import new_shared_path
+from tallymark.operators.skew import lookup_join
+from tallymark.session import write_once
 
 TABLE_SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -41,39 +37,37 @@ SIDECAR_SCHEMA = (
     "serving_targets array<string>, quantizations array<string>, status string, downloaded string"
 )
 
-ship_by_value(__name__)
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A driver table under its known schema, so that no file is opened to plan."""
     return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-# Offsets are three numbers per file block; up to this many may be broadcast.
-MAX_BROADCAST_BLOCKS = 1_000_000
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A driver table as a stream: one file, or a folder of part files."""
+    return spark.readStream.schema(TABLE_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet*")
 
 
 def with_ordinal(rows: DataFrame, name: str, first: int) -> DataFrame:
     """Dense row ordinal per file, starting at `first`.
 
     rows carry _file, _block (start of the file block a task read) and _row (row order
-    inside the task). Each block's rows are consecutive there, so an ordinal is the
-    rows of the file's earlier blocks plus the place inside the block. The offsets, one
-    line per block, are written once; their number decides how they are joined.
+    inside the task). They are written first: blocks and places are those of one scan,
+    whatever split sizes hold later. Each block's rows are consecutive there, so an
+    ordinal is the rows of the file's earlier blocks plus the place inside the block.
+    Block offsets are a table of their own and join by key; a block without one is an
+    error, never a lost row.
     """
-    spark = rows.sparkSession
-    at = ["_file_key", "_block"]
-    placed = rows.withColumn("_file_key", F.xxhash64("_file"))
+    at = ["_file", "_block"]
+    placed = write_once(rows, "rows")
     blocks = placed.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_start"))
-    earlier = Window.partitionBy("_file_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    path = new_shared_path(spark, "offsets")
-    blocks.select(*at, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_start") + first).alias("_add")).write.parquet(path)
-    offsets = spark.read.schema("_file_key bigint, _block bigint, _add bigint").parquet(path)
-    if offsets.count() <= MAX_BROADCAST_BLOCKS:
-        offsets = F.broadcast(offsets)
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select(*at, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_start") + first).alias("_add"))
+    known = F.coalesce(F.col("_add"), F.raise_error(F.lit("a file block has no offset")).cast("bigint"))
     others = [column for column in rows.columns if column not in ("_file", "_block", "_row")]
-    return placed.join(offsets, at).select(
-        F.col("_file").alias("file_name"), (F.col("_row") + F.col("_add")).alias(name), *others
+    joined = lookup_join(placed, offsets, at, ["_row"], "left")
+    return joined.select(
+        F.col("_file").alias("file_name"), (F.col("_row") + known).alias(name), *others
     )
 
 
@@ -139,41 +133,21 @@ def read_run_reports(spark: SparkSession, path: str) -> DataFrame:
     return reports.select("*", F.col("_metadata.file_name").alias("file_name"))
 
 
-def _yaml_loader():
-    try:
-        import yaml
-    except ImportError:
-        return None
-    return yaml.safe_load
-
-
-def _as_json(text: str | None, load) -> str | None:
-    try:
-        return None if text is None else json.dumps(load(text), default=str)
-    except ValueError:
-        return None
-    except Exception as error:  # the YAML library's own error, known only where it is installed
-        if type(error).__module__.startswith("yaml"):
-            return None
-        raise
-
+def read_sidecars(spark: SparkSession, path: str, name: str = "model.json") -> DataFrame:
+    """The small JSON document `name` of each entry directory right below the folder.
 
-@once_per_row(T.StringType())
-def _yaml_as_json(values: pa.Array) -> pa.Array:
-    load = _yaml_loader()
-    return pa.array([_as_json(text, load) for text in values.to_pylist()], pa.string())
-
-
-def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
-    """One small document per entry directory (JSON, or YAML where a YAML library is
-    installed), sorted by directory; empty ones are left out."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    Other files, at any depth, are not opened. A document that cannot be read, or has no
+    id, is a row with an error.
+    """
+    files = spark.read.text(f"{path}/*", wholetext=True, pathGlobFilter=name)
     named = files.select(
         F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1).alias("entry"), F.col("value").alias("text")
     )
-    text = _yaml_as_json(F.col("text")) if _yaml_loader() else F.col("text")
-    parsed = named.withColumn("_doc", F.from_json(text, SIDECAR_SCHEMA))
-    return parsed.filter(F.col("_doc.id").isNotNull()).select("entry", "_doc.*")
+    parsed = named.withColumn("_doc", F.from_json("text", SIDECAR_SCHEMA))
+    error = F.when(~F.col("text").rlike(r"^\s*\{"), F.lit("document is not a JSON object")).when(
+        F.col("_doc.id").isNull(), F.lit("document has no readable id")
+    )
+    return parsed.select("entry", "_doc.*", error.alias("error"))
 
 
 def read_scrapes(spark: SparkSession, path: str) -> DataFrame:

@@ -1,24 +1,44 @@
 """Stream jobs: rolling latency summaries, counter rates, scrape parsing.
 
-Every job runs until its input is used up (availableNow) and writes to the shared
-folder; nothing is collected. Aggregates are written in update mode with the number of
-the micro-batch, and readers keep the last version per key.
+Every job runs until its input is used up (availableNow) and writes to a folder; nothing
+is collected. A job that is given its output and state folders goes on where an earlier
+run stopped; without them it runs once over folders of its own. Aggregates are written
+in update mode with the number of the micro-batch, and readers keep the last version per
+key. Rows that came after their window had closed are counted.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tallymark.operators.latency import latency_measures
-from tallymark.operators.timeseries import extrapolated_rate, parse_scrape
+from tallymark.operators.timeseries import extrapolated_rate, merged_windows, parse_scrape
 from tallymark.session import new_shared_path
 
 
-def run_updates(stream: DataFrame, label: str) -> str:
-    """Runs an aggregating stream to the end; returns the folder with all versions."""
+class Run(NamedTuple):
+    """Output folder of a run, and how many rows were too late for their window."""
+
+    path: str
+    late_rows: int
+
+
+def _late_rows(query: StreamingQuery) -> int:
+    return sum(
+        operator.numRowsDroppedByWatermark for progress in query.recentProgress for operator in progress.stateOperators
+    )
+
+
+def run_updates(stream: DataFrame, label: str, out: str | None = None, state: str | None = None) -> Run:
+    """Runs an aggregating stream to the end of its input; `out` holds all versions."""
     spark = stream.sparkSession
-    out = new_shared_path(spark, label)
+    out = out or new_shared_path(spark, label)
+    # A version without rows: the output has a schema even if no batch ever runs.
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
 
     def keep(batch: DataFrame, number: int) -> None:
         # A batch that runs again after a failure replaces its own folder.
@@ -26,13 +46,13 @@ def run_updates(stream: DataFrame, label: str) -> str:
 
     query = (
         stream.writeStream.outputMode("update")
-        .option("checkpointLocation", new_shared_path(spark, f"{label}-state"))
+        .option("checkpointLocation", state or new_shared_path(spark, f"{label}-state"))
         .trigger(availableNow=True)
         .foreachBatch(keep)
         .start()
     )
     query.awaitTermination()
-    return out
+    return Run(out, _late_rows(query))
 
 
 def last_versions(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
@@ -59,8 +79,8 @@ def latency_stream(requests: DataFrame, every: str = "1 day", late: str = "1 day
 LATENCY_COLUMNS = ["num_requests", "successful", "avg_latency_s", "min_latency_s", "max_latency_s"]
 
 
-def _summary(samples: Column, reach: int, start: Column) -> list[Column]:
-    """Window aggregates of a sorted array of (us, value)."""
+def _summary(samples: Column, piece: int, start: Column) -> list[Column]:
+    """Slice aggregates of a sorted array of (us, value)."""
     first, last = F.element_at(samples, 1), F.element_at(samples, -1)
     resets = F.aggregate(
         samples,
@@ -72,7 +92,7 @@ def _summary(samples: Column, reach: int, start: Column) -> list[Column]:
         lambda state: state["sum"],
     )
     return [
-        (F.unix_seconds(start) + reach).alias("step_s"),
+        (F.unix_seconds(start) + piece).alias("_end"),
         F.size(samples).cast("bigint").alias("samples"),
         first["us"].alias("first_us"),
         last["us"].alias("last_us"),
@@ -82,24 +102,32 @@ def _summary(samples: Column, reach: int, start: Column) -> list[Column]:
     ]
 
 
-def rate_stream(samples: DataFrame, series: list[str], reach: int, late: str = "1 day") -> DataFrame:
-    """Counter rate per series and window (t - reach, t], carried over micro-batches.
+PIECE_SECONDS = 60
+
+
+def rate_stream(samples: DataFrame, series: list[str], piece: int = PIECE_SECONDS, late: str = "1 day") -> DataFrame:
+    """Summary of a counter per series and slice (t - piece, t], over micro-batches;
+    finished_rates() merges slices to windows of any reach.
 
-    The state is keyed by series and window, so a busy series spreads over windows and
-    leaves the state when its window closes. Repeated samples of an instant are dropped
-    first (a store keeps one), which bounds a window by its number of instants.
+    The state is keyed by series and slice and holds the samples of one slice, so a busy
+    series spreads over its slices, which leave the state as they close. Repeated samples
+    of an instant are dropped first (a store keeps one).
     """
     # Windows include their start; one microsecond less makes them include their end.
     shifted = samples.withWatermark("ts", late).dropDuplicates([*series, "ts"]).withColumn(
         "_at", F.col("ts") - F.expr("interval 1 microsecond")
     )
-    collected = shifted.groupBy(F.window("_at", f"{reach} seconds"), *series).agg(
+    collected = shifted.groupBy(F.window("_at", f"{piece} seconds"), *series).agg(
         F.sort_array(F.collect_list(F.struct(F.unix_micros("ts").alias("us"), "value"))).alias("_samples")
     )
-    return collected.select(*series, *_summary(F.col("_samples"), reach, F.col("window.start")))
+    return collected.select(*series, *_summary(F.col("_samples"), piece, F.col("window.start")))
 
 
-def finished_rates(windows: DataFrame, series: list[str], reach: int) -> DataFrame:
+def finished_rates(
+    slices: DataFrame, series: list[str], step: int, reach: int, piece: int = PIECE_SECONDS
+) -> DataFrame:
+    """Rates over (t - reach, t] from the last versions of rate_stream()."""
+    windows = merged_windows(slices, series, piece, step, reach)
     return extrapolated_rate(windows, reach).select(*series, "step_s", "rate")
 
 
@@ -109,15 +137,15 @@ def scrape_stream(spark: SparkSession, folder: str) -> DataFrame:
     return parse_scrape(lines)
 
 
-def run_append(stream: DataFrame, label: str) -> str:
-    """Runs a stateless stream to the end; returns the folder it wrote."""
+def run_append(stream: DataFrame, label: str, out: str | None = None, state: str | None = None) -> str:
+    """Runs a stateless stream to the end of its input; returns the folder it wrote."""
     spark = stream.sparkSession
-    out = new_shared_path(spark, label)
+    out = out or new_shared_path(spark, label)
     query = (
         stream.writeStream.outputMode("append")
         .format("parquet")
         .option("path", out)
-        .option("checkpointLocation", new_shared_path(spark, f"{label}-state"))
+        .option("checkpointLocation", state or new_shared_path(spark, f"{label}-state"))
         .trigger(availableNow=True)
         .start()
     )

@@ -43,13 +43,31 @@ def test_page_rules_in_order(spark):
         ({"d": [(7, 1)]}, "duplicate_pages reference a page outside the file"),
         ({"d": [(3, 3)]}, "duplicate_of must reference a page in page_order"),
         ({"d": [(3, 2)]}, None),
-        ({"n": 21}, "PDF exceeds MAX_PDF_PAGES"),
+        ({"n": 21}, None),
     ]
     checked = S.check_pages(docs(spark, *[case for case, _ in cases]))
     got = {r.doc_no: r.page_error for r in checked.collect()}
     assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
 
 
+def test_files_of_any_length_expand(spark):
+    frame = docs(
+        spark,
+        {"n": 21, "r": [[1, 21]]},
+        {"f": 2, "n": 5000, "r": [[i, i] for i in range(1, 5001)]},
+        {"f": 3, "n": 2, "r": [[1, 3]]},
+        {"f": 4, "r": [[2, 1]]},
+    )
+    got = {}
+    for r in S.expand_pages(frame).collect():
+        got.setdefault(r.file_id, []).append((r.page, r.error))
+    assert sorted(p for p, _ in got[1]) == list(range(1, 22)) and len(got[2]) == 5000
+    assert got[3] == [(None, "page_ranges reference a page outside the file")]
+    assert got[4] == [(None, "page_ranges must contain positive [start_page, end_page] pairs")]
+    shared = docs(spark, {"n": 5000, "r": [[1, 4000]]}, {"n": 5000, "r": [[2, 2], [4001, 5000]]})
+    assert [(r.doc_no, r.pages) for r in S.page_overlap(shared).collect()] == [(1, [2])]
+
+
 def test_groups_allow_and_name(spark):
     groups = spark.createDataFrame([("invoice", "Invoice")], "group_code string, group_name string")
     kept = S.allowed_groups(docs(spark, {"t": ""}, {"t": "Bill"}, {"c": "unknown"}), groups).collect()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallymark.functions import exposition as X
 from tallymark.operators import latency as L
 from tallymark.operators import timeseries as T
+from tallymark.sources import readers as R
 from tallymark.streaming import jobs as J
 
 BASE = 1_700_000_040  # a multiple of 60
@@ -111,6 +112,12 @@ def test_exposition_round_trip(spark):
     got = [(r.metric, r.value, r.time_ms) for r in T.parse_scrape(odd).collect()]
     assert got[:3] == [("a", math.inf, 17), ("a", 4.0, None), ("a", 3.0, None)]
     assert math.isnan(got[3][1]) and len(got) == 4
+    twice = spark.createDataFrame([('bad{a="1",a="2"} 3',), ("x y z",), ("# c",), (" ",), ("ok 1",)], "line string")
+    assert [r.metric for r in T.parse_scrape(twice).collect()] == ["ok"]
+    assert {(r.line, r.error) for r in T.scrape_rejects(twice).collect()} == {
+        ('bad{a="1",a="2"} 3', "a label name is repeated"),
+        ("x y z", "line is no sample"),
+    }
     huge = spark.createDataFrame([('a{b="' + "x\\\\" * 200_000 + '"} 1',)], "line string")
     assert len(T.parse_scrape(huge).first().labels["b"]) == 400_000
 
@@ -150,10 +157,34 @@ def test_streamed_rate_equals_batch_over_several_files(spark, tmp_path):
     for start in range(0, 200, 50):
         frame(spark, points[start : start + 50]).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    out = J.run_updates(J.rate_stream(stream, ["series"], 60), "rates")
-    last = J.last_versions(spark, out, ["series", "step_s"])
-    got = {r.step_s: r.rate for r in J.finished_rates(last, ["series"], 60).collect()}
+    out = J.run_updates(J.rate_stream(stream, ["series"]), "rates").path
+    last = J.last_versions(spark, out, ["series", "_end"])
+    got = {r.step_s: r.rate for r in J.finished_rates(last, ["series"], 60, 60).collect()}
     want = {r.step_s: r.rate for r in T.counter_rate(whole, ["series"], 60, 60).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+
+
+def test_streams_resume_over_a_folder_table(spark, tmp_path):
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+    def add(rows):
+        data = [(i, dt.datetime(2024, 1, day), i, kind, value, None) for i, day, kind, value in rows]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+
+    def run():
+        events = R.table_stream(spark, str(tmp_path), "events").select(
+            F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("model"), F.lit(200).alias("status_code"), F.col("value").alias("latency_s")
+        )
+        ran = J.run_updates(J.latency_stream(events, late="1 second"), "latency", str(tmp_path / "out"), str(tmp_path / "state"))
+        last = J.last_versions(spark, ran.path, ["window_start", "model"])
+        return {(r.window_start.day, r.model): r.num_requests for r in last.collect()}, ran.late_rows
+
+    (tmp_path / "events.parquet").mkdir()
+    assert run() == ({}, 0)
+    add([(1, 1, "a", 1.0), (2, 1, "a", 2.0)])
+    add([(3, 1, "b", 2.0), (4, 9, "a", 2.0)])
+    assert run() == ({(1, "a"): 2, (1, "b"): 1, (9, "a"): 1}, 0)
+    add([(5, 9, "a", 3.0), (6, 2, "a", 1.0)])
+    assert run() == ({(1, "a"): 2, (1, "b"): 1, (9, "a"): 2}, 1)

@@ -1,10 +1,12 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallymark.operators import catalog as C
 from tallymark.operators import labels as L
 from tallymark.operators import latency as A
+from tallymark.session import shared_folder
 from tallymark.sources import readers as R
 from tallymark.sources import writers as W
 
@@ -61,17 +63,60 @@ def test_run_reports(spark, tmp_path):
 
 
 def test_sidecars(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "sub").mkdir()
+    for other in ("a/config.json", "a/sub/model.json", "a/weights.bin"):
+        (tmp_path / other).write_text('{"id": "no entry"}')
     entries = {"b": {"id": "b", "format": "gguf", "serving_target": "ollama"}, "a": {"id": "a", "serving_targets": ["vllm", "mlx"], "format": "gguf"}, "c": None}
     for name, entry in entries.items():
-        (tmp_path / name).mkdir()
-        (tmp_path / name / "model.json").write_text(json.dumps(entry, indent=1) if entry else "")
-    full = {r.id: r for r in C.normalize_entries(R.read_sidecars(spark, str(tmp_path))).collect()}
+        (tmp_path / name).mkdir(exist_ok=True)
+        (tmp_path / name / "model.json").write_text(json.dumps(entry, indent=1) if entry else "broken")
+    read = R.read_sidecars(spark, str(tmp_path))
+    assert {r.entry: r.error for r in read.collect()} == {"a": None, "b": None, "c": "document is not a JSON object"}
+    good = read.filter("error is null").drop("error")
+    full = {r.id: r for r in C.normalize_entries(good).collect()}
     assert sorted(full) == ["a", "b"]
     assert full["a"].serving_target == "vllm" and full["b"].serving_targets == ["ollama"]
-    status = {r.id: r.check_status for r in C.check_catalog(C.normalize_entries(R.read_sidecars(spark, str(tmp_path)))).collect()}
+    status = {r.id: r.check_status for r in C.check_catalog(C.normalize_entries(good)).collect()}
     assert status == {"a": "WARN: gguf incompatible with target(s): vllm, mlx; allowed: llama.cpp, ollama", "b": "OK"}
 
 
+def test_ordinals_survive_other_splits(spark, tmp_path):
+    out = str(tmp_path / "lines")
+    W.write_lines(spark.range(20_000).selectExpr("cast(id AS string) AS line").coalesce(1), out)
+    setting = "spark.sql.files.minPartitionNum"
+    spark.conf.set(setting, "4")
+    try:
+        numbered = R.read_json_lines(spark, out)
+        spark.conf.set(setting, "9")
+        rows = numbered.collect()
+    finally:
+        spark.conf.unset(setting)
+    assert len(rows) == 20_000 and all(r.line_number == int(r.text) + 1 for r in rows)
+
+
+def test_shared_folder_is_named_on_a_cluster():
+    class Conf:
+        def __init__(self, master):
+            self.values = {"spark.master": master}
+
+        def get(self, name, default=None):
+            return self.values.get(name, default)
+
+        def set(self, name, value):
+            self.values[name] = value
+
+    class Session:
+        def __init__(self, master):
+            self.conf = Conf(master)
+
+    with pytest.raises(ValueError, match="shared folder"):
+        shared_folder(Session("spark://host:7077"))
+    with pytest.raises(ValueError, match="shared folder"):
+        shared_folder(Session("local-cluster[2,1,1024]"))
+    assert shared_folder(Session("local[2]"))
+
+
 def test_settings(spark):
     lines = spark.createDataFrame(
         [("s", 0, 1, 'A = "x" '), ("s", 0, 2, "# A=c"), ("s", 1, 1, "A='y=z'"), ("s", 0, 3, "B=1"), ("s", 0, 4, "B=2"), ("s", 0, 5, "junk")],
