@@ -47,6 +47,9 @@ ship_by_value(__name__)
 BUCKET_TOKENS = 1 << 22
 FLUSH_TOKENS = 1 << 21
 FINGERPRINT = 5
+#: Classes whose counts one task sums up at a time, and the least number of such groups.
+GROUP_CLASSES = 1 << 20
+LEAST_GROUPS = 16
 #: Tokens that one task holds as one tile.
 TILE_TOKENS = 1 << 21
 #: Document ids that may be broadcast; beyond, the join shuffles.
@@ -99,8 +102,10 @@ def _classes(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(read, "row long, doc_id long, class binary, short long, n long")
 
 
-def _shared_counts(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """(short, shared): for each class the number of its tokens that another class holds."""
+def _shared_counts(docs: DataFrame, width: int, buckets: int, groups: int) -> DataFrame:
+    """(short, shared): for each class the number of its tokens that another class holds.
+
+    Buckets send their counts packed, one row for each group of classes."""
 
     def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -158,9 +163,24 @@ def _shared_counts(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
             both = np.repeat(several, np.diff(np.append(first, len(prints))))
             # A class that several tasks or flushes sent counts a token once.
-            pair = np.unique(np.stack([owner[both], prints[both].view(np.int64)]), axis=1)[0]
-            name, n = np.unique(pair, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(name), pa.array(n.astype(np.int64))], ["short", "shared"])
+            prints, owner = prints[both], owner[both]
+            rank = np.lexsort((owner, prints))
+            prints, owner = prints[rank], owner[rank]
+            new = np.ones(len(owner), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (prints[1:] != prints[:-1])
+            name, n = np.unique(owner[new], return_counts=True)
+            group = (mix64(name.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+            rank = np.argsort(group, kind="stable")
+            used, first = np.unique(group[rank], return_index=True)
+            parts = np.split(rank, first[1:])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(used),
+                    pa.array([name[part].tobytes() for part in parts] if len(used) else [], pa.binary()),
+                    pa.array([n[part].astype(np.int64).tobytes() for part in parts] if len(used) else [], pa.binary()),
+                ],
+                ["part", "classes", "counts"],
+            )
 
         for frame in frames:
             for row in zip(*[column.to_pylist() for column in frame.columns], strict=True):
@@ -172,9 +192,27 @@ def _shared_counts(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         if held:
             yield shared()
 
+    def total(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+        def summed(names: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            name, where = np.unique(np.concatenate(names), return_inverse=True)
+            return name, np.bincount(where, np.concatenate(counts), len(name)).astype(np.int64)
+
+        for frame in frames:
+            for row in zip(*[column.to_pylist() for column in frame.columns], strict=True):
+                if row[0] != part:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["short", "shared"])
+                    part, held = row[0], (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                more = [np.frombuffer(one, np.int64) for one in row[1:]]
+                held = summed([held[0], more[0]], [held[1], more[1]])
+        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["short", "shared"])
+
     packed = docs.mapInArrow(pack, "bucket long, prints binary, classes binary, counts binary")
     dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(count, "short long, shared long").groupBy("short").agg(F.sum("shared").alias("shared"))
+    counts = dealt.mapInArrow(count, "part long, classes binary, counts binary")
+    grouped = counts.repartition(groups, "part").sortWithinPartitions("part")
+    return grouped.mapInArrow(total, "short long, shared long")
 
 
 def _payload(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
@@ -345,8 +383,10 @@ def similar_documents(
     source = docs.select(F.xxhash64(text).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = written(_classes(source, width), "classes")
     classes = rows.filter("class is not null").groupBy("class", "short", "n").agg(F.min("doc_id").alias("doc_id"))
-    buckets = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // BUCKET_TOKENS))
-    shared = _shared_counts(source, width, buckets)
+    size = rows.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows")).first()
+    buckets = max(1, -(-(size["tokens"] or 0) // BUCKET_TOKENS))
+    groups = max(LEAST_GROUPS, -(-size["rows"] // GROUP_CLASSES))
+    shared = _shared_counts(source, width, buckets, groups)
     near = written(classes.join(shared.filter("shared > 0"), "short").filter(F.col("shared") * 100 >= F.col("n") * percent), "near")
     found = written(_payload(source, near, width), "found")
     placed = written(found.select("class", "short", "n").join(_areas(found, percent), "short"), "placed")
