@@ -1,0 +1,129 @@
+"""Nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tallymark.llm import decontam, jaccard, langid, packing, quality, secrets, suffixes, suffixtree, urls, warc
+from tallymark.llm.queries import tokenizer_path
+
+LONG = "die katze sitzt auf der matte. " * 4000
+ROWS = [
+    (1, None, None, "s"),
+    (2, "", "en", None),
+    (3, " \n\t ", "en", "s"),
+    (4, LONG, "de", "s"),
+    (None, "the cat sat on the mat and looked at the dog.", "en", "s"),
+    (5, "the cat sat on the mat and looked at the dog.", None, "s"),
+    (5, "the cat sat on the mat and looked at the dog.", None, "s"),
+    (6, "12345 67890 !!!", "en", "s"),
+]
+
+
+@pytest.fixture
+def docs(spark):
+    frame = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string")
+    return frame.withColumn("score", F.lit("own")).withColumn("n_words", F.lit(7)).withColumn("kept", F.lit("x"))
+
+
+@pytest.fixture
+def none(docs):
+    return docs.filter("doc_id = 99")
+
+
+def test_language(docs, none):
+    got = langid.predict(docs, langid.train(docs)).collect()
+    assert len(got) == len(ROWS) and {r.lang_pred for r in got if r.doc_id in (1, 2, 3, 6)} == {"und"}
+    assert {r.lang_pred for r in got if r.doc_id == 4} == {"de"} and all(0 <= r.score <= 1 for r in got)
+    empty = langid.train(none)
+    assert empty.languages == [] and langid.predict(none, empty).count() == 0
+    assert {r.lang_pred for r in langid.language_id(docs).collect()} <= {"und", "de", "en"}
+    assert {r.lang_pred for r in langid.predict(docs, empty).collect()} == {"und"}
+
+
+def test_quality(docs, none):
+    got = quality.clean_lines(docs).collect()
+    assert len(got) == len(ROWS)
+    by = {r.doc_id: r for r in got}
+    assert by[1].n_words == by[2].n_words == by[3].n_words == 0 and by[1].base_failed and not by[1].kept
+    assert by[4].n_words == 24_000 and by[4].n_repeat_words == 24_000 and by[4].base_failed
+    assert quality.clean_lines(none).count() == 0
+
+
+def test_secrets(docs, none):
+    got = {r.doc_id: r.secrets for r in secrets.scan(docs).collect()}
+    assert len(got) == 7 and not any(got.values()) and secrets.scan(none).count() == 0
+    assert secrets.redact(secrets.scan(docs)).count() == len(ROWS)
+
+
+def test_packing(docs, none):
+    got = packing.best_fit(docs, tokenizer_path()).collect()
+    assert sum(r.length for r in got if r.doc_id == 1) == 1 and packing.best_fit(none, tokenizer_path()).count() == 0
+    assert len([r for r in got if r.doc_id == 5]) == 2
+    places = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    for (a, start, length), (b, following, _) in zip(places, places[1:], strict=False):
+        assert following == (start + length if a == b else 0)
+
+
+def test_decontamination(spark, docs, none):
+    items = spark.createDataFrame(
+        [(1, "the cat sat on the mat and looked at the dog."), (2, None), (3, ""), (4, "a b")], "item_id long, text string"
+    )
+    assert sorted((r.doc_id or 0, r.item_id) for r in decontam.leaks(docs, items).collect()) == [(0, 1), (5, 1), (5, 1)]
+    assert decontam.leaks(none, items).count() == 0 and decontam.leaks(docs, items.filter("item_id > 9")).count() == 0
+    marked = decontam.mark(docs.withColumn("n_leaks", F.lit("own")), items)
+    assert {r.doc_id: r.n_leaks for r in marked.collect()}[5] == 1
+
+
+def test_suffixes(docs, none):
+    got = suffixes.repeats(docs).collect()
+    assert {r.doc_id for r in got} == {4} and suffixes.repeats(none).count() == 0
+
+
+def test_model(docs, none):
+    got = {r.doc_id: r for r in suffixtree.lm_scores(docs).collect()}
+    assert got[1].n_tokens == got[2].n_tokens == got[3].n_tokens == 1 and got[4].n_tokens == 24_001
+    assert all(r.score <= 0 for r in got.values()) and suffixtree.lm_scores(none).count() == 0
+
+
+def test_jaccard(docs, none):
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()}
+    assert got == {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 6, 4), (5, 9, 5), (None, 9, 5), (6, 1, 6)}
+    assert jaccard.near_duplicates(none).count() == 0
+
+
+def test_urls(spark):
+    rows = [(1, None), (2, ""), (3, "no scheme"), (None, "HTTP://A.ORG/x?y"), (4, "a://" + "b" * 50_000 + "/c"), (5, "x://com/de/1"), (5, "x://com/de/1"), (6, "é://org#/"), (7, "x://\n.com/fr/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("score", F.lit("own"))
+    got = {r.page_id: r for r in urls.url_filter(pages).collect()}
+    assert (got[None].host, got[None].path, got[None].rule, got[None].verdict) == ("a.org", "/x", "org/", "allow")
+    assert got[5].verdict == "block" and got[1].host == "" and got[3].path == "" and got[6].rule is None
+    assert got[7].host == "\n.com" and got[7].rule == "com/fr/" and len(got[4].host) == 50_000
+    assert urls.url_filter(pages.filter("page_id > 99")).count() == 0
+    assert {r.verdict for r in urls.url_filter(pages.filter("page_id < 5")).collect()} == {"allow"}
+
+
+def test_warc(spark):
+    rows = [(3, "u", "same"), (2, "u", "same"), (2, "u", "same"), (None, None, "same"), (5, "a b\r\nc", None), (6, "é", ""), (7, "x", "é" * 100_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit("own"))
+    got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_pages(pages).collect())
+    assert got == [
+        (0, 4, "revisit", 2), (2, 4, "response", None), (2, 4, "response", None), (3, 4, "revisit", 2),
+        (5, 0, "response", None), (6, 0, "revisit", 5), (7, 200_000, "response", None),
+    ]
+    assert warc.archive_pages(pages.filter("page_id > 99")).count() == 0
+    archives = warc.write_archives(pages, archive_bytes=1)
+    back = warc.read_archives(archives).filter("page_id = 7").first()
+    assert back.payload.decode() == "é" * 100_000 and archives.count() == 7
+
+
+def test_pipeline_stages(spark, docs, none, tmp_path):
+    spark.createDataFrame([(1, "x y z")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for frame in (docs, none):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, frame, str(tmp_path))
+            assert out.columns == frame.columns, name
+            assert out.dtypes == frame.dtypes, name
+            frame = out
+    left = corpus_pipeline.jaccard_join(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == [1, 2, 3, 4, 5, 6]
