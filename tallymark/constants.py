@@ -128,7 +128,6 @@ ACCEPTED_MIME_TYPES = (
     "application/pdf",
 )
 VAGUE_MIME_TYPES = ("", "application/octet-stream", "binary/octet-stream")
-REDIRECT_CODES = (301, 302, 303, 307, 308)
 MAX_REDIRECTS = 5
 MAX_FILE_BYTES = 50 * 1024 * 1024
 MAX_PDF_PAGES = 20

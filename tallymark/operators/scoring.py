@@ -269,12 +269,22 @@ def key_diff(pairs: DataFrame, expected: str = "expected_text", predicted: str =
     )
 
 
-def eval_details(truth: DataFrame, replies: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
+def eval_details(
+    truth: DataFrame,
+    replies: DataFrame,
+    inventory: DataFrame | None = None,
+    error_characters: int | None = 1000,
+) -> DataFrame:
     """One detail row per truth record: reply paired, parsed, checked and scored.
 
     truth: line_number, side, image, expected_text; replies: side, line_number,
-    http_status, body, latency_s. A failed record keeps its fields in the denominator.
+    http_status, body, latency_s. Of several replies to a record the one with the lowest
+    status counts, then the first in order. A failed record keeps its fields in the
+    denominator. Error texts quote `error_characters` of a body (None: all).
     """
+    one = F.min(F.struct("http_status", "body", "latency_s")).alias("_one")
+    replies = replies.groupBy("side", "line_number").agg(one).select("side", "line_number", "_one.*")
+    quoted = F.col("body") if error_characters is None else F.left("body", F.lit(error_characters))
     if inventory is None:
         listed = truth.withColumn("_known", F.lit(True))
     else:
@@ -289,7 +299,7 @@ def eval_details(truth: DataFrame, replies: DataFrame, inventory: DataFrame | No
     error = (
         F.when(F.col("_known").isNull(), F.concat(F.lit("image not found: "), F.col("image")))
         .when(F.col("http_status").isNull(), F.lit("no response recorded"))
-        .when(~http_ok, F.concat(F.lit("HTTP "), F.col("http_status"), F.lit(": "), F.left("body", F.lit(1000))))
+        .when(~http_ok, F.concat(F.lit("HTTP "), F.col("http_status"), F.lit(": "), quoted))
         .otherwise(F.coalesce("parse_error", F.when(F.col("content").isNull(), F.lit(_NOT_JSON))))
     )
     parse_success = F.col("predicted_text").isNotNull()

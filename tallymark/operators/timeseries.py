@@ -56,8 +56,13 @@ def instant_values(
     )
 
 
-def latest_values(samples: DataFrame, series: list[str]) -> DataFrame:
-    """Last value per series."""
+def latest_values(
+    samples: DataFrame, series: list[str], at_s: int | None = None, lookback: int = K.LOOKBACK_SECONDS
+) -> DataFrame:
+    """Last value per series; as of `at_s` only series with a sample in the look-back."""
+    if at_s is not None:
+        at = F.lit(at_s * _MICRO)
+        samples = samples.filter((_micros() <= at) & (_micros() > at - lookback * _MICRO))
     return samples.groupBy(*series).agg(F.max_by("value", F.col("ts")).alias("value"), F.max("ts").alias("ts"))
 
 
@@ -216,9 +221,11 @@ def scrape_grid(
     every: int = K.SCRAPE_SECONDS,
     start_s: int | None = None,
     end_s: int | None = None,
+    jobs: DataFrame | None = None,
 ) -> DataFrame:
     """Scrapes per job and interval, gaps as up = 0 and count 0, over the given range
-    or each job's own. The grid is built day by day, so no array exceeds one day."""
+    or each job's own. With a list of jobs (and a range) those that never answered are
+    down all the time. The grid is built day by day, so no array exceeds one day."""
     micros = _micros()
     seen = samples.withColumn("step_s", (F.floor(micros / (every * _MICRO)) * every).cast("bigint"))
     counted = seen.groupBy(job, "step_s").agg(F.count(F.lit(1)).alias("scraped"))
@@ -226,7 +233,13 @@ def scrape_grid(
     step = F.lit(every).cast("bigint")
     first = F.min("step_s") if start_s is None else F.lit(start_s // every * every).cast("bigint")
     last = F.max("step_s") if end_s is None else F.lit(end_s // every * every).cast("bigint")
-    days = counted.groupBy(job).agg(first.alias("_from"), last.alias("_to")).select(
+    if jobs is None:
+        ranges = counted.groupBy(job).agg(first.alias("_from"), last.alias("_to"))
+    elif start_s is None or end_s is None:
+        raise ValueError("a list of jobs needs a range")
+    else:
+        ranges = jobs.select(job).distinct().select(job, first.alias("_from"), last.alias("_to"))
+    days = ranges.select(
         job, "_to", F.explode(F.sequence("_from", "_to", F.lit(day).cast("bigint"))).alias("_start")
     )
     grid = days.select(
@@ -278,9 +291,18 @@ def series_key(labels: Column) -> Column:
 
 
 def _float_text(value: Column) -> Column:
-    """A float the way expositions print it: 5 as 5.0, no exponent for whole numbers."""
-    whole = (value == F.floor(value)) & (F.abs(value) < 1e16)
-    return F.when(whole, F.format_string("%.1f", value)).otherwise(value.cast("string"))
+    """A float the way expositions print it: the shortest digits, 5 as 5.0, an exponent
+    below 1e-4 (1e-05) and from 1e16 on (1e+17) only."""
+    text = value.cast("string")
+    pattern = r"^(-?[0-9.]+)E(-?[0-9]+)$"
+    digits = F.regexp_extract(text, pattern, 1)
+    exponent = F.regexp_extract(text, pattern, 2).try_cast("int")
+    plain = F.regexp_replace(text.try_cast("decimal(38,20)").cast("string"), r"(\.[0-9]+?)0+$", "$1")
+    size = F.abs(exponent).cast("string")
+    padded = F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size)
+    sign = F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+"))
+    spelled = F.concat(F.regexp_replace(digits, r"\.0$", ""), F.lit("e"), sign, padded)
+    return F.when(exponent.isNull(), text).when(exponent.between(-4, 15), plain).otherwise(spelled)
 
 
 def render_inventory(models: DataFrame, sources: DataFrame) -> DataFrame:
@@ -328,9 +350,24 @@ def render_inventory(models: DataFrame, sources: DataFrame) -> DataFrame:
     return gauges.unionByName(infos)
 
 
-def exposition_headers() -> list[str]:
-    return [
-        text
-        for name, help_text in K.EXPORTED_GAUGES.items()
-        for text in (f"# HELP {name} {help_text}", f"# TYPE {name} gauge")
+def exposition_text(rendered: DataFrame, sources: DataFrame) -> DataFrame:
+    """Whole exposition of every source as rows (source, line_number, line): each
+    metric's headers, then its lines in order. rendered: source, line."""
+    gauges = list(K.EXPORTED_GAUGES.items())
+    family = F.regexp_extract("line", "^([a-zA-Z_:][a-zA-Z0-9_:]*)", 1)
+    number = F.array_position(F.lit([name for name, _ in gauges]), family)
+    headers = [
+        F.struct(F.lit(i + 1).cast("bigint").alias("_family"), F.lit(j).alias("_part"), F.lit(text).alias("line"))
+        for i, (name, help_text) in enumerate(gauges)
+        for j, text in enumerate((f"# HELP {name} {help_text}", f"# TYPE {name} gauge"))
     ]
+    lines = rendered.select("source", number.alias("_family"), F.lit(2).alias("_part"), "line").unionByName(
+        sources.select("source", F.inline(F.array(*headers)))
+    )
+    place = F.row_number().over(Window.partitionBy("source").orderBy("_family", "_part", "line"))
+    return lines.select("source", place.alias("line_number"), "line")
+
+
+def dashboard_sum(values: DataFrame, panel: str) -> DataFrame:
+    """A dashboard's sum, by its own list of metric names."""
+    return sum_with_fallback(values, K.SUM_FALLBACKS[panel])

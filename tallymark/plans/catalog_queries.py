@@ -12,6 +12,7 @@ from tallymark.plans.fixtures import entries, load, with_clause
 from tallymark.session import new_shared_path
 from tallymark.sources import readers as R
 from tallymark.sources import writers as W
+from tallymark.sources.readers import table
 
 
 def catalog_assemble(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,6 +31,27 @@ def catalog_assemble(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def sidecar_read(spark: SparkSession, folder: str) -> DataFrame:
+    """One document per entry folder; every seventh cannot be read."""
+    suppliers = table(spark, folder, "supplier")
+    key = F.col("s_suppkey")
+    text = F.when(key % 7 == 0, F.lit("not a document")).otherwise(
+        F.to_json(F.struct(key.cast("string").alias("id"), F.col("s_name").alias("repo"), F.lit("gguf").alias("format")))
+    )
+    out = new_shared_path(spark, "entries")
+    suppliers.select(key.alias("entry"), text.alias("value")).write.partitionBy("entry").text(out)
+    return R.read_sidecars(spark, out, "part-*").select("entry", "id", "repo", "format", "error")
+
+
+def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
+    """Files written per language, listed again without their contents."""
+    out = new_shared_path(spark, "files")
+    table(spark, folder, "documents").select("lang", F.col("text").alias("value")).write.partitionBy("lang").text(out)
+    files = R.read_inventory(spark, out)
+    lang = F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang")
+    return files.groupBy(lang).agg(F.sum("length").alias("bytes"))
+
+
 def compat_check(spark: SparkSession, folder: str) -> DataFrame:
     checked = C.check_compatibility(C.normalize_entries(entries(spark, folder)))
     return checked.select("id", "incompatible", "allowed")
@@ -102,6 +124,8 @@ def slugify(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "sidecar_read": sidecar_read,
+    "file_inventory": file_inventory,
     "catalog_assemble": catalog_assemble,
     "compat_check": compat_check,
     "catalog_check": catalog_check,
@@ -138,6 +162,10 @@ _MODEL = "o_orderpriority || '/..v' || cast(o_custkey AS varchar) || 'é!'"
 _SLUG = "trim(regexp_replace(lower(model), '[^a-zé0-9]+', '-', 'g'), '-')"
 
 CHECKS = {
+    "sidecar_read": """SELECT 'entry=' || s_suppkey AS entry, CASE WHEN s_suppkey % 7 > 0 THEN cast(s_suppkey AS varchar) END AS id,
+ CASE WHEN s_suppkey % 7 > 0 THEN s_name END AS repo, CASE WHEN s_suppkey % 7 > 0 THEN 'gguf' END AS format,
+ CASE WHEN s_suppkey % 7 = 0 THEN 'document is not a JSON object' END AS error FROM supplier""",
+    "file_inventory": "SELECT lang, cast(sum(octet_length(encode(text)) + 1) AS bigint) AS bytes FROM documents GROUP BY lang",
     "catalog_assemble": f"""{with_clause('f_entries')}, {_ENTRIES} SELECT id, first_target AS serving_target,
  array_to_string(list_concat(targets, list_filter(['llama.cpp', 'ollama'], lambda t: NOT list_contains(targets, t))), ',') AS serving_targets, 'q4_k_m' AS quantizations FROM ent""",
     "compat_check": f"{with_clause('f_entries')}, {_ENTRIES} SELECT id, array_to_string({_WRONG}, ', ') AS incompatible, array_to_string(list_sort(allowed), ', ') AS allowed FROM ent",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymark import constants as K
 from tallymark.operators import latency as L
 from tallymark.operators import timeseries as T
 from tallymark.plans.fixtures import BUCKETS, bucket_counters, counters, load, timed, with_clause
@@ -41,12 +42,19 @@ def _reports(spark: SparkSession, folder: str) -> DataFrame:
     name = F.concat(F.lit("benchmark_"), "model", F.lit("_"), F.date_format("run_day", "yyyyMMdd"), F.lit(".json"))
     stamp = F.concat(F.col("run_day").cast("string"), F.lit("T00:00:00"))
     out = new_shared_path(spark, "reports")
-    summary.select(name.alias("file_name"), stamp.alias("timestamp"), "model", *J.LATENCY_COLUMNS).write.json(out)
-    return spark.read.schema(R.REPORT_SCHEMA + ", file_name string").json(out)
+    text = F.to_json(F.struct(stamp.alias("timestamp"), "model", *J.LATENCY_COLUMNS), {"pretty": "true"})
+    # A report is a folder here, since Spark names the files itself.
+    summary.select(name.alias("report"), text.alias("value")).repartition("report").write.partitionBy("report").text(out)
+    folder_name = F.regexp_extract("_metadata.file_path", "report=([^/]+)/", 1)
+    return R.read_run_reports(spark, f"{out}/report=benchmark_*.json", "part-*", folder_name)
 
 
 def run_report(spark: SparkSession, folder: str) -> DataFrame:
-    return L.run_report(_reports(spark, folder))
+    """The report over all runs, written as CSV and read back."""
+    report = L.run_report(_reports(spark, folder))
+    out = new_shared_path(spark, "report")
+    W.write_csv(report, out)
+    return spark.read.schema(report.schema).option("header", True).csv(out)
 
 
 def latency_series(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,7 +66,9 @@ def distinct_models(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def latest_gauge(spark: SparkSession, folder: str) -> DataFrame:
-    latest = T.latest_values(_gauges(spark, folder), SERIES)
+    gauges = _gauges(spark, folder)
+    now = gauges.agg(F.max("ts").alias("ts")).select(F.unix_seconds(F.col("ts").cast("timestamp"))).first()[0]
+    latest = T.latest_values(gauges, SERIES, None if now is None else now + 1, 6 * HOUR)
     return latest.select(*SERIES, "value", F.unix_micros("ts").alias("ts_us"))
 
 
@@ -87,7 +97,11 @@ def metric_or(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scrape_grid(spark: SparkSession, folder: str) -> DataFrame:
-    grid = T.scrape_grid(_gauges(spark, folder), "metric", 900)
+    gauges = _gauges(spark, folder)
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    first, last = gauges.agg(F.min(seconds), F.max(seconds)).first()
+    jobs = gauges.select("metric").unionByName(spark.createDataFrame([("silent",)], "metric string"))
+    grid = T.scrape_grid(gauges, "metric", 900, first, last, jobs)
     return grid.select("metric", "step_s", F.col("up").cast("bigint").alias("up"), "scraped")
 
 
@@ -104,6 +118,11 @@ def expose_render(spark: SparkSession, folder: str) -> DataFrame:
     return T.render_inventory(typed, sources)
 
 
+def expose_text(spark: SparkSession, folder: str) -> DataFrame:
+    sources = load(spark, folder, "f_sources")
+    return T.exposition_text(expose_render(spark, folder), sources)
+
+
 def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
     stream = R.table_stream(spark, folder, "events")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -162,6 +181,7 @@ QUERIES = {
     "scrape_grid": scrape_grid,
     "scrape_parse": scrape_parse,
     "expose_render": expose_render,
+    "expose_text": expose_text,
     "stream_summary": stream_summary,
     "stream_rate": stream_rate,
     "stream_scrape": stream_scrape,
@@ -205,13 +225,15 @@ _BUCKETS = f"""{with_clause('f_metrics')}, les AS (SELECT * FROM (VALUES {_LES.r
 buckets AS (SELECT metric, instance, le, ts, cast(sum(CASE WHEN value <= bound THEN 1 ELSE 0 END) OVER (PARTITION BY metric, instance, day, le ORDER BY ts, event_id) AS double) AS value FROM f_metrics, les)"""
 _DAY_COUNTER = """WITH base AS (SELECT event_type AS metric, 'i' || cast(user_id % 3 AS varchar) AS instance, ts, cast((epoch_us(ts) // 1000) % 86400000 AS double) AS value FROM events)"""
 
+_GAUGE_ROWS = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(K.EXPORTED_GAUGES.items()))
+
 CHECKS = {
     "bench_summary": f"{with_clause('f_bench')} SELECT model, cast(run_day AS varchar) AS run_day, {_MEASURES} FROM f_bench GROUP BY model, run_day",
     "request_sequence": f"{with_clause('f_bench')} SELECT event_id, model, row_number() OVER (PARTITION BY model, run_day ORDER BY ts, event_id) AS request_id FROM f_bench",
     "run_report": f"{_RUNS} SELECT model, timestamp, avg_latency_s, min_latency_s, max_latency_s, num_requests, successful FROM runs",
     "latency_series": f"{_RUNS} SELECT model, file_name, timestamp, avg_latency_s FROM runs",
     "distinct_models": f"{with_clause('f_bench')} SELECT DISTINCT model FROM f_bench",
-    "latest_gauge": f"{with_clause('f_metrics')} SELECT metric, instance, arg_max(value, ts) AS value, epoch_us(max(ts)) AS ts_us FROM f_metrics GROUP BY 1, 2",
+    "latest_gauge": f"{with_clause('f_metrics')} SELECT metric, instance, arg_max(value, ts) AS value, epoch_us(max(ts)) AS ts_us FROM f_metrics WHERE epoch_us(ts) > (SELECT epoch_us(max(ts)) // 1000000 + 1 - 6 * 3600 FROM f_metrics) * 1000000 GROUP BY 1, 2",
     "instant_gauge": f"{with_clause('f_metrics')}, grid AS ({_grid('f_metrics', 2 * HOUR)}) SELECT metric, instance, step_s, arg_max(value, us) AS value FROM grid GROUP BY 1, 2, 3",
     "gauge_mib": f"{with_clause('f_files')} SELECT dir, round(sum(length) / 1024 / 1024, 6) AS mib FROM f_files GROUP BY dir",
     "counter_rate": f"{_COUNTERS}, {_rate_ctes('counters', 'metric, instance')} SELECT metric, instance, step_s, round(rate, 6) AS rate FROM rates",
@@ -226,7 +248,8 @@ SELECT metric, instance, step_s, CASE WHEN k < 2 OR edge < 'infinity'::double OR
     "metric_or": f"""{with_clause('f_metrics')}, grid AS ({_grid('f_metrics', HOUR)}), v AS (SELECT metric, instance, step_s, arg_max(value, us) AS value FROM grid GROUP BY 1, 2, 3)
 SELECT step_s, round(coalesce({', '.join(f"sum(value) FILTER (WHERE metric = '{m}')" for m in PRIORITY)}), 4) AS value FROM v WHERE metric IN {PRIORITY} GROUP BY step_s""",
     "scrape_grid": f"""{with_clause('f_metrics')}, c AS (SELECT metric, epoch_us(ts) // 900000000 * 900 AS step_s, count(*) AS n FROM f_metrics GROUP BY 1, 2),
-g AS (SELECT metric, unnest(generate_series(min(step_s), max(step_s), 900)) AS step_s FROM c GROUP BY metric)
+g AS (SELECT metric, unnest(generate_series((SELECT min(step_s) FROM c), (SELECT max(step_s) FROM c), 900)) AS step_s
+  FROM (SELECT DISTINCT metric FROM c UNION ALL SELECT 'silent'))
 SELECT g.metric, g.step_s, CASE WHEN c.n IS NULL THEN 0::bigint ELSE 1::bigint END AS up, coalesce(c.n, 0) AS scraped FROM g LEFT JOIN c ON g.metric = c.metric AND g.step_s = c.step_s""",
     "scrape_parse": """SELECT event_id, event_type AS metric, CASE WHEN event_id % 10 = 1 THEN '' ELSE '{instance="i' || cast(user_id % 3 AS varchar) || '",user="' || CASE WHEN event_id % 10 = 2 THEN 'a' || chr(92) || '"b' ELSE cast(user_id AS varchar) END || '"}' END AS series,
  cast(cast(round(value * 100) AS bigint) AS double) AS value, CASE WHEN event_id % 3 = 0 THEN event_id END AS time_ms FROM events WHERE event_id % 10 <> 0""",
@@ -245,3 +268,10 @@ UNION ALL SELECT source, 'ollama_loaded_model_size_vram_bytes' || labels || ' 7.
     "stream_scrape": """SELECT event_type AS metric, CASE WHEN event_id % 10 = 1 THEN '' ELSE '{instance="i' || cast(user_id % 3 AS varchar) || '",user="' || CASE WHEN event_id % 10 = 2 THEN 'a' || chr(92) || '"b' ELSE cast(user_id AS varchar) END || '"}' END AS series,
  cast(cast(round(value * 100) AS bigint) AS double) AS value FROM events WHERE event_id % 10 <> 0""",
 }
+CHECKS["expose_text"] = f"""WITH rendered AS ({CHECKS["expose_render"]}),
+fam AS (SELECT * FROM (VALUES {_GAUGE_ROWS}) v(i, name, help)),
+src AS (SELECT DISTINCT source FROM rendered),
+lines AS (SELECT r.source, f.i, 2 AS part, r.line FROM rendered r JOIN fam f ON regexp_extract(r.line, '^[a-zA-Z_]+') = f.name
+  UNION ALL SELECT source, i, 0, '# HELP ' || name || ' ' || help FROM src, fam
+  UNION ALL SELECT source, i, 1, '# TYPE ' || name || ' gauge' FROM src, fam)
+SELECT source, cast(row_number() OVER (PARTITION BY source ORDER BY i, part, line) AS int) AS line_number, line FROM lines"""

@@ -9,6 +9,9 @@ from tallymark.functions import payload as P
 from tallymark.operators import scoring as S
 from tallymark.operators.labels import SIDE_TEMPLATES
 from tallymark.plans.fixtures import load, with_clause
+from tallymark.session import new_shared_path
+from tallymark.sources import readers as R
+from tallymark.sources import writers as W
 from tallymark.sources.readers import table
 
 
@@ -106,6 +109,25 @@ def eval_details(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def eval_output(spark: SparkSession, folder: str) -> DataFrame:
+    """Details and summary written as files; every line read back."""
+    details = _details(spark, folder)
+    out = W.write_evaluation(details, S.eval_summary(details), new_shared_path(spark, "evaluation"))
+    rows = R.read_json_lines(spark, out["details"]).select("text")
+    kept = ("side", "error", "request_success", "exact_match", "matched_fields", "total_fields")
+    read = rows.select(F.get_json_object("text", "$.line_number").cast("bigint").alias("line_number"), *[F.get_json_object("text", f"$.{name}").alias(name) for name in kept])
+    splits = spark.read.text(out["summary"]).select(
+        F.lit(None).cast("bigint").alias("line_number"),
+        F.get_json_object("value", "$.split").alias("side"),
+        F.lit(None).cast("string").alias("error"),
+        F.get_json_object("value", "$.samples").alias("request_success"),
+        F.get_json_object("value", "$.exact_matches").alias("exact_match"),
+        F.get_json_object("value", "$.matched_fields").alias("matched_fields"),
+        F.get_json_object("value", "$.total_fields").alias("total_fields"),
+    )
+    return read.unionByName(splits)
+
+
 def eval_summary(spark: SparkSession, folder: str) -> DataFrame:
     summary = S.eval_summary(_details(spark, folder))
     rates = [name for name in summary.columns if name.endswith("_rate") or name == "field_accuracy"]
@@ -144,6 +166,7 @@ QUERIES = {
     "field_score": field_score,
     "eval_details": eval_details,
     "eval_summary": eval_summary,
+    "eval_output": eval_output,
     "first_error": first_error,
     "run_gate": run_gate,
     "limit_per_split": limit_per_split,
@@ -286,6 +309,10 @@ SELECT line_number, side, CASE WHEN parse_error IS NULL THEN object END AS paylo
 
 CHECKS = {
     "response_parse_tolerant": _TOLERANT,
+    "eval_output": f"""{_DETAILS} SELECT line_number, side, error, cast(request_success AS varchar) AS request_success, cast(exact_match AS varchar) AS exact_match,
+ cast(matched_fields AS varchar) AS matched_fields, cast(total_fields AS varchar) AS total_fields FROM details
+UNION ALL SELECT NULL, side, NULL, cast(count(*) AS varchar), cast(count(*) FILTER (WHERE exact_match) AS varchar), cast(sum(matched_fields) AS bigint)::varchar, cast(sum(total_fields) AS bigint)::varchar FROM details GROUP BY side
+UNION ALL SELECT NULL, 'overall', NULL, cast(count(*) AS varchar), cast(count(*) FILTER (WHERE exact_match) AS varchar), cast(sum(matched_fields) AS bigint)::varchar, cast(sum(total_fields) AS bigint)::varchar FROM details""",
     "role_pick": """WITH t AS (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND conv_id % 3 > 0 THEN cast(json_object('text', text) AS varchar)
   WHEN turn % 2 = 0 THEN concat('<image>', chr(10), text) ELSE text END AS text FROM conversations)
 SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'assistant') AS truth,

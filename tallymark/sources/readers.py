@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymark.operators.labels import LABEL_COLUMNS
@@ -122,15 +122,14 @@ def read_chat_records(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_run_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Whole-file benchmark reports, one row each, with the file name."""
-    reports = (
-        spark.read.schema(REPORT_SCHEMA)
-        .option("multiLine", True)
-        .option("pathGlobFilter", "benchmark_*.json")
-        .json(path)
-    )
-    return reports.select("*", F.col("_metadata.file_name").alias("file_name"))
+def read_run_reports(
+    spark: SparkSession, path: str, files: str = "benchmark_*.json", name: Column | None = None
+) -> DataFrame:
+    """Whole-file benchmark reports, one row each, with the file name or another name
+    taken from _metadata."""
+    reports = spark.read.schema(REPORT_SCHEMA).option("multiLine", True).option("pathGlobFilter", files).json(path)
+    name = F.col("_metadata.file_name") if name is None else name
+    return reports.select("*", name.alias("file_name"))
 
 
 def read_sidecars(spark: SparkSession, path: str, name: str = "model.json") -> DataFrame:

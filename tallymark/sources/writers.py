@@ -32,6 +32,14 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("error").text(path)
 
 
+def write_evaluation(details: DataFrame, summary: DataFrame, path: str) -> dict[str, str]:
+    """Evaluation output: one JSON line per detail row, and the summary per split."""
+    folders = {name: f"{path}/{name}" for name in ("details", "summary")}
+    for name, frame in (("details", details), ("summary", summary)):
+        write_lines(frame.select(F.to_json(F.struct("*"), KEPT_NULLS).alias("line")), folders[name])
+    return folders
+
+
 def build_dataset(rows: DataFrame, inventory: DataFrame, path: str) -> dict[str, str]:
     """Whole dataset build: rows are resolved once into a written table, from which the
     records per side, the rejected rows, the unused names and the report derive."""

@@ -137,7 +137,24 @@ def test_inventory_lines(spark):
         'ollama_loaded_model_size_bytes{model="m"} 5.0', 'ollama_loaded_model_size_vram_bytes{model="m"} 0.0',
     }
     assert lines["down"] == {"ollama_up 0", "ollama_models_total 0", "ollama_loaded_models_total 0", "ollama_scrape_duration_seconds 1.000000"}
-    assert len(T.exposition_headers()) == 16
+    text = T.exposition_text(T.render_inventory(models, sources), sources).orderBy("source", "line_number").collect()
+    mine = [r.line for r in text if r.source == "h"]
+    assert mine[0] == "# HELP ollama_up Whether the Ollama API is reachable." and mine[1:3] == ["# TYPE ollama_up gauge", "ollama_up 1"]
+    assert sum(line.startswith("#") for line in mine) == 16
+
+
+def test_floats_are_spelled_as_in_expositions(spark):
+    values = [5.0, 12345678.5, 0.00001, 1e17, 1e16, 123456789012345680.0, 0.0001, 1.5e-7, 0.25, -2e20]
+    frame = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
+    assert [r[0] for r in frame.select(T._float_text(F.col("v"))).collect()] == [repr(v) for v in values]
+
+
+def test_latest_value_has_a_look_back(spark):
+    samples = frame(spark, [(0, 1.0)], "dead").unionByName(frame(spark, [(500, 2.0)], "live"))
+    got = T.latest_values(samples, ["series"], BASE + 500, 300).collect()
+    assert [(r.series, r.value) for r in got] == [("live", 2.0)]
+    values = spark.createDataFrame([("litellm_requests_metric_total", 0, 4.0)], "metric string, step_s bigint, value double")
+    assert T.dashboard_sum(values, "requests").first().value == 4.0
 
 
 def test_run_summary_counts_only_200(spark):
