@@ -248,7 +248,9 @@ def field_lines(fields: DataFrame, depth: int = 1) -> DataFrame:
 
 
 def group_descriptions(groups: DataFrame, fields: DataFrame, depth: int = 1) -> DataFrame:
-    """group_code, group_name, description text of its fields."""
+    """group_code, group_name, description text of its fields; one row per code, the
+    first name of a code that is defined twice (which schema_def_check reports)."""
+    groups = groups.groupBy("group_code").agg(F.min("group_name").alias("group_name"))
     lines = field_lines(fields, depth).groupBy("group_code").agg(_joined("position", "line", "\n").alias("_lines"))
     return groups.join(lines, "group_code", "left").select(
         "group_code",
@@ -315,6 +317,13 @@ def group_blocks(groups: DataFrame, variants: DataFrame) -> DataFrame:
     )
 
 
+def group_list(blocks: DataFrame) -> str:
+    """The blocks of all groups as one text. Groups are part of a request, written by
+    hand, so the text is small; it goes into every prompt."""
+    rows = blocks.select("group_code", "block").orderBy("group_code", "block").collect()
+    return "\n".join(row["block"] for row in rows)
+
+
 def classify_prompts(files: DataFrame, group_list: Column) -> DataFrame:
     """One classification prompt per file; group_list is the text of all group blocks."""
     head = fill(K.CLASSIFY_PROMPT_HEAD, page_count=F.col("n_pages").cast("string"))

@@ -85,8 +85,7 @@ def schema_def_check(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def prompt_render(spark: SparkSession, folder: str) -> DataFrame:
-    groups = load(spark, folder, "f_groups").filter(F.col("group_code") != "brand_24")
-    described = G.group_descriptions(groups, load(spark, folder, "f_fields"))
+    described = G.group_descriptions(load(spark, folder, "f_groups"), load(spark, folder, "f_fields"))
     documents = load(spark, folder, "f_part_docs").withColumn("page_order", F.sequence(F.lit(1), "last_page"))
     return G.extraction_prompts(documents, described).select("file_id", "prompt")
 
@@ -95,6 +94,14 @@ def classify_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return G.group_blocks(load(spark, folder, "f_groups"), load(spark, folder, "f_variants"))
 
 
+def classify_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """One prompt per conversation, with all groups in it."""
+    turns = table(spark, folder, "conversations")
+    files = turns.groupBy(F.col("conv_id").alias("file_id")).agg((F.max("turn") + 1).alias("n_pages"))
+    listed = F.lit(G.group_list(classify_blocks(spark, folder)))
+    return G.classify_prompts(files, listed).select("file_id", "prompt")
+
+
 def extract_normalize(spark: SparkSession, folder: str) -> DataFrame:
     normalized = E.normalize_extracted(load(spark, folder, "f_payloads"), ORDER_GROUPS)
     return normalized.select("file_id", "extraction_error", "extracted_data")
@@ -161,6 +168,7 @@ QUERIES = {
     "schema_def_check": schema_def_check,
     "prompt_render": prompt_render,
     "classify_blocks": classify_blocks,
+    "classify_prompts": classify_prompts,
     "extract_normalize": extract_normalize,
     "unknown_check": unknown_check,
     "extract_emit": extract_emit,
@@ -226,7 +234,7 @@ lines AS (SELECT h.group_code, h.position, '- ' || h.field_key || CASE WHEN h.da
   FROM hinted h LEFT JOIN kids k ON h.group_code = k.group_code AND h.field_key = k.field_key WHERE h.parent IS NULL),
 described AS (SELECT group_code, string_agg(line, chr(10) ORDER BY position, line) AS body FROM lines GROUP BY 1)
 SELECT d.file_id, concat({_HEAD}, coalesce(s.body, ''), {_lit(K.EXTRACT_PROMPT_TAIL)}) AS prompt
-FROM f_part_docs d JOIN f_groups g ON d.document_code = g.group_code LEFT JOIN described s ON s.group_code = g.group_code WHERE g.group_code <> 'brand_24'"""
+FROM f_part_docs d JOIN (SELECT group_code, min(group_name) AS group_name FROM f_groups GROUP BY 1) g ON d.document_code = g.group_code LEFT JOIN described s ON s.group_code = g.group_code"""
 
 _BLOCKS_SQL = f"""{with_clause('f_groups', 'f_variants')},
 titles AS (SELECT group_code, string_agg(CASE WHEN description IS NOT NULL THEN name || ' (' || description || ')' ELSE name END, ', ' ORDER BY position) AS titles FROM f_variants GROUP BY 1)
@@ -306,6 +314,8 @@ FROM w LEFT JOIN conversations c ON c.conv_id = w.file_id AND c.turn + 1 = w.pag
     "schema_def_check": _DEF_SQL,
     "prompt_render": _PROMPT_SQL,
     "classify_blocks": _BLOCKS_SQL,
+    "classify_prompts": f"""WITH blocks AS ({_BLOCKS_SQL}), listed AS (SELECT string_agg(block, chr(10) ORDER BY group_code, block) AS groups FROM blocks)
+SELECT conv_id AS file_id, concat({_marked(K.CLASSIFY_PROMPT_HEAD, page_count="cast(max(turn) + 1 AS varchar)")}, any_value(groups), {_lit(K.CLASSIFY_PROMPT_TAIL)}) AS prompt FROM conversations, listed GROUP BY conv_id""",
     "extract_normalize": f"{_EXTRACTED} SELECT file_id, extraction_error, extracted_data FROM extracted",
     "unknown_check": f"""{_EXTRACTED} SELECT file_id, CASE WHEN p IS NULL THEN 'payload is not a JSON object' ELSE {_UNKNOWN_ERROR} END AS structure_error FROM checked""",
     "extract_emit": f"""{_EXTRACTED} SELECT file_id, cast(1 AS int) AS doc_no, CASE WHEN extraction_error IS NULL THEN concat('{{"document_code":"', document_code, '","group_name":"', upper(document_code[1]) || document_code[2:], '","document_name":"Scan","page_order":[1],"duplicate_pages":[],"extracted_data":', extracted_data, '}}') END AS document, extraction_error FROM extracted""",

@@ -116,7 +116,7 @@ SELECT c_custkey + 2 AS csv_row,
 FROM customer
 """
 
-FIXTURES["f_inventory"] = "SELECT c_name AS name, c_custkey * 1000 AS length FROM customer WHERE c_acctbal >= 0"
+FIXTURES["f_inventory"] = "SELECT CASE WHEN c_acctbal >= 0 THEN c_name ELSE concat('gone_', c_name) END AS name, c_custkey * 1000 AS length FROM customer"
 
 FIXTURES["f_part_names"] = """
 SELECT p_partkey AS item, CASE WHEN p_size < 10 THEN upper(p_name) WHEN p_size < 20 AND p_type = 'PROMO' THEN concat(p_name, '.') ELSE p_name END AS name
@@ -232,12 +232,12 @@ SELECT DISTINCT lower(replace(p_brand, '#', '_')) AS group_code, cast(NULL AS st
        CASE p_type WHEN 'ECONOMY' THEN 'array' WHEN 'STANDARD' THEN 'number' WHEN 'MEDIUM' THEN 'boolean' WHEN 'PROMO' THEN 'date' WHEN 'LARGE' THEN 'string' ELSE 'text' END AS data_type,
        initcap_name AS field_name, CASE WHEN p_type IN ('PROMO', 'ECONOMY') THEN concat(p_type, ' of ', p_brand) END AS description,
        CASE WHEN p_type = 'LARGE' THEN false ELSE true END AS nullable, CASE WHEN p_brand = 'Brand#9' AND p_type = 'LARGE' THEN false ELSE true END AS required
-FROM (SELECT p_brand, p_type, concat('The ', lower(p_type)) AS initcap_name FROM part WHERE p_brand <> 'Brand#11') p
+FROM (SELECT CASE WHEN p_brand = 'Brand#11' THEN 'Brand#110' ELSE p_brand END AS p_brand, p_type, concat('The ', lower(p_type)) AS initcap_name FROM part) p
 UNION ALL
-SELECT DISTINCT lower(replace(p_brand, '#', '_')) AS group_code, CASE WHEN p_brand = 'Brand#12' THEN 'large' ELSE 'economy' END AS parent, p_size % 3 + 1 AS position,
+SELECT DISTINCT lower(replace(CASE WHEN p_brand = 'Brand#13' THEN 'Brand#130' ELSE p_brand END, '#', '_')) AS group_code, CASE WHEN p_brand = 'Brand#12' THEN 'large' ELSE 'economy' END AS parent, p_size % 3 + 1 AS position,
        concat('c', cast(p_size % 3 AS string)) AS field_key, CASE p_size % 3 WHEN 0 THEN 'string' WHEN 1 THEN 'number' ELSE 'date' END AS data_type,
        cast(NULL AS string) AS field_name, CASE WHEN p_size % 3 = 1 THEN 'count' END AS description, true AS nullable, true AS required
-FROM part WHERE p_brand <> 'Brand#13'
+FROM part
 """
 
 FIXTURES["f_variants"] = """
