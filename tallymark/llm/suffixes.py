@@ -118,10 +118,15 @@ def matched(ordered: DataFrame, min_words: int, window: int, reach: int, ends: b
         held_r = held_l = np.zeros(0, np.int64)
         heads = 0
 
-        def rows(batch: pa.RecordBatch, pick: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
-            part = batch.take(pa.array(pick))
+        def rows(
+            batch: pa.RecordBatch, pick: np.ndarray, start: np.ndarray, stop: np.ndarray, words: bool = False
+        ) -> pa.RecordBatch:
+            """Matches go on without the words around them."""
+            rest = pa.RecordBatch.from_arrays(batch.columns[2:], NAMES[2:]).take(pa.array(pick))
+            around = [c.take(pa.array(pick)) if words else pa.nulls(len(pick), pa.binary()) for c in batch.columns[:2]]
             return pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(start, pa.int64()), pa.array(stop, pa.int64())], [*NAMES, "start", "stop"]
+                [*around, *rest.columns, pa.array(start, pa.int64()), pa.array(stop, pa.int64())],
+                [*NAMES, "start", "stop"],
             )
 
         def finished(batch: pa.RecordBatch, r: np.ndarray, l: np.ndarray) -> pa.RecordBatch:
@@ -131,7 +136,7 @@ def matched(ordered: DataFrame, min_words: int, window: int, reach: int, ends: b
 
         def edge(batch: pa.RecordBatch) -> pa.RecordBatch:
             none = np.full(batch.num_rows, -1)
-            return rows(batch, np.arange(batch.num_rows), none, none)
+            return rows(batch, np.arange(batch.num_rows), none, none, words=True)
 
         for frame in frames:
             if ends and heads < reach and frame.num_rows:
