@@ -11,10 +11,10 @@ Pieces arrive in decreasing length, dealt over as many tasks as their number ask
 most its last open bins per task. Tokens are not moved: packing needs lengths only, and
 `assemble` brings tokens and places together.
 
-Token ids of a text are those of its blank-separated parts, each with the blank before
-it: the tokeniser's own splitting never joins across a blank that precedes a visible
-character. Texts with other blanks (two in a row, at an end, before other white space)
-are tokenised whole.
+Token ids of a text are those of its parts, each with the blank or line break before it:
+the tokeniser's own splitting never joins across one that precedes a visible character.
+Texts with other white space (two blanks in a row, at an end, beside line breaks) are
+tokenised whole.
 
 Defined results: NULL and empty texts are one piece, the end token alone; NULL ids and
 repeated rows are packed like others (`row` tells them apart); ties of length go by row
@@ -42,14 +42,18 @@ ship_by_value(__name__)
 
 #: Fixed splitting pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Empty, or beginning with white space as the pattern sees it.
-BLANK_START = r"^(?:$|[\x09-\x0d \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}])"
+#: White space as the pattern sees it, but for the line break.
+BLANKS = r"\x09\x0b-\x0d \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Empty parts and those that begin with white space.
+BLANK_START = rf"^(?:$|[{BLANKS}])"
+#: Line breaks beside other white space, or that do not lead to a visible character.
+ODD_BREAK = rf"[{BLANKS}]\n|\n\n(?:[{BLANKS}\n]|$)|\n[\x09\x0b-\x0d\x{{85}}-\x{{a0}}\x{{1680}}-\x{{3000}}]"
 SEQUENCE = 1024
 END = 2
 OPEN_BINS = 1024
 PIECES_PER_TASK = 1 << 16
 #: Distinct parts whose ids a task remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -109,12 +113,13 @@ class PartTokens:
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text in turn."""
         parted = pa.array(texts, pa.large_string())
-        lists = pc.split_pattern(parted, " ")
+        broken = pc.match_substring_regex(parted, ODD_BREAK).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(pc.replace_substring(parted, "\n", " \n"), " ")
         flat = lists.flatten().dictionary_encode()
         words, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         offsets = lists.offsets.to_numpy().astype(np.int64)
         odd = pc.match_substring_regex(flat.dictionary, BLANK_START).to_numpy(zero_copy_only=False)
-        odd_rows = np.add.reduceat(odd[codes], offsets[:-1]) > 0 if len(texts) else np.zeros(0, bool)
+        odd_rows = broken | (np.add.reduceat(odd[codes], offsets[:-1]) > 0) if len(texts) else np.zeros(0, bool)
         # The first part of a text has no blank before it: it is kept apart.
         heads = offsets[:-1]
         shifted = codes.copy()
@@ -122,7 +127,8 @@ class PartTokens:
         seen = np.zeros(2 * len(words), bool)
         seen[shifted[np.repeat(~odd_rows, np.diff(offsets))]] = True
         used = np.flatnonzero(seen)
-        parts = [" " + words[c] if c < len(words) else words[c - len(words)] for c in used.tolist()]
+        led = [word if word[:1] == "\n" else " " + word for word in words] + words
+        parts = [led[c] for c in used.tolist()]
         if len(self.known) > REMEMBERED:
             self._clear()
         self._learn([part for part in parts if part not in self.known])
