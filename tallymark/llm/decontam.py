@@ -45,7 +45,7 @@ MIN_ITEM = 4
 MIN_AGREEMENT = 0.8
 INDEX_WORDS = 1 << 20
 #: Words whose canonical form a task remembers before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 FILTER_BITS = 22
 
 #: Fixed word lists.

@@ -44,8 +44,8 @@ from tallymark.operators.skew import lookup_join
 ship_by_value(__name__)
 
 #: Tokens of one bucket, which one task holds at a time, and of one flush of a task.
-BUCKET_TOKENS = 1 << 22
-FLUSH_TOKENS = 1 << 21
+BUCKET_TOKENS = 1 << 21
+FLUSH_TOKENS = 1 << 20
 FINGERPRINT = 5
 #: Classes whose counts one task sums up at a time, and the least number of such groups.
 GROUP_CLASSES = 1 << 20

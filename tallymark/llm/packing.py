@@ -53,7 +53,7 @@ END = 2
 OPEN_BINS = 1024
 PIECES_PER_TASK = 1 << 16
 #: Distinct parts whose ids a task remembers before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -165,7 +165,7 @@ def token_pieces(
         tokens = None
         for frame in frames:
             tokens = tokens or PartTokens(tokenizer)
-            for low, high in spans(frame.column(2), 4 << 20):
+            for low, high in spans(frame.column(2), 2 << 20):
                 rows = frame.column(0).slice(low, high - low).to_pylist()
                 named = frame.column(1).slice(low, high - low).to_pylist()
                 texts = [one or "" for one in frame.column(2).slice(low, high - low).to_pylist()]
