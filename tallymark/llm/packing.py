@@ -6,9 +6,9 @@ others are packed online: a fixed number of bins is open, filed by free space; a
 keyed by free space finds the tightest bin that takes a piece (the lowest set bit from
 the piece's length on); when all bins are open and none fits, the fullest one closes.
 
-Pieces arrive in decreasing length, dealt over as many tasks as their number asks for
-(`pieces_per_task`), so a task holds a bounded number of pieces and a packing loses at
-most its last open bins per task. Tokens are not moved: packing needs lengths only, and
+Pieces arrive in hash order of row and piece, so that long and short ones meet while bins
+are open, however many pieces a task has. They are dealt over as many tasks as their
+number asks for (`pieces_per_task`), so a task holds a bounded number of pieces. Tokens are not moved: packing needs lengths only, and
 `assemble` brings tokens and places together.
 
 Token ids of a text are those of its parts, each with the blank or line break before it:
@@ -17,7 +17,7 @@ Texts with other white space (two blanks in a row, at an end, beside line breaks
 tokenised whole.
 
 Defined results: NULL and empty texts are one piece, the end token alone; NULL ids and
-repeated rows are packed like others (`row` tells them apart); ties of length go by row
+repeated rows are packed like others (`row` tells them apart); ties of the hash go by row
 and piece; an empty table gives no rows. Strings of special tokens in a text are
 ordinary text. Other columns are not read.
 """
@@ -238,7 +238,9 @@ def pack(
     """pieces (a written table) with sequence_id and offset."""
     short = pieces.filter(F.col("length") < sequence)
     tasks = max(1, -(-short.count() // pieces_per_task))
-    dealt = short.repartition(tasks, "row", "piece").sortWithinPartitions(F.desc("length"), "row", "piece")
+    # Another hash than that of the dealing; it says nothing about the length.
+    mixed = F.xxhash64("row", "piece")
+    dealt = short.repartition(tasks, "row", "piece").sortWithinPartitions(mixed, "row", "piece")
 
     def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = OpenBins(sequence, open_bins)

@@ -151,6 +151,17 @@ def test_packed_tokens(spark, texts):
     assert sum(len(r.ids) for r in built) == total
 
 
+def test_a_full_task_packs_tightly(spark):
+    """Long and short pieces meet while bins are open, however many pieces a task has."""
+    pieces = spark.range(1 << 16).selectExpr("id AS row", "0 AS piece", "1 + pmod(xxhash64(id, 7), 1023) AS length")
+    packed = packing.pack(pieces).collect()
+    fill = Counter()
+    for r in packed:
+        fill[r.sequence_id] += r.length
+    assert len(packed) == 1 << 16 and max(fill.values()) <= 1024
+    assert len(fill) <= 1.02 * sum(fill.values()) / 1024
+
+
 def test_best_fit_takes_the_fullest_bin():
     bins = packing.OpenBins(10, 2)
     assert [bins.place(n) for n in (6, 7, 3, 4, 9, 8, 1)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0), (3, 0), (2, 9)]
