@@ -227,6 +227,22 @@ def test_repeated_passages(spark, texts):
     assert got == repeats_of(rows)
 
 
+def test_repeats_around_a_frequent_notice(spark):
+    """Partners that lie far apart among thousands of suffixes that begin alike."""
+    rng = random.Random(6)
+    word = lambda: f"y{rng.randrange(10**6)}"
+    notice = [word() for _ in range(30)]
+    shared = [[word() for _ in range(25)] for _ in range(20)]
+    rows = {}
+    for i in range(1500):
+        left = shared[i // 2] if i < 2 * len(shared) else [word() for _ in range(25)]
+        rows[i] = " ".join([word() for _ in range(30)] + left + notice + [word() for _ in range(60)])
+    frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.first_word, r.stop_word) for r in suffixes.repeats(frame.repartition(5)).collect()}
+    want = repeats_of(rows)
+    assert len(want) == 2 * len(shared) and got == want
+
+
 def test_base_scores_and_distributions(spark, texts):
     got = {r.doc_id: r for r in queries.QUERIES["op9_lm_scores"](spark, FOLDER).collect()}
     tokens = {d: [*WORDS.findall(lower(t)), None] for d, t in texts.items()}
