@@ -6,7 +6,8 @@ documents meet those of benchmark items in a hash join. Matching windows that li
 diagonal (same distance between document and item) form a run, and what its
 placeholders stand for is compared: a re-parameterised question maps each value of the
 item to one value of the document, so the share of slots that keep to such a mapping
-must reach `min_agreement`. A document leaks an item if consistent runs cover
+must reach `min_agreement`. Item windows with more placeholders than words are matched by
+their exact lower-cased words instead, in runs like the others. A document leaks an item if consistent runs cover
 `min_words` of its words (or the whole of a shorter item).
 
 The side of the items is an index of at most `index_words` words, broadcast; a larger
@@ -15,7 +16,7 @@ Documents are never moved.
 
 Defined results: NULL, blank and wordless texts leak nothing; items of fewer than
 `min_item` words, NULL items among them, are never leaked; windows with more
-placeholders than words are not evidence; of equally long runs the first counts;
+placeholders than words are evidence only where they are copied word by word; of equally long runs the first counts;
 repeated rows give rows each; NULL ids stay NULL; empty tables give no rows. Other
 columns pass through `mark` and are not read by `leaks`.
 """
@@ -85,10 +86,11 @@ class Canon:
     """Canonical forms of words, remembered."""
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int, str]] = {}
+        self.known: dict[str, tuple[int, int, str, int]] = {}
 
-    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
-        """Hash and kind of each token, text offsets, and values by code."""
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Hash and kind of each token, text offsets, values by code, the codes, and the
+        hash of each token's value."""
         batch = word_batch(texts, lower=False)
         words = batch.words.to_pylist()
         if len(self.known) > REMEMBERED:
@@ -96,11 +98,14 @@ class Canon:
         new = [word for word in words if word not in self.known]
         forms = [canonical(word) for word in new]
         hashes = mix64(pd.util.hash_array(np.array([f for f, _, _ in forms], dtype=object), categorize=False))
-        for word, form, one in zip(new, forms, hashes.tolist() if new else [], strict=True):
-            self.known[word] = (one, form[1] if form[0] else -1, form[2])
+        exact = mix64(pd.util.hash_array(np.array([v for _, _, v in forms], dtype=object), categorize=False))
+        both = zip(hashes.tolist(), exact.tolist(), strict=True) if new else []
+        for word, form, (one, own) in zip(new, forms, both, strict=True):
+            self.known[word] = (one, form[1] if form[0] else -1, form[2], own)
         found = [self.known[word] for word in words]
-        hashed = np.array([one for one, _, _ in found], np.uint64)
-        kinds = np.array([kind for _, kind, _ in found], np.int8)
+        hashed = np.array([one for one, _, _, _ in found], np.uint64)
+        kinds = np.array([kind for _, kind, _, _ in found], np.int8)
+        values = np.array([own for _, _, _, own in found], np.uint64)
         real = (kinds >= 0)[batch.codes] if len(words) else np.zeros(0, bool)
         offsets = np.concatenate([[0], np.cumsum(real)])[batch.offsets]
         codes = batch.codes[real]
@@ -108,40 +113,45 @@ class Canon:
             hashed[codes] if len(words) else np.zeros(0, np.uint64),
             kinds[codes] if len(words) else np.zeros(0, np.int8),
             offsets,
-            [value for _, _, value in found],
+            [value for _, _, value, _ in found],
             codes,
+            values[codes] if len(words) else np.zeros(0, np.uint64),
         )
 
 
 @dataclass
 class Index:
-    """Windows of a block of items, sorted by hash, for each window length in use."""
+    """Windows of a block of items, sorted by hash, for each window length in use, by
+    canonical forms or (True) by exact words."""
 
     items: list
     sizes: np.ndarray
     offsets: np.ndarray
     kinds: np.ndarray
     values: list[str]
-    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    by_length: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
 def build_index(items: list, texts: list[str | None], window: int = WINDOW, min_item: int = MIN_ITEM) -> Index:
-    hashes, kinds, offsets, words, codes = Canon().tokens(pa.array(texts, pa.large_string()))
+    hashes, kinds, offsets, words, codes, exact = Canon().tokens(pa.array(texts, pa.large_string()))
     sizes = np.diff(offsets)
     owner = np.repeat(np.arange(len(items)), sizes)
     by_length = {}
     lengths = np.minimum(sizes, window)
     for length in sorted({int(n) for n in lengths if n >= min_item}):
-        value, start = windows(hashes, offsets, length)
-        item = owner[start]
-        words_in = np.concatenate([[0], np.cumsum(kinds == WORD)])
-        plain = words_in[start + length] - words_in[start]
-        good = (lengths[item] == length) & (2 * plain >= length)
-        value, start, item = value[good], start[good], item[good]
-        rank = np.argsort(value, kind="stable")
-        hit = np.zeros(1 << FILTER_BITS, bool)
-        hit[(value & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
-        by_length[length] = (value[rank], item[rank], (start - offsets[item])[rank], hit)
+        for dense in (False, True):
+            value, start = windows(exact if dense else hashes, offsets, length)
+            item = owner[start]
+            words_in = np.concatenate([[0], np.cumsum(kinds == WORD)])
+            plain = words_in[start + length] - words_in[start]
+            good = (lengths[item] == length) & ((2 * plain < length) == dense)
+            value, start, item = value[good], start[good], item[good]
+            if dense and not len(value):
+                continue
+            rank = np.argsort(value, kind="stable")
+            hit = np.zeros(1 << FILTER_BITS, bool)
+            hit[(value & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
+            by_length[length, dense] = (value[rank], item[rank], (start - offsets[item])[rank], hit)
     return Index(items, sizes, offsets, kinds, [words[c] for c in codes], by_length)
 
 
@@ -150,11 +160,11 @@ Leak = tuple[int, int, int, int, str, float]
 
 def find(index: Index, canon: Canon, texts: pa.Array, min_words: int, min_agreement: float) -> Iterator[Leak]:
     """(text, item, first word, words, kind, agreement) of each leaked item."""
-    hashes, kinds, offsets, words, codes = canon.tokens(texts)
+    hashes, kinds, offsets, words, codes, exact = canon.tokens(texts)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     runs: dict[tuple[int, int, int], set[int]] = defaultdict(set)
-    for length, (keys, item, place, hit) in index.by_length.items():
-        value, start = windows(hashes, offsets, length)
+    for (length, dense), (keys, item, place, hit) in index.by_length.items():
+        value, start = windows(exact if dense else hashes, offsets, length)
         near = hit[(value & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)]
         value, start = value[near], start[near]
         low, high = np.searchsorted(keys, value, "left"), np.searchsorted(keys, value, "right")

@@ -184,6 +184,18 @@ def test_leaks(spark):
     assert {(r.doc_id, r.item_id) for r in many.collect()} >= {(1, 1), (1, 2), (2, 1), (2, 2)}
 
 
+def test_leaks_dense_in_placeholders(spark):
+    """Lists of names and numbers are caught where they are copied word by word."""
+    listed = "Paris 1912 London 1924 Rome 1936 Madrid 1948 Berlin 1960 Vienna 1972 Oslo 1984 Lisbon 1996"
+    other = "Lima 1911 Quito 1923 Bogota 1935 Caracas 1947 Havana 1959 Panama 1971 Nassau 1983 Asuncion 1995"
+    items = [(1, listed), (2, "12 + 30 = 42 kg")]
+    rows = [(1, f"some words {listed} more"), (2, listed.lower()), (3, other), (4, "so 12 + 30 = 42 kg."), (5, "so 13 + 30 = 43 kg.")]
+    got = decontam.leaks(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    assert {(r.doc_id, r.item_id, r.kind) for r in got} == {(1, 1, "exact"), (2, 1, "exact"), (4, 2, "exact")}
+
+
 def test_leaks_of_the_tables(spark, texts):
     items = {r.item_id: r.text for r in table(spark, FOLDER, "benchmark").collect()}
     want = {(d, i) for d, t in texts.items() for i, item in items.items() if item in (t or "")}
