@@ -4,7 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import decontam, jaccard, langid, packing, quality, secrets, suffixes, suffixtree, urls, warc
+from tallymark.llm import (
+    decontam,
+    jaccard,
+    langid,
+    packing,
+    quality,
+    search,
+    secrets,
+    suffixes,
+    suffixtree,
+    urls,
+    warc,
+    whitening,
+)
 from tallymark.llm.common import table
 
 #: Vocabulary file of a public tokeniser; a parameter of the operators, never copied.
@@ -83,6 +96,19 @@ def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.url_filter(table(spark, folder, "pages"))
 
 
+@query
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.embedding_whitening(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+CHECKS["op13_ranked_search"] = search.SQL
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
