@@ -9,6 +9,7 @@ from tallymark.llm import (
     jaccard,
     langid,
     packing,
+    pii,
     quality,
     search,
     secrets,
@@ -101,6 +102,11 @@ def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.embedding_whitening(table(spark, folder, "embeddings"))
 
 
+@query
+def op12_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
 @query
 def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return search.ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -21,6 +21,6 @@ def test_every_operator_is_registered():
     from __spark_entry__ import queries as registered
 
     numbers = {m[1] for name in registered() if (m := re.match(r"op(\d+)_", name))}
-    assert numbers == {str(n) for n in range(1, 11)} and "pipeline" in registered()
+    assert numbers == {str(n) for n in range(1, 14)} and "pipeline" in registered()
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" not in oracle_sql()
     assert len(corpus_pipeline.STAGES) == 5
