@@ -682,9 +682,11 @@ def _joined(column: str):
 def personal_data(docs: DataFrame) -> DataFrame:
     """Query: counts and digest of the base spans, and all spans."""
     found = find(docs)
-    counts = [
-        F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS
-    ]
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda span: span["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("personal").alias("spans"))
 
 
