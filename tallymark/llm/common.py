@@ -129,6 +129,21 @@ def windows(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray
     return mix64(rolled[inside]), starts[: total - n + 1][inside]
 
 
+def packed_ints(values: np.ndarray) -> bytes:
+    """Integers of 32 bits by byte, low bytes first, compressed."""
+    import zstandard
+
+    planes = values.astype("<i4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked_ints(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
 def spans(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `limit` bytes of text, or of one longer text: what a task
     holds as arrays at a time does not grow with the batch."""

@@ -7,7 +7,8 @@ broadcast, and the documents pass by it once scored:
   fetched), so what reaches the driver and what is broadcast are bounded however many items
   there are, but for a single longer item;
 * documents are split into terms once, for all blocks: a written table of blocks of
-  documents holds their term counts against the block's own distinct terms;
+  documents holds their term counts against the block's own distinct terms (only those of
+  the items where they are one block);
 * N, L and the items' document frequencies are exact sums over that table;
 * each task streams its documents' counts through the inverted index (term -> items with
   repeats) and updates a heap of `k` places per item. A document enters a heap only when it
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions import ship_by_value
-from tallymark.llm.common import WordBatch, spans, word_batch, written
+from tallymark.llm.common import WordBatch, packed_ints, spans, unpacked_ints, word_batch, written
 
 ship_by_value(__name__)
 
@@ -87,39 +88,50 @@ def count_terms(batch: WordBatch) -> Counts:
     return Counts(owner, code, tf, batch.sizes)
 
 
-def count_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Written blocks of documents that have a term: ids, term numbers n, distinct terms,
-    their document frequencies in the block, and (owner, code, tf) packed as integers."""
+def count_documents(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: pa.Array | None = None
+) -> DataFrame:
+    """Written blocks of documents: how many have a term, and how many terms those have;
+    of documents with a term (of the vocabulary, if given) ids and numbers n of all terms;
+    distinct terms with their document frequencies in the block; and the counts packed:
+    terms per document, code and tf of each."""
+    wanted = None if vocabulary is None else docs.sparkSession.sparkContext.broadcast(vocabulary.to_pylist())
 
     def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if wanted is None else pa.array(wanted.value, pa.large_string())
         for frame in frames:
             for low, high in spans(frame.column(1)):
                 batch = term_batch(frame.column(1).slice(low, high - low))
                 counts = count_terms(batch)
-                held = np.flatnonzero(counts.sizes)
-                if not len(held):
+                if not len(counts.code):
                     continue
-                place = np.cumsum(counts.sizes > 0) - 1
-                used = np.bincount(counts.code, minlength=len(batch.words))
+                owner, code, tf = counts.owner, counts.code, counts.tf
+                if known is not None:
+                    here = pc.is_in(batch.words, known).to_numpy(zero_copy_only=False)[code]
+                    owner, code, tf = owner[here], code[here], tf[here]
+                used = np.bincount(code, minlength=len(batch.words))
                 real = np.flatnonzero(used)
-                code = (np.cumsum(used > 0) - 1)[counts.code]
-                packed = [place[counts.owner], code, counts.tf]
+                each = np.bincount(owner, minlength=len(batch))
+                held = np.flatnonzero(each)
                 ids = frame.column(0).slice(low, high - low).take(pa.array(held))
+                packed = [each[held], (np.cumsum(used > 0) - 1)[code], tf]
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array([int((counts.sizes > 0).sum())], pa.int64()),
+                        pa.array([int(counts.sizes.sum())], pa.int64()),
                         pa.array([ids.to_pylist()], pa.list_(pa.int64())),
                         pa.array([counts.sizes[held].tolist()], pa.list_(pa.int64())),
                         pa.array([batch.words.take(pa.array(real)).to_pylist()], pa.list_(pa.string())),
                         pa.array([used[real].tolist()], pa.list_(pa.int64())),
-                        *[pa.array([p.astype("<i4").tobytes()], pa.binary()) for p in packed],
+                        *[pa.array([packed_ints(p)], pa.binary()) for p in packed],
                     ],
-                    ["ids", "sizes", "terms", "df", "owner", "code", "tf"],
+                    ["documents", "length", "ids", "sizes", "terms", "df", "each", "code", "tf"],
                 )
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = (
-        "ids array<long>, sizes array<long>, terms array<string>, df array<long>,"
-        " owner binary, code binary, tf binary"
+        "documents long, length long, ids array<long>, sizes array<long>, terms array<string>, df array<long>,"
+        " each binary, code binary, tf binary"
     )
     return written(source.mapInArrow(read, schema), "counts")
 
@@ -144,8 +156,9 @@ def build_index(ids: list, texts: list) -> Index:
     return Index(ids, batch.words, starts, counts.owner[order], counts.tf[order])
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, index_terms: int) -> Iterator[Index]:
-    """Blocks of whole items of about `index_terms` terms, one after another."""
+def item_blocks(items: DataFrame, item_id: str, text: str, index_terms: int) -> tuple[int, Iterator[Index]]:
+    """Number of blocks of whole items of about `index_terms` terms, and these one after
+    another."""
     wanted = (
         items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text"))
         .filter("text is not null")
@@ -154,11 +167,14 @@ def item_blocks(items: DataFrame, item_id: str, text: str, index_terms: int) ->
     # A term has a character and a separator at least.
     total = wanted.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     parts = max(1, -(-(total // 2) // index_terms))
-    for part in range(parts):
-        block = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).toArrow()
-        if block.num_rows:
+
+    def fetched() -> Iterator[Index]:
+        for part in range(parts):
+            block = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).toArrow()
             yield build_index(block["item_id"].to_pylist(), block["text"].to_pylist())
 
+    return parts, fetched()
+
 
 class Heaps:
     """The best k documents of each item: rows hold scores in falling order, ids and
@@ -195,10 +211,6 @@ def weights(n: int, df: np.ndarray) -> np.ndarray:
     return np.array([math.floor(1000 * math.log((2 * n + 2) / (2 * d + 1))) for d in df.tolist()], np.int64)
 
 
-def _ints(value) -> np.ndarray:
-    return np.frombuffer(value.as_py(), "<i4").astype(np.int64)
-
-
 def _search_block(counted: DataFrame, index: Index, documents: int, length: int, k: int) -> DataFrame:
     spark = counted.sparkSession
     # Only the items' terms come back with their document frequencies.
@@ -224,6 +236,8 @@ def _search_block(counted: DataFrame, index: Index, documents: int, length: int,
         for frame in frames:
             for row in range(frame.num_rows):
                 ids = frame["ids"][row].values
+                if not len(ids):
+                    continue
                 n = frame["sizes"][row].values.to_numpy().astype(np.int64)
                 # Products of 64 bits; Python's own integers where they would not fit.
                 if int(n.max()) * SLOPE * documents < 2**63:
@@ -231,7 +245,8 @@ def _search_block(counted: DataFrame, index: Index, documents: int, length: int,
                 else:
                     m = np.array([BASE + SLOPE * x * documents // length for x in n.tolist()], np.int64)
                 term = pc.fill_null(pc.index_in(frame["terms"][row].values, names), -1).to_numpy().astype(np.int64)
-                owner, tf, term = _ints(frame["owner"][row]), _ints(frame["tf"][row]), term[_ints(frame["code"][row])]
+                each, code, tf = (unpacked_ints(frame[c][row].as_py()).astype(np.int64) for c in ("each", "code", "tf"))
+                owner, term = np.repeat(np.arange(len(n)), each), term[code]
                 known = (term >= 0) & (weight[term] > 0)
                 owner, tf, term = owner[known], tf[known], term[known]
                 gain = weight[term] * ((1_000_000_000 * tf) // (1000 * tf + 8 * m[owner]))
@@ -303,16 +318,16 @@ def search(
     index_terms: int = INDEX_TERMS,
 ) -> DataFrame:
     """The k best documents of every item: item_id, rank, doc_id, score."""
-    counted = count_documents(docs, doc_id, text)
-    totals = counted.agg(
-        F.sum(F.size("ids")).alias("documents"),
-        F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)).alias("length"),
-    ).first()
+    parts, indexes = item_blocks(items, item_id, item_text, index_terms)
     out = docs.sparkSession.createDataFrame([], "item_id long, rank int, doc_id long, score long")
-    if not totals["documents"]:
-        return out
-    for index in item_blocks(items, item_id, item_text, index_terms):
-        out = out.unionByName(_search_block(counted, index, totals["documents"], totals["length"], k))
+    counted = totals = None
+    for index in indexes:
+        if counted is None:
+            # A single block needs the counts of its own terms alone.
+            counted = count_documents(docs, doc_id, text, index.terms if parts == 1 else None)
+            totals = counted.agg(F.sum("documents").alias("documents"), F.sum("length").alias("length")).first()
+        if totals["documents"] and len(index.terms):
+            out = out.unionByName(_search_block(counted, index, totals["documents"], totals["length"], k))
     return out
 
 
