@@ -137,10 +137,14 @@ def merged_windows(pieces: DataFrame, series: list[str], piece: int, step: int,
     if piece < bucket:
         aligned = pieces.withColumn("_end", (F.ceil(F.col("_end") / bucket) * bucket).cast("bigint"))
         pieces = _merge_by(aligned, [*series, "_end"])
-    first = (F.ceil(F.col("_end") / step) * step).cast("bigint")
-    last = (F.ceil((F.col("_end") + reach) / step) * step - step).cast("bigint")
-    grid = F.when(last >= first, F.sequence(first, last, F.lit(step).cast("bigint")))
-    return _merge_by(pieces.withColumn("step_s", F.explode(grid)), [*series, "step_s"])
+    return _merge_by(pieces.withColumn("step_s", F.explode(grid_points("_end", step, reach))), [*series, "step_s"])
+
+
+def grid_points(end: str, step: int, reach: int) -> Column:
+    """Multiples t of `step` whose window (t - reach, t] holds a slice that ends at `end`."""
+    first = (F.ceil(F.col(end) / step) * step).cast("bigint")
+    last = (F.ceil((F.col(end) + reach) / step) * step - step).cast("bigint")
+    return F.when(last >= first, F.sequence(first, last, F.lit(step).cast("bigint")))
 
 
 def extrapolated_rate(windows: DataFrame, reach: int) -> DataFrame:

@@ -12,6 +12,7 @@ from tallymark.plans.fixtures import BUCKETS, bucket_counters, counters, load, t
 from tallymark.session import new_shared_path
 from tallymark.sources import readers as R
 from tallymark.sources import writers as W
+from tallymark.streaming import counters as S
 from tallymark.streaming import jobs as J
 
 HOUR, REACH = 3600, 6 * 3600
@@ -148,9 +149,14 @@ def stream_rate(spark: SparkSession, folder: str) -> DataFrame:
         "ts",
         _day_counter(F.col("ts")).alias("value"),
     )
-    out = J.run_updates(J.rate_stream(samples, SERIES), "rate").path
-    last = J.last_versions(spark, out, [*SERIES, "_end"])
-    return J.finished_rates(last, SERIES, REACH, REACH).withColumn("rate", F.round("rate", 6))
+    # A beat two days after the last sample closes all slices.
+    beat = R.table(spark, folder, "events").agg(F.max("ts").cast("timestamp") + F.expr("interval 2 days")).toDF("ts")
+    path = new_shared_path(spark, "beats")
+    beat.filter("ts is not null").write.parquet(path)
+    beats = spark.readStream.schema("ts timestamp").parquet(path)
+    totals = S.run_totals(S.with_beats(samples, beats), SERIES).path
+    read = spark.read.schema(f"metric string, instance string, {S.SLICE_COLUMNS}").parquet(totals)
+    return S.total_rates(read, SERIES, REACH, REACH).withColumn("rate", F.round("rate", 6))
 
 
 def _day_counter(ts):

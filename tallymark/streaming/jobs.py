@@ -5,18 +5,21 @@ is collected. A job that is given its output and state folders goes on where an
 run stopped; without them it runs once over folders of its own. Aggregates are written
 in update mode with the number of the micro-batch, and readers keep the last version per
 key. Rows that came after their window had closed are counted.
+
+Counter rates are carried across batches (streaming/counters.py): closed slices of a
+series pass a stateful operator that keeps one row per series.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallymark.operators.latency import latency_measures
-from tallymark.operators.timeseries import extrapolated_rate, merged_windows, parse_scrape
+from tallymark.operators.timeseries import parse_scrape
 from tallymark.session import new_shared_path
 
 
@@ -79,58 +82,6 @@ def latency_stream(requests: DataFrame, every: str = "1 day", late: str = "1 day
 LATENCY_COLUMNS = ["num_requests", "successful", "avg_latency_s", "min_latency_s", "max_latency_s"]
 
 
-def _summary(samples: Column, piece: int, start: Column) -> list[Column]:
-    """Slice aggregates of a sorted array of (us, value)."""
-    first, last = F.element_at(samples, 1), F.element_at(samples, -1)
-    resets = F.aggregate(
-        samples,
-        F.struct(F.lit(0.0).alias("sum"), first["value"].alias("before")),
-        lambda state, item: F.struct(
-            (state["sum"] + F.when(item["value"] < state["before"], state["before"]).otherwise(0.0)).alias("sum"),
-            item["value"].alias("before"),
-        ),
-        lambda state: state["sum"],
-    )
-    return [
-        (F.unix_seconds(start) + piece).alias("_end"),
-        F.size(samples).cast("bigint").alias("samples"),
-        first["us"].alias("first_us"),
-        last["us"].alias("last_us"),
-        first["value"].alias("first_value"),
-        last["value"].alias("last_value"),
-        resets.alias("resets"),
-    ]
-
-
-PIECE_SECONDS = 60
-
-
-def rate_stream(samples: DataFrame, series: list[str], piece: int = PIECE_SECONDS, late: str = "1 day") -> DataFrame:
-    """Summary of a counter per series and slice (t - piece, t], over micro-batches;
-    finished_rates() merges slices to windows of any reach.
-
-    The state is keyed by series and slice and holds the samples of one slice, so a busy
-    series spreads over its slices, which leave the state as they close. Repeated samples
-    of an instant are dropped first (a store keeps one).
-    """
-    # Windows include their start; one microsecond less makes them include their end.
-    shifted = samples.withWatermark("ts", late).dropDuplicates([*series, "ts"]).withColumn(
-        "_at", F.col("ts") - F.expr("interval 1 microsecond")
-    )
-    collected = shifted.groupBy(F.window("_at", f"{piece} seconds"), *series).agg(
-        F.sort_array(F.collect_list(F.struct(F.unix_micros("ts").alias("us"), "value"))).alias("_samples")
-    )
-    return collected.select(*series, *_summary(F.col("_samples"), piece, F.col("window.start")))
-
-
-def finished_rates(
-    slices: DataFrame, series: list[str], step: int, reach: int, piece: int = PIECE_SECONDS
-) -> DataFrame:
-    """Rates over (t - reach, t] from the last versions of rate_stream()."""
-    windows = merged_windows(slices, series, piece, step, reach)
-    return extrapolated_rate(windows, reach).select(*series, "step_s", "rate")
-
-
 def scrape_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Parsed samples of landed scrape files, as a stream."""
     lines = spark.readStream.text(folder).withColumnRenamed("value", "line")
