@@ -44,6 +44,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def neutral(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named c0, c1, ..., and the new names by the old ones: what an
+    operator adds meanwhile cannot clash with them."""
+    names = {name: f"c{i}" for i, name in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def restored(names: dict[str, str], results: tuple[str, ...] | list[str] = ()) -> list[Column]:
+    """The columns under their own names, but for those that results are named like."""
+    return [F.col(new).alias(old) for old, new in names.items() if old not in results]
+
+
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; NULL ids have no fold."""
     return F.crc32(F.col(doc_id).cast("string")) % F.lit(folds)

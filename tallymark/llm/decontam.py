@@ -266,9 +266,10 @@ def mark(
     min_words: int = MIN_WORDS,
     min_agreement: float = MIN_AGREEMENT,
     index_words: int = INDEX_WORDS,
+    into: str = "n_leaks",
 ) -> DataFrame:
-    """docs with n_leaks, the number of items a document leaks."""
-    out = docs.drop("n_leaks").withColumn("n_leaks", F.lit(0).cast("bigint"))
+    """docs with a column `into`, the number of items a document leaks."""
+    out = docs.drop(into).withColumn(into, F.lit(0).cast("bigint"))
     for index in _indexes(benchmark, item_id, item_text, index_words):
         shared = docs.sparkSession.sparkContext.broadcast(index)
         place = out.columns.index(text)

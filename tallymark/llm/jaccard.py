@@ -376,7 +376,8 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
 def similar_documents(
     docs: DataFrame, width: int, percent: int, doc_id: str = "doc_id", text: str = "text", tile_tokens: int = TILE_TOKENS
 ) -> DataFrame:
-    """(row, doc_id, n_shingles, component_id) for every row; `row` is xxhash64(text).
+    """(row, doc_id, n_shingles, component_id, label) for every row; `row` is xxhash64(text),
+    `label` names the component whatever its ids are (NULL: no words, alone).
 
     Two documents link when 100 |A & B| >= percent |A | B| for their shingle sets.
     """
@@ -404,12 +405,13 @@ def similar_documents(
     named = written(named.select("class", "label", "doc_id"), "named")
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_class = lookup_join(named.select("class", "label"), smallest, ["label"], ["class"], "inner")
-    out = lookup_join(rows, by_class.select("class", "component_id"), ["class"], ["doc_id", "row"], "left")
+    out = lookup_join(rows, by_class.select("class", "component_id", "label"), ["class"], ["doc_id", "row"], "left")
     return out.select(
         "row",
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
+        "label",
     )
 
 

@@ -8,23 +8,26 @@ the piece's length on); when all bins are open and none fits, the fullest one cl
 
 Pieces arrive in hash order of row and piece, so that long and short ones meet while bins
 are open, however many pieces a task has. They are dealt over as many tasks as their
-number asks for (`pieces_per_task`), so a task holds a bounded number of pieces. Tokens are not moved: packing needs lengths only, and
-`assemble` brings tokens and places together.
+number asks for (`pieces_per_task`), so a task holds a bounded number of pieces. Tokens
+are not moved: packing needs lengths only, and `assemble` brings tokens and places together.
 
 Token ids of a text are those of its parts, each with the blank or line break before it:
 the tokeniser's own splitting never joins across one that precedes a visible character.
 Texts with other white space (two blanks in a row, at an end, beside line breaks) are
-tokenised whole.
+tokenised whole: strings of special tokens have their own ids, as the vocabulary file says,
+and runs of RUN or more white-space characters are merged without the splitting pattern,
+whose search would need a stack as deep as the run is long.
 
 Defined results: NULL and empty texts are one piece, the end token alone; NULL ids and
 repeated rows are packed like others (`row` tells them apart); ties of the hash go by row
-and piece; an empty table gives no rows. Strings of special tokens in a text are
-ordinary text. Other columns are not read.
+and piece; an empty table gives no rows. Runs of any one character may be as long as a text
+can be. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -48,6 +51,13 @@ BLANKS = r"\x09\x0b-\x0d \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x
 BLANK_START = rf"^(?:$|[{BLANKS}])"
 #: Line breaks beside other white space, or that do not lead to a visible character.
 ODD_BREAK = rf"[{BLANKS}]\n|\n\n(?:[{BLANKS}\n]|$)|\n[\x09\x0b-\x0d\x{{85}}-\x{{a0}}\x{{1680}}-\x{{3000}}]"
+#: Two other blanks in a row.
+BLANK_RUN = r"[\x09\x0b-\x0d\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
+#: White-space runs that the splitting pattern does not see.
+RUN = 1000
+_LONG_RUN = re.compile(
+    r"[\x09-\x0d \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN
+)
 SEQUENCE = 1024
 END = 2
 OPEN_BINS = 1024
@@ -76,10 +86,11 @@ class PartTokens:
 
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
-        special = {token["content"] for token in content["added_tokens"]}
+        self.special = {token["content"]: token["id"] for token in content["added_tokens"]}
+        self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         letters = _byte_letters()
         ranks = {
-            bytes(letters[c] for c in token): i for token, i in content["model"]["vocab"].items() if token not in special
+            bytes(letters[c] for c in token): i for token, i in content["model"]["vocab"].items() if token not in self.special
         }
         self.encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._clear()
@@ -94,6 +105,23 @@ class PartTokens:
         encode = self.encoding.encode_ordinary
         return [encode(text) for text in texts]
 
+    def whole(self, text: str) -> list[int]:
+        """Ids of any text."""
+        ids: list[int] = []
+        for i, segment in enumerate(self.at_special.split(text) if self.at_special else [text]):
+            if i % 2:
+                ids.append(self.special[segment])
+                continue
+            begin = 0
+            for run in _LONG_RUN.finditer(segment):
+                # The last character of a run belongs to what follows it.
+                end = run.end() - (run.end() < len(segment))
+                ids += self.encoding.encode_ordinary(segment[begin : run.start()])
+                ids += self.encoding._encode_single_piece(segment[run.start() : end])
+                begin = end
+            ids += self.encoding.encode_ordinary(segment[begin:])
+        return ids
+
     def _learn(self, parts: list[str]) -> None:
         for low in range(0, len(parts), 4096):
             block = parts[low : low + 4096]
@@ -113,7 +141,10 @@ class PartTokens:
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text in turn."""
         parted = pa.array(texts, pa.large_string())
-        broken = pc.match_substring_regex(parted, ODD_BREAK).to_numpy(zero_copy_only=False)
+        broken = pc.match_substring_regex(parted, ODD_BREAK).to_numpy(zero_copy_only=False).copy()
+        broken |= pc.match_substring_regex(parted, BLANK_RUN).to_numpy(zero_copy_only=False)
+        for mark in self.special:
+            broken |= pc.match_substring(parted, mark).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(pc.replace_substring(parted, "\n", " \n"), " ")
         flat = lists.flatten().dictionary_encode()
         words, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -136,7 +167,7 @@ class PartTokens:
         number[used] = [self.known[part] for part in parts]
         for i, text in enumerate(texts):
             if odd_rows[i]:
-                yield np.array(self._encode([text])[0], np.uint32)
+                yield np.array(self.whole(text), np.uint32)
                 continue
             mine = number[shifted[offsets[i] : offsets[i + 1]]]
             first, sizes = self.begin[mine], self.begin[mine + 1] - self.begin[mine]

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import WORD
+from tallymark.llm.common import WORD, neutral, restored
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -96,11 +96,11 @@ def clean_lines(
     Steps are separate projections, each used more than once by the next, so that no
     array is computed again for every element of another one.
     """
-    kept_columns = [F.col(f"`{c}`") for c in docs.columns if c not in RESULT]
-    carried = [F.col(f"`{c}`") for c in docs.columns if c not in RESULT and not c.startswith("__")]
-    full = F.coalesce(F.col(text), F.lit(""))
+    docs, names = neutral(docs)
+    carried = [F.col(name) for name in names.values()]
+    full = F.coalesce(F.col(names[text]), F.lit(""))
     split = docs.select(
-        *kept_columns,
+        *carried,
         F.regexp_extract_all(full, F.lit(WORD), F.lit(0)).alias("_words"),
         F.transform(
             F.split(full, "\n"), lambda line: F.struct(line.alias("line"), F.regexp_count(line, F.lit(WORD)).alias("words"))
@@ -166,7 +166,8 @@ def clean_lines(
     )
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)
     lost = F.col("lost_words") * 100 > F.col("n_words") * max_lost
-    return counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~lost)
+    judged = counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~lost)
+    return judged.select(*restored(names, RESULT), *RESULT)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

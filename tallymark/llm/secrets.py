@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import written
+from tallymark.llm.common import neutral, restored, written
 
 BROADCAST_ROWS = 1_000_000
 #: Alternatives of a query beyond which literal runs are given up for shorter ones.
@@ -174,17 +174,38 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
         F.transform(groups, lambda x: F.length(x)),
         lambda x, group: F.struct(x["piece"].alias("piece"), x["match"].alias("match"), group.alias("group")),
     )
-    kind = "array<struct<start:int,rule:int,stop:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    stops = _running(
+        F.transform(measured, lambda x: x["piece"] + F.coalesce(x["match"], F.lit(0))), lambda a, b: a + b
+    )
+    # The last piece has no match behind it.
+    spans = F.zip_with(
+        measured,
+        stops,
+        lambda x, stop: F.struct(
+            (stop - x["match"]).alias("start"), F.lit(number).alias("rule"), stop.alias("stop"), x["group"].alias("group")
+        ),
+    )
+    good = F.filter(spans, lambda x: x["start"].isNotNull() & (x["group"] >= rule.least))
+    return F.transform(good, lambda x: F.struct(x["start"], x["rule"], x["stop"]))
+
+
+#: Doublings of a running combination: more elements than an array can have.
+_DOUBLINGS = 31
 
-    def step(held: Column, x: Column) -> Column:
-        begin = held["at"] + x["piece"]
-        stop = begin + F.coalesce(x["match"], F.lit(0))
-        one = F.array(F.struct(begin.alias("start"), F.lit(number).alias("rule"), stop.alias("stop")))
-        good = x["match"].isNotNull() & (x["group"] >= rule.least)
-        return F.struct(stop.alias("at"), F.when(good, F.concat(held["out"], one)).otherwise(held["out"]).alias("out"))
 
-    return F.aggregate(measured, start, step, lambda held: held["out"])
+def _running(values: Column, join) -> Column:
+    """Running combination of an array of numbers: each doubling joins every element with
+    the one 2^k places before, which by then stands for 2^k elements. Short arrays stop
+    after as many doublings as they need."""
+    for k in range(_DOUBLINGS):
+
+        def doubled(all_: Column, far: int = 1 << k) -> Column:
+            step = F.transform(all_, lambda x, i: F.when(i < far, x).otherwise(join(x, F.get(all_, i - far))))
+            return F.when(F.size(all_) > far, step).otherwise(all_)
+
+        # Bound once, so that an element is not computed again for each use.
+        values = F.get(F.transform(F.array(values), lambda x: doubled(x)), F.lit(0))
+    return values
 
 
 def scan(
@@ -193,15 +214,17 @@ def scan(
     text: str = "text",
     rules: tuple[Rule, ...] = RULES,
     broadcast_rows: int = BROADCAST_ROWS,
+    into: str = "secrets",
 ) -> DataFrame:
-    """docs with `secrets`: all spans (start, rule, stop) by start, then rule."""
+    """docs with a column `into`: all spans (start, rule, stop) by start, then rule."""
+    docs, names = neutral(docs)
+    doc_id, text = names[doc_id], names[text]
     key = F.xxhash64(F.col(doc_id), F.col(text))
     found = written(candidates(docs, key, text, rules), "candidates")
     found = F.broadcast(found) if found.count() <= broadcast_rows else found
     indexed = set(queries(rules))
     none = F.array().cast("array<struct<start:int,rule:int,stop:int>>")
-    own = [F.col(f"`{c}`") for c in docs.columns if c != "secrets"]
-    joined = docs.select(*own, key.alias("doc")).join(found, "doc", "left")
+    joined = docs.withColumn("doc", key).join(found, "doc", "left")
     full = F.coalesce(F.col(text), F.lit(""))
     parts = [
         F.when(F.col("mask").bitwiseAND(1 << i) != 0, _spans(full, rule, i)).otherwise(none)
@@ -209,7 +232,7 @@ def scan(
         else F.when(full.rlike(rule.pattern), _spans(full, rule, i)).otherwise(none)
         for i, rule in enumerate(rules)
     ]
-    return joined.select(*own, F.sort_array(F.concat(*parts)).alias("secrets"))
+    return joined.select(*restored(names, [into]), F.sort_array(F.concat(*parts)).alias(into))
 
 
 def joined_spans(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -218,28 +241,21 @@ def joined_spans(spans: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rule"]), s["start"], s["stop"])), ",")
 
 
-def redact(scanned: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact(scanned: DataFrame, text: str = "text", mark: str = "[SECRET]", spans: str = "secrets") -> DataFrame:
     """Scanned documents with every span replaced; overlapping spans are one."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(held: Column, s: Column) -> Column:
-        between = F.substring(F.col(text), held["at"] + 1, s["start"] - held["at"])
-        return F.struct(
-            F.greatest(held["at"], s["stop"]).alias("at"),
-            F.when(s["start"] >= held["at"], F.concat(held["out"], F.array(between, F.lit(mark))))
-            .otherwise(held["out"])
-            .alias("out"),
-        )
-
-    rest = F.aggregate(
-        "secrets",
-        start,
-        step,
-        lambda held: F.concat(
-            F.array_join(held["out"], ""), F.substring(F.col(text), held["at"] + 1, F.length(F.col(text)))
-        ),
-    )
-    return scanned.withColumn(text, F.when(F.size("secrets") > 0, rest).otherwise(F.col(text)))
+    full = F.col(f"`{text}`")
+    found = F.col(f"`{spans}`")
+    ends = _running(F.transform(found, lambda s: s["stop"]), F.greatest)
+
+    def clean(bound: Column) -> Column:
+        ends = bound["ends"]
+        before = F.transform(bound["spans"], lambda s, i: F.struct(s["start"].alias("start"), F.coalesce(F.get(ends, i - 1), F.lit(0)).alias("end")))
+        apart = F.filter(before, lambda x: x["start"] >= x["end"])
+        pieces = F.transform(apart, lambda x: F.concat(F.substring(full, x["end"] + 1, x["start"] - x["end"]), F.lit(mark)))
+        return F.concat(F.array_join(pieces, ""), F.substring(full, F.element_at(ends, -1) + 1, F.length(full)))
+
+    bound = F.array(F.struct(found.alias("spans"), ends.alias("ends")))
+    return scanned.withColumn(text, F.when(F.size(found) > 0, F.get(F.transform(bound, clean), F.lit(0))).otherwise(full))
 
 
 def secret_scan(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import ascii_lower, written
+from tallymark.llm.common import ascii_lower, neutral, restored, written
 
 #: (host, path, verdict), fixed for the query.
 RULES = (
@@ -134,14 +134,14 @@ def judge(
 ) -> DataFrame:
     """pages with host, path, rule, verdict and score, the probability of `block`."""
     weights = train(labelled, places)
-    own = [c for c in pages.columns if c not in RESULT]
-    host, path = url_parts(F.col(url))
-    parts = pages.select(*[F.col(f"`{c}`") for c in own], host.alias("host"), path.alias("path"))
+    pages, names = neutral(pages)
+    host, path = url_parts(F.col(names[url]))
+    parts = pages.select("*", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     scored = with_features(parts, places).withColumn("score", _score(weights))
     learned = F.when(F.col("score") > 0.5, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select(
-        *[F.col(f"`{c}`") for c in own],
+        *restored(names, RESULT),
         "host",
         "path",
         rule.alias("rule"),

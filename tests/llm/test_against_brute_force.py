@@ -126,12 +126,23 @@ def test_filters_hold_what_they_learned():
     assert names[0] == "b" and score[0] == 1.0 and score[1] < 0.5
 
 
+@pytest.mark.parametrize("character", [" ", "\n", "a", "\u00a0", "1"])
+def test_two_million_characters_in_a_row(character):
+    tokens = packing.PartTokens(queries.tokenizer_path())
+    (ids,) = tokens.encode([f"x{character * 2_000_000}y"])
+    back = tokens.encoding.decode(ids.tolist())
+    assert back == f"x{character * 2_000_000}y"
+
+
 def test_packed_tokens(spark, texts):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(queries.tokenizer_path())
-    plain.encode_special_tokens = True
     odd = {1000: "  two  blanks \n\n x ", 1001: "a\u00a0 b \u3000c", 1002: "it's we'll\t\tx <|endoftext|> y", 1003: "é " * 3000}
+    odd |= {1004: "<|endoftext|>", 1005: "a <|endoftext|><|endoftext|>b\n<|endoftext|>", 1006: "<|endoftext| >"}
+    odd |= {2000 + i: a + c * n + b for i, (n, c, a, b) in enumerate(
+        (n, c, a, b) for n in (packing.RUN - 1, packing.RUN, 2501) for c in " \n\t\u3000" for a in ("", "x") for b in ("", "y", "\n<|endoftext|>")
+    )}
     rows = {**texts, **odd}
     frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
     pieces = packing.token_pieces(frame, queries.tokenizer_path(), with_ids=True).cache()
