@@ -6,14 +6,15 @@ Parquet and read again before the next stage:
 * language_id: documents whose language cannot be told (no letters) go, and those of
   which too few n-grams belong to the language found (`MIN_SCORE`);
 * jaccard_join: of documents with 5-word shingle similarity of 0.8 or more, directly or
-  through others, the one with the smallest id stays;
+  through others, the one with the smallest id stays (NULL ids after all others, ties by
+  text);
 * decontamination: documents that leak a benchmark item go;
 * secret_scan: secrets are replaced in the text, n_chars follows;
 * best_fit_packing: the rest is packed into sequences of 1024 tokens.
 
 All but the last return the columns of documents, extra ones included. NULL texts go with
-the first stage; NULL ids stay (their documents are grouped by text); an empty table
-passes through. Of repeated rows one stays.
+the first stage; NULL and repeated ids are grouped by text like any other; an empty table
+passes through. Of a group one row stays. Columns of any name keep their values.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm import decontam, jaccard, langid, packing, secrets
-from tallymark.llm.common import table, written
+from tallymark.llm.common import neutral, restored, table, written
 from tallymark.llm.queries import tokenizer_path
 
 MIN_SCORE = 0.2
@@ -41,28 +42,36 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.similar_documents(docs, SHINGLE, PERCENT)
-    # The first of a group; rows are known by id and text.
-    heads = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_id"), F.col("row").alias("_row")
-    )
-    heads = written(heads.distinct(), "heads")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    kept = keyed.join(heads, keyed["doc_id"].eqNullSafe(heads["_id"]) & (keyed["_key"] == heads["_row"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain, names = neutral(docs)
+    doc_id, text = names["doc_id"], names["text"]
+    groups = jaccard.similar_documents(plain, SHINGLE, PERCENT, doc_id, text)
+    # The first of a group; rows are known by id and text. Documents without words are
+    # linked with nothing.
+    alone = F.when(F.col("label").isNull(), F.struct("doc_id", "row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    heads = groups.groupBy("label", alone.alias("alone")).agg(first.alias("head"))
+    heads = written(heads.select(F.col("head.doc_id").alias("head_id"), F.col("head.row").alias("head_row")), "heads")
+    keyed = plain.withColumn("key", F.xxhash64(text))
+    same = keyed[doc_id].eqNullSafe(heads["head_id"]) & keyed["key"].eqNullSafe(heads["head_row"])
+    kept = keyed.join(heads, same, "left_semi")
+    return kept.dropDuplicates([doc_id, "key"]).select(*restored(names))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = decontam.mark(docs, table(spark, sf_dir, "benchmark"))
-    return marked.filter("n_leaks = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain, names = neutral(docs)
+    marked = decontam.mark(plain, table(spark, sf_dir, "benchmark"), names["text"])
+    return marked.filter("n_leaks = 0").select(*restored(names))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = secrets.redact(secrets.scan(docs))
-    if "n_chars" in docs.columns:
-        length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        clean = clean.withColumn("n_chars", F.when(F.size("secrets") > 0, length).otherwise(F.col("n_chars")))
-    return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain, names = neutral(docs)
+    text = names["text"]
+    clean = secrets.redact(secrets.scan(plain, names["doc_id"], text), text)
+    if "n_chars" in names:
+        size = names["n_chars"]
+        length = F.length(text).cast(docs.schema["n_chars"].dataType)
+        clean = clean.withColumn(size, F.when(F.size("secrets") > 0, length).otherwise(F.col(size)))
+    return clean.select(*restored(names))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
