@@ -13,6 +13,7 @@ from tallymark.functions.urls import data_url
 from tallymark.operators import labels as L
 from tallymark.operators import scoring as S
 from tallymark.operators.groups import side_format
+from tallymark.operators.skew import lookup_join
 from tallymark.plans.fixtures import load, with_clause
 from tallymark.session import new_shared_path
 from tallymark.sources import readers as R
@@ -103,30 +104,26 @@ def qc_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def csv_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Label rows written as CSV and scanned back; ordinals must be dense per file."""
+    """Label rows written as CSV, with line breaks and quotes inside cells, and scanned back
+    with all their cells. `place` is the record's number, counted on from file to file."""
     out = new_shared_path(spark, "labels")
     rows = _rows(spark, folder)
-    have = set(rows.columns)
-    cells = [F.col(name) if name in have else F.lit(None).cast("string").alias(name) for name in L.LABEL_COLUMNS]
-    rows.select(*cells).write.option("header", True).option("escape", '"').option(
+    third, key = F.col("csv_row") % 3 == 0, L.LABEL_COLUMNS[-1]
+    number = F.col("csv_row").cast("string")
+    broken = F.concat_ws("", "c2", F.lit('\n"'), "c0", F.lit('", '), number)
+    full = rows.withColumns(
+        {"c2": F.when(third, broken).otherwise(F.col("c2")), "c15": F.when(third, F.concat(F.lit("\n\n"), number)), key: number}
+    )
+    none = F.lit(None).cast("string")
+    cells = [F.col(name) if name in full.columns else none.alias(name) for name in L.LABEL_COLUMNS]
+    ordered = full.repartitionByRange("csv_row").sortWithinPartitions("csv_row")
+    ordered.select(*cells).write.option("header", True).option("escape", '"').option(
         "ignoreLeadingWhiteSpace", False
     ).option("ignoreTrailingWhiteSpace", False).csv(out)
     scanned = R.read_labels(spark, out)
-    per_file = scanned.groupBy("file_name").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("csv_row").alias("first"),
-        F.max("csv_row").alias("last"),
-        F.count(X.clean_cell(F.col("c1"))).alias("front"),
-        F.count(X.clean_cell(F.col("c9"))).alias("back"),
-        F.count(X.clean_cell(F.col("c0"))).alias("named"),
-    )
-    return per_file.agg(
-        F.sum("n").alias("data_rows"),
-        F.bool_and((F.col("first") == 2) & (F.col("last") == F.col("n") + 1)).alias("dense"),
-        F.sum("front").alias("front_cells"),
-        F.sum("back").alias("back_cells"),
-        F.sum("named").alias("named_rows"),
-    )
+    first = scanned.groupBy("file_name").agg(F.min(F.col(key).cast("long")).alias("first"))
+    placed = lookup_join(scanned, first, ["file_name"], ["csv_row"], "left")
+    return placed.select((F.col("csv_row") - 2 + F.col("first")).alias("place"), *_USED, "c15", key)
 
 
 def jsonl_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -245,7 +242,9 @@ def _request_sql(side: str) -> str:
 _FOLDED = "replace(lower({0}), 'ß', 'ss')"
 
 CHECKS = {
-    "csv_scan": f"{with_clause('f_labels')}, {_CLEANED} SELECT count(*) AS data_rows, true AS dense, count(c1) AS front_cells, count(c9) AS back_cells, count(c0) AS named_rows FROM cleaned",
+    "csv_scan": f"""{with_clause('f_labels')} SELECT csv_row AS place, c0, c1,
+ CASE WHEN csv_row % 3 = 0 THEN concat(c2, chr(10), '"', c0, '", ', csv_row) ELSE c2 END AS c2, c3, c9, c11, c13,
+ CASE WHEN csv_row % 3 = 0 THEN concat(chr(10), chr(10), csv_row) END AS c15, cast(csv_row AS varchar) AS c29 FROM f_labels""",
     "jsonl_scan": "SELECT role, count(*) AS turns, cast(sum(length(text)) AS bigint) AS chars, true AS numbered FROM conversations GROUP BY role",
     "clean_cells": f"{with_clause('f_labels')}, {_CLEANED} SELECT csv_row, {', '.join(_USED)} FROM cleaned",
     "norm_key": f"{with_clause('f_labels')} SELECT csv_row, {_FOLDED.format('c0')} AS name_key FROM f_labels",

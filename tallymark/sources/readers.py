@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallymark.operators.labels import LABEL_COLUMNS
 from tallymark.operators.skew import lookup_join
 from tallymark.session import write_once
+from tallymark.sources.split_csv import read_split_csv
 
 TABLE_SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -82,20 +83,9 @@ def _with_position(df: DataFrame) -> DataFrame:
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Label CSV with a header: quoted line breaks, ragged rows and a byte-order mark
-    are fine. csv_row counts records from 2. Empty records are rows without data.
-
-    A file with quoted line breaks cannot be split, so large inputs should be many files.
-    """
-    schema = ", ".join(f"{name} string" for name in LABEL_COLUMNS)
-    rows = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .csv(path)
-    )
-    return with_ordinal(_with_position(rows), "csv_row", 2)
+    are fine. csv_row counts records from 2. Empty records are rows without data. Files
+    are split, however long they are."""
+    return read_split_csv(spark, path, list(LABEL_COLUMNS), "csv_row")
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:

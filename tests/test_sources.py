@@ -1,4 +1,7 @@
+import csv
+import io
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from tallymark.operators import latency as A
 from tallymark.session import shared_folder
 from tallymark.sources import readers as R
 from tallymark.sources import writers as W
+from tallymark.sources.split_csv import split_records
 
 
 def test_label_csv(spark, tmp_path):
@@ -25,6 +29,67 @@ def test_label_csv(spark, tmp_path):
     assert cleaned.c1 == "é"
 
 
+def expected_cells(text):
+    """Records after the header, as the csv module reads them."""
+    rows = list(csv.reader(io.StringIO(text, newline="")))[1:]
+    return [[(r[i] or None) if i < len(r) else None for i in range(30)] for r in rows]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_split_csv(spark, tmp_path, seed):
+    """Files cut into tiny blocks: records of many lines, quotes in odd places, both line
+    ends, blank records."""
+    rng = random.Random(seed)
+    files = {}
+    for name in ("a", "b"):
+        lines = [",".join(f'"h\n{i}"' if i == 3 else f"h{i}" for i in range(30))]
+        for n in range(400):
+            cells = []
+            for _ in range(rng.choice([0, 1, 3, 29, 31])):
+                cells.append(rng.choice(["", "x", " é ", 'five" inch', '"a\nb"', '"\n\n,\n"', '"q ""uote"""', '"a" tail', '"\r\n"', '""', f"{n}", '"' + "long\n" * rng.randrange(40) + '"']))
+            lines.append(",".join(cells))
+        ends = [rng.choice(["\n", "\r\n"]) for _ in lines]
+        ends[-1] = rng.choice(["", "\n"])
+        files[name] = "".join(x + e for x, e in zip(lines, ends, strict=True))
+        (tmp_path / f"{name}.csv").write_bytes(("\ufeff" + files[name]).encode())
+    settings = {"spark.sql.files.maxPartitionBytes": "701", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        scanned = R.read_labels(spark, str(tmp_path))
+        rows = scanned.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for name, text in files.items():
+        got = sorted((r.csv_row, [r[f"c{i}"] for i in range(30)]) for r in rows if r.file_name.endswith(f"{name}.csv"))
+        want = expected_cells(text)
+        assert [n for n, _ in got] == list(range(2, len(want) + 2))
+        assert [cells for _, cells in got] == want
+
+
+def test_one_file_is_read_by_many_tasks(spark, tmp_path):
+    path = tmp_path / "labels.csv"
+    path.write_text("h\n" + "".join(f'"{i}\nsecond ""line""",y\n' for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        text = spark.read.option("lineSep", "\n").text(str(path))
+        assert text.rdd.getNumPartitions() >= 8
+        got = {r.csv_row: r.c0 for r in R.read_labels(spark, str(path)).select("csv_row", "c0").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {i + 2: f'{i}\nsecond "line"' for i in range(20_000)}
+
+
+def test_an_unclosed_quote_is_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('h\na,"b\n' + "c\n" * 100)
+    with pytest.raises(ValueError, match="record 2 of .*a.csv has no closing quote"):
+        split_records(spark, str(tmp_path), max_chars=50)
+    assert R.read_labels(spark, str(tmp_path)).collect()[0].c1.startswith("b\nc\nc")
+
+
 def test_ordinals_over_many_blocks(spark, tmp_path):
     for name, count in (("a", 5000), ("b", 17)):
         (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"n": i}) + "\n" for i in range(count)))
