@@ -12,6 +12,7 @@ from tallymark import constants as K
 from tallymark.functions.text import fold_key, strip
 
 FieldSpec = dict[str, Any]
+MAX_LIST_CHARS = 1 << 20
 
 # Tables used here:
 #   groups    group_code, group_name, group_description
@@ -122,7 +123,7 @@ def schema_paths(fields: DataFrame) -> DataFrame:
     kind = F.col("data_type")
     return fields.select(
         "group_code",
-        F.concat(F.coalesce(F.concat("parent", F.lit("[].")), F.lit("")), F.col("field_key")).alias("path"),
+        _path().alias("path"),
         F.when(kind.isin("number", "boolean", "array"), kind).otherwise(F.lit("string")).alias("json_type"),
         F.coalesce("nullable", F.lit(True)).alias("nullable"),
         F.coalesce(F.nullif("description", F.lit("")), "field_name").alias("description"),
@@ -156,8 +157,7 @@ def schema_def_check(groups: DataFrame, fields: DataFrame, variants: DataFrame)
 
     nested = fields.filter(F.col("parent").isNotNull()).select("group_code", F.col("parent").alias("path"))
     parents = nested.distinct().withColumn("_has_children", F.lit(True))
-    path = F.concat(F.coalesce(F.concat("parent", F.lit("[].")), F.lit("")), F.col("field_key"))
-    with_children = fields.withColumn("path", path).join(parents, ["group_code", "path"], "left")
+    with_children = fields.withColumn("path", _path()).join(parents, ["group_code", "path"], "left")
     has_children = F.col("_has_children").isNotNull()
     is_array = F.col("data_type") == "array"
     covered = fields.filter(F.col("parent").isNull()).select("group_code").distinct()
@@ -209,49 +209,69 @@ def _joined(sort_key: str, text: str, separator: str) -> Column:
     return F.array_join(F.transform(pairs, lambda pair: pair[text]), separator)
 
 
-def field_lines(fields: DataFrame, depth: int = 1) -> DataFrame:
-    """Description line of every top-level field; `depth` levels of array members are
-    folded into their parents, innermost first."""
-    path = F.concat(F.coalesce(F.concat("parent", F.lit("[].")), F.lit("")), F.col("field_key"))
-    level = F.when(F.col("parent").isNull(), 0).otherwise(F.size(F.split("parent", r"\[\]\.")))
+def _path() -> Column:
+    return F.concat(F.coalesce(F.concat("parent", F.lit("[].")), F.lit("")), F.col("field_key"))
+
+
+def field_lines(fields: DataFrame) -> DataFrame:
+    """Description line of every top-level field with its members at any depth.
+
+    A field's place is the list of its ancestors' positions. An array opens at its place
+    and closes behind all places that begin with it, any other field stands at its place;
+    so a line is the texts below one top-level field in the order of their places. Fields
+    below something that is no declared array have no place; schema_def_check names them.
+    """
+    hint = F.coalesce(F.nullif("description", F.lit("")), F.nullif("field_name", F.lit("")))
+    parts = F.split("parent", r"\[\]\.")
+    above = F.when(F.col("parent").isNull(), F.array().cast("array<string>")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "[]."))
+    )
     base = fields.select(
-        "group_code",
-        "parent",
-        "position",
-        "data_type",
-        "field_key",
-        path.alias("path"),
-        level.alias("level"),
-        F.coalesce(F.nullif("description", F.lit("")), F.nullif("field_name", F.lit(""))).alias("hint"),
+        "group_code", "position", "field_key", "data_type", _path().alias("path"), hint.alias("hint"), above.alias("above")
+    ).withColumn("_id", F.xxhash64("group_code", "path", "position", "data_type", "hint"))
+    arrays = (
+        base.filter(F.col("data_type") == "array")
+        .groupBy("group_code", F.col("path").alias("up"))
+        .agg(F.min("position").alias("up_position"), F.min("field_key").alias("up_key"))
     )
+    climbed = base.select("*", F.posexplode_outer("above").alias("step", "up")).join(arrays, ["group_code", "up"], "left")
+    # As many rows as a field has ancestors.
+    step = F.struct("step", F.col("up_position").alias("position"), F.col("up_key").alias("key"))
+    same = ["group_code", "_id", "path", "position", "field_key", "data_type", "hint", "above"]
+    placed = climbed.groupBy(*same).agg(F.sort_array(F.collect_list(F.when(F.col("up_key").isNotNull(), step))).alias("_steps"))
+    here = F.transform("_steps", lambda x: F.struct(x["position"].alias("position"), x["key"].alias("key")))
+    own = F.struct(F.col("position"), F.col("field_key").alias("key"))
+    rooted = placed.filter(F.size("_steps") == F.size("above")).withColumn("place", F.array_append(here, own))
+    array = F.col("data_type") == "array"
+    head = F.concat(F.lit("- "), F.col("field_key"), F.lit(" ("))
+    told = F.concat(F.lit(")"), F.coalesce(F.concat(F.lit(" - Hint: "), F.col("hint")), F.lit("")))
+    end = F.struct(F.lit(2**31 - 1).alias("position"), F.lit("").alias("key"))
+
+    def event(place: Column, kind: str, text: Column) -> Column:
+        return F.struct(place.alias("place"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    opened = event(F.col("place"), "open", F.concat(head, F.lit("array of objects: ")))
+    closed = event(F.array_append(F.col("place"), end), "shut", told)
+    plain = event(F.col("place"), "whole", F.concat(head, F.col("data_type"), told))
+    events = rooted.select(
+        "group_code", F.get("place", F.lit(0)).alias("top"), F.inline(F.when(array, F.array(opened, closed)).otherwise(F.array(plain)))
+    )
+    lists = events.groupBy("group_code", "top").agg(F.sort_array(F.collect_list(F.struct("place", "kind", "text"))).alias("_all"))
 
-    def line(children: Column) -> Column:
-        kind = F.when(
-            F.col("data_type") == "array",
-            F.concat(F.lit(" (array of objects: "), F.coalesce(children, F.lit("")), F.lit(")")),
-        ).otherwise(F.concat(F.lit(" ("), F.col("data_type"), F.lit(")")))
-        hint = F.coalesce(F.concat(F.lit(" - Hint: "), F.col("hint")), F.lit(""))
-        return F.concat(F.lit("- "), F.col("field_key"), kind, hint)
-
-    inner = None
-    for current in range(depth, -1, -1):
-        rows = base.filter(F.col("level") == current)
-        if inner is None:
-            described = rows.withColumn("line", line(F.lit(None).cast("string")))
-        else:
-            described = rows.join(inner, ["group_code", "path"], "left").withColumn("line", line(F.col("_children")))
-        if current:
-            inner = described.groupBy("group_code", F.col("parent").alias("path")).agg(
-                _joined("position", "line", ", ").alias("_children")
-            )
-    return described.select("group_code", "position", "line")
+    def spoken(x: Column, i: Column) -> Column:
+        follows = (i > 0) & (x["kind"] != "shut") & (F.get("_all", i - 1)["kind"] != "open")
+        return F.concat(F.when(follows, F.lit(", ")).otherwise(F.lit("")), x["text"])
+
+    return lists.select(
+        "group_code", F.col("top.position").alias("position"), F.array_join(F.transform("_all", spoken), "").alias("line")
+    )
 
 
-def group_descriptions(groups: DataFrame, fields: DataFrame, depth: int = 1) -> DataFrame:
+def group_descriptions(groups: DataFrame, fields: DataFrame) -> DataFrame:
     """group_code, group_name, description text of its fields; one row per code, the
     first name of a code that is defined twice (which schema_def_check reports)."""
     groups = groups.groupBy("group_code").agg(F.min("group_name").alias("group_name"))
-    lines = field_lines(fields, depth).groupBy("group_code").agg(_joined("position", "line", "\n").alias("_lines"))
+    lines = field_lines(fields).groupBy("group_code").agg(_joined("position", "line", "\n").alias("_lines"))
     return groups.join(lines, "group_code", "left").select(
         "group_code",
         "group_name",
@@ -317,11 +337,15 @@ def group_blocks(groups: DataFrame, variants: DataFrame) -> DataFrame:
     )
 
 
-def group_list(blocks: DataFrame) -> str:
-    """The blocks of all groups as one text. Groups are part of a request, written by
-    hand, so the text is small; it goes into every prompt."""
-    rows = blocks.select("group_code", "block").orderBy("group_code", "block").collect()
-    return "\n".join(row["block"] for row in rows)
+def group_list(blocks: DataFrame) -> Column:
+    """The blocks of all groups as one text, as a scalar subquery: one aggregated row that
+    the plan puts into every prompt. Groups are part of a request, written by hand; a list
+    beyond MAX_LIST_CHARS is an error."""
+    ordered = F.sort_array(F.collect_list(F.struct("group_code", "block")))
+    text = F.array_join(F.transform(ordered, lambda pair: pair["block"]), "\n")
+    total = F.coalesce(F.sum(F.length("block")), F.lit(0))
+    checked = F.when(total <= MAX_LIST_CHARS, text).otherwise(F.raise_error(F.lit("the list of groups is too long")))
+    return blocks.agg(checked.alias("list")).scalar()
 
 
 def classify_prompts(files: DataFrame, group_list: Column) -> DataFrame:

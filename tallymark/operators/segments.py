@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.operators.skew import first_n, lookup_join
+from tallymark.operators.skew import hot_from_counts, lookup_join
 
 # documents: file_id, doc_no, n_pages, document_code, document_name,
 #            page_ranges ARRAY<ARRAY<INT>>, page_order ARRAY<INT>,
@@ -84,37 +84,112 @@ def check_pages(documents: DataFrame) -> DataFrame:
     return documents.withColumn("page_error", page_error(F.col("n_pages")))
 
 
+def _range_problem() -> Column:
+    """What keeps a document's ranges from claiming pages."""
+    ranges = F.col("page_ranges")
+    beyond = F.exists(ranges, lambda pair: pair[1] > F.col("n_pages"))
+    return F.coalesce(range_error(ranges), F.when(beyond, F.lit("page_ranges reference a page outside the file")))
+
+
 def expand_pages(documents: DataFrame) -> DataFrame:
     """One row per page a document covers, however many. A document with unsound ranges,
     or with some beyond its file, gives one row without a page that says why."""
     ranges = F.col("page_ranges")
-    beyond = F.exists(ranges, lambda pair: pair[1] > F.col("n_pages"))
-    error = F.coalesce(
-        range_error(ranges), F.when(beyond, F.lit("page_ranges reference a page outside the file"))
-    )
-    judged = documents.select("file_id", "doc_no", "page_ranges", error.alias("error"))
+    judged = documents.select("file_id", "doc_no", "page_ranges", _range_problem().alias("error"))
     pages = F.flatten(F.transform(ranges, lambda pair: F.sequence(pair[0], pair[1])))
     return judged.select(
         "file_id", "doc_no", F.explode_outer(F.when(F.col("error").isNull(), pages)).alias("page"), "error"
     )
 
 
+def _running_max(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """rows with the largest `value` of the rows of their key up to and with them; order[0]
+    is an integer.
+
+    A key with more rows than a task should take is cut into stretches of order[0];
+    stretches exchange one row each."""
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.max(order[0]).alias("_last"))
+    cut = hot_from_counts(counted.drop("_last"), keys).join(counted.select(*keys, "_last"), keys)
+    # At most rows / rows per task keys are cut.
+    sliced = rows.join(F.broadcast(cut), keys, "left").withColumn(
+        "_slice",
+        F.coalesce(F.expr(f"{order[0]} * _parts div (_last + 1)"), F.lit(0)).cast("bigint"),
+    )
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = sliced.drop("_parts", "_last").withColumn(name, F.max(value).over(inside))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        sliced.filter("_parts is not null")
+        .groupBy(*keys, "_slice")
+        .agg(F.max(value).alias("_most"))
+        .select(*keys, "_slice", F.max("_most").over(earlier).alias("_carry"))
+    )
+    # Stretches of cut keys only, so as few as there are tasks.
+    joined = local.join(F.broadcast(carry), [*keys, "_slice"], "left")
+    return joined.withColumn(name, F.greatest(name, "_carry")).drop("_slice", "_carry")
+
+
+def first_overlap(documents: DataFrame) -> DataFrame:
+    """Per file the first document that overlaps an earlier one: file_id, doc_no.
+
+    Two documents differ in a highest bit of their numbers; there the earlier one stands on
+    the left, the later one on the right of a block of documents. For each level a sweep
+    runs over the blocks: left ranges enter at their starts, right ranges look back from
+    their ends, and overlap if the furthest left end seen so far reaches their start. So
+    every pair meets in one sweep, no page is expanded and no pair is listed."""
+    levels = F.expr("sequence(0, cast(greatest(ceil(log2(_docs + 1)), 1) as int) - 1)")
+    size = documents.groupBy("file_id").agg(F.max("doc_no").cast("bigint").alias("_docs"), F.count(F.lit(1)).alias("_rows"))
+    several = size.filter("_rows > 1").select("file_id", "_docs")
+    ranged = lookup_join(
+        documents.select("file_id", F.col("doc_no").cast("bigint").alias("doc_no"), F.inline(F.transform("page_ranges", lambda r: F.struct(r[0].cast("bigint").alias("start"), r[1].cast("bigint").alias("end"))))),
+        several,
+        ["file_id"],
+        ["doc_no", "start"],
+        "inner",
+    )
+    marked = ranged.select("file_id", "doc_no", "start", "end", F.explode(levels).alias("level")).select(
+        "file_id",
+        "level",
+        F.expr("shiftright(doc_no, level + 1)").alias("block"),
+        "doc_no",
+        "start",
+        "end",
+        F.expr("shiftright(doc_no, level) % 2").alias("right"),
+    )
+    events = marked.withColumn("at", F.when(F.col("right") == 0, F.col("start")).otherwise(F.col("end"))).withColumn(
+        "reach", F.when(F.col("right") == 0, F.col("end"))
+    )
+    swept = _running_max(events, ["file_id", "level", "block"], ["at", "right"], "reach", "furthest")
+    hit = swept.filter((F.col("right") == 1) & (F.col("furthest") >= F.col("start")))
+    return hit.groupBy("file_id").agg(F.min("doc_no").alias("doc_no"))
+
+
 def page_overlap(documents: DataFrame) -> DataFrame:
     """Per file, the first document that claims a page of an earlier one, and the pages.
 
-    Only the two first documents per page matter, so tasks drop all others before the
-    shuffle; a page shared by very many documents stays cheap.
-    """
-    pages = expand_pages(documents).filter("page is not null")
-    two = first_n(pages, ["file_id", "page"], ["doc_no"], 2)
-    shared = (
-        two.groupBy("file_id", "page")
-        .agg(F.count(F.lit(1)).alias("claims"), F.max("doc_no").alias("doc_no"))
-        .filter(F.col("claims") > 1)
+    Documents with unsound ranges, or with some beyond their file, claim nothing. Only the
+    pages that are shared are listed; ranges of any length cost as much as short ones.
+    doc_no is unique within a file and not negative."""
+    sound = documents.filter(_range_problem().isNull()).select("file_id", "doc_no", "page_ranges")
+    first = first_overlap(sound)
+    mine = sound.join(first, ["file_id", "doc_no"], "left_semi").select(
+        "file_id", F.col("doc_no").alias("_first"), F.col("page_ranges").alias("_mine")
     )
-    per_document = shared.groupBy("file_id", "doc_no").agg(F.sort_array(F.collect_set("page")).alias("pages"))
-    return per_document.groupBy("file_id").agg(
-        F.min("doc_no").alias("doc_no"), F.min_by("pages", "doc_no").alias("pages")
+    # Documents before the first overlap share no page among themselves.
+    earlier = lookup_join(sound, mine, ["file_id"], ["doc_no"], "inner").filter(F.col("doc_no") < F.col("_first"))
+
+    def common(a: Column) -> Column:
+        return F.filter(
+            F.transform("_mine", lambda b: F.struct(F.greatest(a[0], b[0]).alias("low"), F.least(a[1], b[1]).alias("high"))),
+            lambda x: x["low"] <= x["high"],
+        )
+
+    shared = F.flatten(F.transform("page_ranges", common))
+    pages = earlier.select("file_id", "_first", F.flatten(F.transform(shared, lambda x: F.sequence(x["low"], x["high"]))).alias("pages"))
+    return (
+        pages.filter(F.size("pages") > 0)
+        .groupBy("file_id", F.col("_first").alias("doc_no"))
+        .agg(F.sort_array(F.flatten(F.collect_list("pages"))).alias("pages"))
     )
 
 

@@ -98,7 +98,7 @@ def classify_prompts(spark: SparkSession, folder: str) -> DataFrame:
     """One prompt per conversation, with all groups in it."""
     turns = table(spark, folder, "conversations")
     files = turns.groupBy(F.col("conv_id").alias("file_id")).agg((F.max("turn") + 1).alias("n_pages"))
-    listed = F.lit(G.group_list(classify_blocks(spark, folder)))
+    listed = G.group_list(classify_blocks(spark, folder))
     return G.classify_prompts(files, listed).select("file_id", "prompt")
 
 

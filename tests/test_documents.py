@@ -1,5 +1,7 @@
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallymark.functions import urls as U
@@ -262,3 +264,112 @@ def test_definition_rules(spark):
     assert lines == ["- a (string)", "- l (array of objects: - x (number) - Hint: count, - y (date) - Hint: Day) - Hint: Lines"]
     block = G.group_blocks(groups.filter("group_code = 'ok'"), variants).first().block
     assert block.endswith("variants/sample titles: Straße, STRASSE  (d)")
+
+
+def claims(documents):
+    """First document that shares pages with earlier ones, by sets of pages."""
+    out = {}
+    for file_id in {d[0] for d in documents}:
+        seen = set()
+        for _, doc_no, n, ranges in sorted(d for d in documents if d[0] == file_id):
+            sound = all(1 <= a <= b <= n for a, b in ranges) and sum(b - a + 1 for a, b in ranges) == len({p for a, b in ranges for p in range(a, b + 1)})
+            mine = {p for a, b in ranges for p in range(a, b + 1)} if sound else set()
+            if mine & seen:
+                out[file_id] = (doc_no, sorted(mine & seen))
+                break
+            seen |= mine
+    return out
+
+
+@pytest.mark.parametrize("rows_per_task", [None, "6"])
+def test_overlaps_against_sets_of_pages(spark, rows_per_task):
+    rng = random.Random(11)
+    documents = []
+    for file_id in range(60):
+        count = 120 if file_id == 0 else rng.randrange(1, 12)
+        free = 0
+        for doc_no in range(count):
+            ranges = []
+            for _ in range(rng.randrange(0, 4)):
+                a = free + 1 if rng.random() < 0.9 else rng.randrange(0, 40)
+                b = a + rng.randrange(-1 if rng.random() < 0.05 else 0, 6)
+                ranges.append([a, b])
+                free = max(free, b)
+            documents.append((file_id, doc_no + file_id % 2, 400, ranges))
+    want = claims(documents)
+    assert 10 < len(want) < 60
+    frame = spark.createDataFrame(documents, "file_id long, doc_no int, n_pages int, page_ranges array<array<int>>")
+    if rows_per_task:
+        spark.conf.set("tallymark.rowsPerTask", rows_per_task)
+    try:
+        got = {r.file_id: (r.doc_no, r.pages) for r in S.page_overlap(frame).collect()}
+    finally:
+        spark.conf.unset("tallymark.rowsPerTask")
+    assert got == want
+
+
+def test_long_ranges_cost_nothing(spark):
+    """Ranges of two billion pages, and a file of 50,000 documents side by side."""
+    documents = [(1, 0, 2**31 - 1, [[1, 2**31 - 10]]), (1, 1, 2**31 - 1, [[2**31 - 9, 2**31 - 1]]), (2, 0, 2**31 - 1, [[5, 2**31 - 2]]), (2, 3, 10, [[1, 3]]), (2, 4, 10, [[4, 7]])]
+    documents += [(3, i, 200_000, [[2 * i + 1, 2 * i + 1], [2 * i + 2, 2 * i + 2]]) for i in range(50_000)]
+    frame = spark.createDataFrame(documents, "file_id long, doc_no int, n_pages int, page_ranges array<array<int>>")
+    assert [tuple(r) for r in S.page_overlap(frame).collect()] == [(2, 4, [5, 6, 7])]
+    assert S.page_overlap(frame.filter("file_id > 9")).count() == 0
+
+
+def deep_fields(depth):
+    """Rows of a group whose arrays are nested `depth` times, two members at each level."""
+    rows, parent = [], None
+    for level in range(depth):
+        rows.append(("g", parent, 1, f"a{level}", "array", None, f"level {level}", True, True))
+        rows.append(("g", parent, 2, f"s{level}", "string", "S", None, True, True))
+        parent = f"a{level}" if parent is None else f"{parent}[].a{level}"
+    rows.append(("g", parent, 1, "leaf", "number", None, None, False, True))
+    return rows
+
+
+def spoken(depth, level=0):
+    if level == depth:
+        return "- leaf (number)"
+    return f"- a{level} (array of objects: {spoken(depth, level + 1)}) - Hint: level {level}, - s{level} (string) - Hint: S"
+
+
+@pytest.mark.parametrize("depth", [1, 2, 5, 8])
+def test_members_at_any_depth(spark, depth):
+    field = "group_code string, parent string, position int, field_key string, data_type string, field_name string, description string, nullable boolean, required boolean"
+    orphans = [("g", "nowhere", 1, "x", "string", None, None, True, True), ("g", "s0", 1, "y", "string", None, None, True, True)]
+    fields = spark.createDataFrame(deep_fields(depth) + orphans, field)
+    lines = {r.position: r.line for r in G.field_lines(fields).collect()}
+    whole = spoken(depth)
+    assert ", ".join(lines[k] for k in sorted(lines)) == whole
+    paths = {r.path: r.json_type for r in G.schema_paths(fields).collect()}
+    inner = "[].".join(f"a{i}" for i in range(depth)) + "[].leaf"
+    assert paths[inner] == "number"
+    groups = spark.createDataFrame([("g", "Group")], "group_code string, group_name string")
+    described = G.group_descriptions(groups, fields).first().schema_description
+    assert described == "\n".join(lines[k] for k in sorted(lines))
+
+
+def test_extraction_at_depth_five(spark):
+    def spec(level):
+        if level == 5:
+            return [{"field_key": "leaf", "data_type": "number", "nullable": False}]
+        return [{"field_key": f"a{level}", "data_type": "array", "child_schema": spec(level + 1)}]
+
+    def nested(level, leaf):
+        return {"leaf": leaf} if level == 5 else {f"a{level}": [nested(level + 1, leaf)]}
+
+    texts = [(1, "g", json.dumps(nested(0, 7))), (2, "g", json.dumps(nested(0, "x"))), (3, "g", json.dumps(nested(0, None)))]
+    frame = spark.createDataFrame(texts, "id int, document_code string, payload_text string")
+    got = {r.id: (r.extraction_error, r.extracted_data) for r in E.normalize_extracted(frame, {"g": spec(0)}).collect()}
+    assert got[1] == (None, json.dumps(nested(0, 7), separators=(",", ":")))
+    assert got[2][0] == "leaf must be a number" and got[3][0] == "leaf must not be null"
+
+
+def test_a_long_list_of_groups_is_an_error(spark, monkeypatch):
+    blocks = spark.createDataFrame([("b", "two"), ("a", "one")], "group_code string, block string")
+    files = spark.createDataFrame([(1, 3)], "file_id long, n_pages int")
+    assert "one\ntwo" in G.classify_prompts(files, G.group_list(blocks)).first().prompt
+    monkeypatch.setattr(G, "MAX_LIST_CHARS", 5)
+    with pytest.raises(Exception, match="too long"):
+        G.classify_prompts(files, G.group_list(blocks)).collect()
