@@ -280,13 +280,76 @@ def test_base_scores_and_distributions(spark, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def tree_scores(tokens, training, least, depth=2, smoothing=16.0):
+    """Scores of all documents by dictionaries of grams; also the retained contexts."""
+    grams = Counter()
+    for d in training:
+        words = tokens[d]
+        for k in range(1, depth + 2):
+            grams.update(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+    total = sum(n for g, n in grams.items() if len(g) == 1)
+    distinct = sum(len(g) == 1 for g in grams)
+    root = lambda w: math.log10((grams[w,] + 1) / (total + distinct + 1))
+    likely = {g: root(g[0]) for g in grams if len(g) == 1}
+    told, rest = {}, {}
+    for k in range(1, depth + 1):
+        entries = defaultdict(list)
+        for g, n in grams.items():
+            if len(g) == k + 1 and n >= least:
+                entries[g[:-1]].append(g)
+        for context, own in entries.items():
+            below = {g: 10 ** likely[g[1:]] for g in own}
+            share = {g: (grams[g] + smoothing * below[g]) / (grams[context] + smoothing) for g in own}
+            gain = sum(grams[g] * math.log(share[g] / below[g]) for g in own)
+            kept = gain > len(own) * 0.5 * math.log(max(total, 2))
+            for g in own:
+                likely[g] = math.log10(share[g]) if kept else likely[g[1:]]
+            if kept:
+                told |= {g: math.log10(share[g]) for g in own}
+                rest[context] = math.log10(max(1 - sum(share.values()), 1e-12) / max(1 - sum(below.values()), 1e-12))
+    scores = {}
+    for d, words in tokens.items():
+        score = 0.0
+        for i, w in enumerate(words):
+            value = root(w)
+            for k in range(1, min(depth, i) + 1):
+                context = tuple(words[i - k : i])
+                if context in rest:
+                    value = told.get((*context, w), rest[context] + value)
+            score += value
+        scores[d] = score
+    return scores, rest
+
+
+def test_scores_against_a_tree_of_dictionaries(spark, texts):
+    got = {r.doc_id: r.score for r in queries.QUERIES["op9_lm_scores"](spark, FOLDER).collect()}
+    tokens = {d: [*WORDS.findall(lower(t)), None] for d, t in texts.items()}
+    want, contexts = tree_scores(tokens, [d for d in tokens if crc(d, 7) != 2], suffixtree.MIN_COUNT)
+    assert len(contexts) > 100 and {len(c) for c in contexts} == {1, 2}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_the_tree_grows_with_the_corpus(spark):
+    """What a context needs rises more slowly than the corpus; the first pass never loses one."""
+    sizes = []
+    for folder in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        docs = table(spark, folder, "documents").selectExpr("doc_id", "text", "false AS held_out")
+        blocks = suffixtree.written(suffixtree.blocks(docs, "doc_id", "text", 1 << 20), "blocks")
+        tree, _ = suffixtree.learn(blocks, suffixtree.block_words(blocks), 2, 16.0)
+        sizes.append(sum(int(order.kept.sum()) for order in tree.orders))
+    assert sizes[1] > 1.4 * sizes[0]
+    # Bounds on entries: total / least = root * sqrt(total).
+    for n in (10**5, 10**9, 10**13):
+        assert suffixtree.slots_for(n, max(2, n**0.5 / suffixtree.ROOT)) <= suffixtree.MOST_SLOTS
+
+
 def test_probabilities_of_a_context_sum_to_one(spark):
     """P(end | x) and P(w | x) of all words, from scores of texts that differ in one token."""
     rng = random.Random(4)
     train = [" ".join(rng.choice(["a b c", "a b d", "e b a", "b"]) for _ in range(50)) for _ in range(40)]
     frame = spark.createDataFrame([(i, t, False) for i, t in enumerate(train)], "doc_id long, text string, held_out boolean")
     blocks = suffixtree.written(suffixtree.blocks(frame, "doc_id", "text", 1 << 20), "blocks")
-    tree, _ = suffixtree.learn(blocks, suffixtree.block_words(blocks), 2, 0.002, 16.0)
+    tree, _ = suffixtree.learn(blocks, suffixtree.block_words(blocks), 2, 16.0, min_count=8)
     assert tree.orders[0].kept.any()
     root = 10.0 ** tree.root(tree.orders[0].n)
     for k, order in enumerate(tree.orders[:-1]):
