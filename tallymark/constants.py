@@ -174,6 +174,15 @@ RESERVED_IPV4 = (
 )
 # Addresses inside the ranges above that are globally reachable after all.
 REACHABLE_IPV4 = ("192.0.0.9/32", "192.0.0.10/32")
+#: Special-purpose blocks of IPv6 that are not globally reachable, and the
+#: parts of them that are.
+RESERVED_IPV6 = (
+    "::/128", "::1/128", "::ffff:0:0/96", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16",
+    "fc00::/7", "fe80::/10",
+)
+REACHABLE_IPV6 = (
+    "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28",
+)
 
 # --- artifact catalog ---
 FORMAT_TARGETS = {

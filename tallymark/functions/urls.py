@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import ipaddress
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallymark import constants as K
-from tallymark.functions import once_per_row, ship_by_value
+from tallymark.functions import ship_by_value
 from tallymark.functions.text import strip
 
 ship_by_value(__name__)
@@ -108,27 +106,69 @@ def _octets(address: Column) -> Column:
     return F.when(plain.rlike(rf"^{octet}(\.{octet}){{3}}$"), number)
 
 
-def ipv4_is_global(address: Column) -> Column:
-    """Whether an IPv4 address is globally reachable: integer ranges in one predicate."""
-    number = _octets(address)
+_MAPPED = "0" * 20 + "ffff"
 
-    def inside(blocks: tuple[str, ...]) -> Column:
-        hit = F.lit(False)
-        for block in blocks:
-            network = ipaddress.ip_network(block)
-            hit = hit | number.between(int(network.network_address), int(network.broadcast_address))
-        return hit
-
-    return F.coalesce(~inside(K.RESERVED_IPV4) | inside(K.REACHABLE_IPV4), F.lit(False))
-
-
-def _ipv6_is_global(text: str | None) -> bool:
-    try:
-        return text is not None and ipaddress.ip_address(text.split("%", 1)[0]).is_global
-    except ValueError:
-        return False
 
+def address_key(address: Column) -> Column:
+    """An address as 32 hexadecimal digits, which sort as the addresses do; IPv4 ones as
+    mapped into IPv6. NULL for anything else. A zone after % is left out."""
+    plain = F.lower(F.split_part(address, F.lit("%"), F.lit(1)))
+    v4 = F.concat(F.lit(_MAPPED), F.lpad(F.lower(F.hex(_octets(plain))), 8, "0"))
+    # A dotted end becomes two groups.
+    tail = F.regexp_extract(plain, r"^(?:.*:)([0-9.]*\.[0-9.]*)$", 1)
+    last = F.lpad(F.lower(F.hex(_octets(tail))), 8, "0")
+    grouped = F.when(tail == "", plain).otherwise(
+        F.concat(F.left(plain, F.length(plain) - F.length(tail)), F.left(last, F.lit(4)), F.lit(":"), F.right(last, F.lit(4)))
+    )
+    sides = F.split(grouped, "::")
+
+    def groups(side: Column) -> Column:
+        return F.when(F.coalesce(side, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(side, ":"))
+
+    left, right = groups(F.get(sides, F.lit(0))), groups(F.get(sides, F.lit(1)))
+    given = F.size(left) + F.size(right)
+    fits = F.when(F.size(sides) == 1, given == 8).otherwise((F.size(sides) == 2) & (given <= 7))
+    good = F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+
+    def spelled(side: Column) -> Column:
+        return F.array_join(F.transform(side, lambda g: F.lpad(g, 4, "0")), "")
+
+    v6 = F.concat(spelled(left), F.repeat(F.lit("0000"), 8 - given), spelled(right))
+    return F.when(plain.contains(":"), F.when(fits & good, v6)).otherwise(v4)
+
+
+def _address_steps() -> tuple[list[str], list[bool]]:
+    """The address space as stretches: the key each begins at, in order, and whether its
+    addresses are globally reachable."""
+
+    def blocks(v4: tuple[str, ...], v6: tuple[str, ...]) -> list[tuple[int, int]]:
+        found = []
+        for text in (*v4, *v6):
+            network = ipaddress.ip_network(text)
+            base = int(_MAPPED, 16) << 32 if network.version == 4 else 0
+            found.append((base + int(network.network_address), base + int(network.broadcast_address)))
+        return found
+
+    mapped = ipaddress.ip_network("::ffff:0:0/96")
+    reserved = blocks(K.RESERVED_IPV4, tuple(text for text in K.RESERVED_IPV6 if ipaddress.ip_network(text) != mapped))
+    reachable = blocks(K.REACHABLE_IPV4, K.REACHABLE_IPV6)
+    edges = {0} | {edge for low, high in (*reserved, *reachable) for edge in (low, high + 1) if edge < 1 << 128}
+    inside = lambda point, ranges: any(low <= point <= high for low, high in ranges)
+    ordered = sorted(edges)
+    return [f"{edge:032x}" for edge in ordered], [not inside(e, reserved) or inside(e, reachable) for e in ordered]
+
+
+def is_global(address: Column) -> Column:
+    """Whether an address is globally reachable; false for what is none. The key is looked
+    up among the starts of the stretches by halving, so no row meets all of them."""
+    starts, verdicts = _address_steps()
+    strides = [1 << k for k in range(len(starts).bit_length() - 1, -1, -1)]
+    key = address_key(address)
+
+    def place(key: Column) -> Column:
+        return F.aggregate(
+            F.lit(strides), F.lit(0), lambda at, far: F.when(F.get(F.lit(starts), at + far) <= key, at + far).otherwise(at)
+        )
 
-@once_per_row(T.BooleanType())
-def ipv6_is_global(values: pa.Array) -> pa.Array:
-    return pa.array([_ipv6_is_global(text) for text in values.to_pylist()], pa.bool_())
+    found = F.get(F.transform(F.array(key), lambda k: F.when(k.isNotNull(), F.get(F.lit(verdicts), place(k)))), F.lit(0))
+    return F.coalesce(found, F.lit(False))

@@ -16,10 +16,8 @@ def screen_urls(fetches: DataFrame, url: str = "url") -> DataFrame:
 def public_addresses(resolutions: DataFrame, key: str) -> DataFrame:
     """Verdict per key over its resolved addresses: no address or any that is not
     globally reachable refuses it. resolutions: key, address (NULL = none found)."""
-    colon = F.coalesce(F.col("address").contains(":"), F.lit(False))
-    v4 = resolutions.filter(~colon).withColumn("_global", U.ipv4_is_global(F.col("address")))
-    v6 = resolutions.filter(colon).withColumn("_global", U.ipv6_is_global(F.col("address")))
-    checked = v4.unionByName(v6).groupBy(key).agg(
+    judged = resolutions.withColumn("_global", U.is_global(F.col("address")))
+    checked = judged.groupBy(key).agg(
         F.count("address").alias("addresses"), F.bool_and("_global").alias("_all_global")
     )
     return checked.select(

@@ -74,7 +74,8 @@ def ambiguous_keys(inventory: DataFrame) -> DataFrame:
 def resolve_names(rows: DataFrame, inventory: DataFrame, row_id: str = "csv_row") -> DataFrame:
     """Adds path_name and resolution to rows that carry image_name.
 
-    Names are resolved once each: exact match first, then the normalised key. Both
+    Names are resolved once each: exact match first, then the normalised key. A key that
+    several files share names none of them: such rows are rejected as ambiguous. Both
     joins are equi-joins of unique names; the rows meet the result in one join that
     splits names used by very many rows.
     """
@@ -83,7 +84,9 @@ def resolve_names(rows: DataFrame, inventory: DataFrame, row_id: str = "csv_row"
         F.count(F.lit(1)).alias("_rows")
     )
     by_key = (
-        files.withColumn("_key", fold_key("name")).groupBy("_key").agg(F.max("name").alias("_folded_name"))
+        files.withColumn("_key", fold_key("name"))
+        .groupBy("_key")
+        .agg(F.max("name").alias("_folded_name"), (F.count(F.lit(1)) > 1).alias("_ambiguous"))
     )
     hot = hot_from_counts(used, ["image_name"])
     exact = used.join(files.select(F.col("name").alias("_exact_name")), F.col("image_name") == F.col("_exact_name"), "left")
@@ -92,8 +95,9 @@ def resolve_names(rows: DataFrame, inventory: DataFrame, row_id: str = "csv_row"
         .join(by_key, "_key", "left")
         .select(
             "image_name",
-            F.coalesce("_exact_name", "_folded_name").alias("path_name"),
+            F.coalesce("_exact_name", F.when(~F.col("_ambiguous"), F.col("_folded_name"))).alias("path_name"),
             F.when(F.col("_exact_name").isNotNull(), F.lit("exact_match"))
+            .when(F.col("_ambiguous"), F.lit("ambiguous_name"))
             .when(F.col("_folded_name").isNotNull(), F.lit("normalized_match"))
             .otherwise(F.lit("missing_file"))
             .alias("resolution"),

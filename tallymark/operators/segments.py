@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.operators.skew import hot_from_counts, lookup_join
+from tallymark.session import write_once
 
 # documents: file_id, doc_no, n_pages, document_code, document_name,
 #            page_ranges ARRAY<ARRAY<INT>>, page_order ARRAY<INT>,
@@ -137,16 +138,19 @@ def first_overlap(documents: DataFrame) -> DataFrame:
     runs over the blocks: left ranges enter at their starts, right ranges look back from
     their ends, and overlap if the furthest left end seen so far reaches their start. So
     every pair meets in one sweep, no page is expanded and no pair is listed."""
-    levels = F.expr("sequence(0, cast(greatest(ceil(log2(_docs + 1)), 1) as int) - 1)")
-    size = documents.groupBy("file_id").agg(F.max("doc_no").cast("bigint").alias("_docs"), F.count(F.lit(1)).alias("_rows"))
-    several = size.filter("_rows > 1").select("file_id", "_docs")
-    ranged = lookup_join(
-        documents.select("file_id", F.col("doc_no").cast("bigint").alias("doc_no"), F.inline(F.transform("page_ranges", lambda r: F.struct(r[0].cast("bigint").alias("start"), r[1].cast("bigint").alias("end"))))),
-        several,
-        ["file_id"],
-        ["doc_no", "start"],
-        "inner",
+    size = documents.groupBy("file_id").agg(
+        F.max("doc_no").cast("bigint").alias("_docs"), F.sum(F.size("page_ranges")).alias("_rows")
     )
+    pair = F.transform("page_ranges", lambda r: F.struct(r[0].cast("bigint").alias("start"), r[1].cast("bigint").alias("end")))
+    ranged = documents.select("file_id", F.col("doc_no").cast("bigint").alias("doc_no"), F.inline(pair))
+    hot = hot_from_counts(size, ["file_id"])
+    crowded = not hot.isEmpty()
+    if crowded:
+        ranged = lookup_join(ranged, size.select("file_id", "_docs"), ["file_id"], ["doc_no", "start"], "inner", hot)
+    else:
+        # Every file fits a task: one shuffle by file serves all that follows.
+        ranged = ranged.withColumn("_docs", F.max("doc_no").over(Window.partitionBy("file_id")))
+    levels = F.expr("sequence(0, cast(greatest(ceil(log2(_docs + 1)), 1) as int) - 1)")
     marked = ranged.select("file_id", "doc_no", "start", "end", F.explode(levels).alias("level")).select(
         "file_id",
         "level",
@@ -159,7 +163,12 @@ def first_overlap(documents: DataFrame) -> DataFrame:
     events = marked.withColumn("at", F.when(F.col("right") == 0, F.col("start")).otherwise(F.col("end"))).withColumn(
         "reach", F.when(F.col("right") == 0, F.col("end"))
     )
-    swept = _running_max(events, ["file_id", "level", "block"], ["at", "right"], "reach", "furthest")
+    keys, order = ["file_id", "level", "block"], ["at", "right"]
+    if crowded:
+        swept = _running_max(events, keys, order, "reach", "furthest")
+    else:
+        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        swept = events.withColumn("furthest", F.max("reach").over(before))
     hit = swept.filter((F.col("right") == 1) & (F.col("furthest") >= F.col("start")))
     return hit.groupBy("file_id").agg(F.min("doc_no").alias("doc_no"))
 
@@ -170,13 +179,19 @@ def page_overlap(documents: DataFrame) -> DataFrame:
     Documents with unsound ranges, or with some beyond their file, claim nothing. Only the
     pages that are shared are listed; ranges of any length cost as much as short ones.
     doc_no is unique within a file and not negative."""
-    sound = documents.filter(_range_problem().isNull()).select("file_id", "doc_no", "page_ranges")
-    first = first_overlap(sound)
+    # Judged once; the sweep and the listing read it again.
+    judged = documents.filter(_range_problem().isNull()).select("file_id", "doc_no", "page_ranges")
+    sound = write_once(judged.filter(F.size("page_ranges") > 0), "ranges")
+    first = write_once(first_overlap(sound), "overlaps")
+    if first.isEmpty():
+        return first.withColumn("pages", F.array().cast("array<int>"))
     mine = sound.join(first, ["file_id", "doc_no"], "left_semi").select(
         "file_id", F.col("doc_no").alias("_first"), F.col("page_ranges").alias("_mine")
     )
-    # Documents before the first overlap share no page among themselves.
-    earlier = lookup_join(sound, mine, ["file_id"], ["doc_no"], "inner").filter(F.col("doc_no") < F.col("_first"))
+    # Documents before the first overlap share no page among themselves. Files without an
+    # overlap leave before anything is spread.
+    open_files = sound.join(first.select("file_id"), "file_id", "left_semi")
+    earlier = lookup_join(open_files, mine, ["file_id"], ["doc_no"], "inner").filter(F.col("doc_no") < F.col("_first"))
 
     def common(a: Column) -> Column:
         return F.filter(

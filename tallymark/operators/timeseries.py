@@ -38,22 +38,23 @@ def _steps(last_offset: Column, step: int, micros: Column) -> Column:
     return F.when(last >= first, F.sequence(first, last, F.lit(step).cast("bigint")))
 
 
-def on_grid(samples: DataFrame, step: int, reach: int) -> DataFrame:
-    """Each sample at every grid point whose window (t - reach, t] holds it."""
-    micros = _micros()
-    grid = _steps(F.lit(reach * _MICRO).cast("bigint"), step, micros)
-    return samples.withColumn("_us", micros).withColumn("step_s", F.explode(grid))
-
-
 def instant_values(
     samples: DataFrame, series: list[str], step: int, lookback: int = K.LOOKBACK_SECONDS
 ) -> DataFrame:
-    """Last value per series and grid point within the look-back."""
-    return (
-        on_grid(samples, step, lookback)
-        .groupBy(*series, "step_s")
-        .agg(F.max_by("value", "_us").alias("value"))
+    """Last value per series and grid point within the look-back.
+
+    Of the samples between two grid points only the last can be seen from any of them, so
+    tasks reduce them to one row before they send; that row, not each sample, is copied to
+    the grid points that still see it."""
+    last = (
+        samples.withColumn("_us", _micros())
+        .withColumn("_end", (F.ceil(F.col("_us") / (step * _MICRO)) * step).cast("bigint"))
+        .groupBy(*series, "_end")
+        .agg(F.max_by("value", "_us").alias("value"), F.max("_us").alias("_us"))
     )
+    grid = _steps(F.lit(lookback * _MICRO).cast("bigint"), step, F.col("_us"))
+    seen = last.drop("_end").withColumn("step_s", F.explode(grid))
+    return seen.groupBy(*series, "step_s").agg(F.max_by("value", "_us").alias("value"))
 
 
 def latest_values(
@@ -274,8 +275,12 @@ def _judged_lines(lines: DataFrame, text: str) -> DataFrame:
     parts = F.col("_parts")
     # Comments go before anything is matched.
     candidates = lines.filter(~F.col(text).startswith("#") & (F.trim(text) != ""))
-    split = candidates.withColumn("_parts", line_parts(F.col(text))).withColumn(
-        "_labels", F.when(is_sample(parts), label_map(parts))
+    # An exploded array of one: what stands in it is computed once per line, and not
+    # copied into every later use and into pushed-down filters.
+    once = candidates.select("*", F.explode(F.array(line_parts(F.col(text)))).alias("_parts"))
+    labels = F.when(is_sample(parts), label_map(parts))
+    split = once.select("*", F.explode(F.array(F.struct(labels.alias("map")))).alias("_held")).withColumn(
+        "_labels", F.col("_held.map")
     )
     return split.select(
         *lines.columns,

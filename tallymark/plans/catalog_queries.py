@@ -47,7 +47,7 @@ def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
     """Files written per language, listed again without their contents."""
     out = new_shared_path(spark, "files")
     table(spark, folder, "documents").select("lang", F.col("text").alias("value")).write.partitionBy("lang").text(out)
-    files = R.read_inventory(spark, out)
+    files = R.read_inventory(spark, out).filter(F.col("length") > 0)
     lang = F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang")
     return files.groupBy(lang).agg(F.sum("length").alias("bytes"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallymark.operators.labels import LABEL_COLUMNS
 from tallymark.operators.skew import lookup_join
 from tallymark.session import write_once
+from tallymark.sources.listing import FolderListing
 from tallymark.sources.split_csv import read_split_csv
 
 TABLE_SCHEMAS = {
@@ -89,12 +90,10 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder: path, name, length. The content column is never read. Files
-    without a byte are not listed by this source."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.substring_index("path", "/", -1).alias("name"), "length").filter(
-        ~F.col("name").startswith(".")
-    )
+    """Files below a folder, at any depth: path, name, length. No file is opened; files
+    without a byte are there, those whose names begin with a dot are not."""
+    spark.dataSource.register(FolderListing)
+    return spark.read.format(FolderListing.name()).option("path", path).load().select("path", "name", "length")
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -1,9 +1,11 @@
+import ipaddress
 import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallymark import constants as K
 from tallymark.functions import urls as U
 from tallymark.operators import extraction as E
 from tallymark.operators import fetchlog as L
@@ -373,3 +375,37 @@ def test_a_long_list_of_groups_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(G, "MAX_LIST_CHARS", 5)
     with pytest.raises(Exception, match="too long"):
         G.classify_prompts(files, G.group_list(blocks)).collect()
+
+
+def test_addresses_against_the_standard_library(spark):
+    rng = random.Random(3)
+    blocks = [ipaddress.ip_network(b) for b in (*K.RESERVED_IPV4, *K.REACHABLE_IPV4, *K.RESERVED_IPV6, *K.REACHABLE_IPV6)]
+    texts = ["", "::", "::1", "1::", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7:8:9", ":1::", "1:::2", "1::2::3", "g::", "12345::", "::ffff:8.8.8.8",
+             "::ffff:10.0.0.1", "64:ff9b::8.8.8.8", "::1.2.3", "::01.2.3.4", "fe80::1%eth0", "8.8.8.8%x", "1.2.3", "1.2.3.256", "2001:DB8::1", "1:2:3:4:5:6:1.2.3.4", " 8.8.8.8"]
+    for block in blocks:
+        for at in (int(block.network_address) - 1, int(block.network_address), int(block.broadcast_address), int(block.broadcast_address) + 1):
+            kind = ipaddress.IPv4Address if block.version == 4 else ipaddress.IPv6Address
+            if 0 <= at < 2 ** kind(0).max_prefixlen:
+                address = kind(at)
+                texts += [str(address), address.exploded] + ([f"::ffff:{address}"] if block.version == 4 else [])
+    for _ in range(500):
+        texts.append(str(ipaddress.IPv6Address(rng.getrandbits(128))))
+        texts.append(str(ipaddress.IPv4Address(rng.getrandbits(32))))
+        texts.append("".join(rng.choices(["1", "ab", ":", "::", ".", "0", "ffff"], k=rng.randint(1, 12))))
+
+    def known(text):
+        try:
+            address = ipaddress.ip_address(text.split("%", 1)[0])
+        except ValueError:
+            return False
+        # As documented: a mapped address is what the IPv4 address is (the library's own
+        # answer differs for the shared space 100.64.0.0/10).
+        return (getattr(address, "ipv4_mapped", None) or address).is_global
+
+    frame = spark.createDataFrame([(t,) for t in texts] + [(None,)], "address string")
+    got = {r.address: r.ok for r in frame.select("address", U.is_global(F.col("address")).alias("ok")).collect()}
+    assert got.pop(None) is False
+    assert {t: ok for t, ok in got.items() if ok != known(t)} == {}
+    verdicts = L.public_addresses(frame.withColumn("k", F.lit(1)), "k")
+    plan = verdicts._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("Scan") == 1

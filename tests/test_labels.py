@@ -82,3 +82,13 @@ def test_whole_build(spark, tmp_path):
     assert records.count() == 3 and records.filter(F.size("messages") == 3).count() == 3
     assert spark.read.json(parts["rejected"]).count() == 6
     assert json.loads("\n".join(r.value for r in spark.read.text(parts["report"]).collect()))["counts"]["csv_data_rows"] == 9
+
+
+def test_ambiguous_names_name_no_file(spark):
+    """Two files share a normalised key: only exact names are resolved."""
+    files = inventory(spark, ["A.jpg", "a.JPG", "b.jpg"])
+    cases = [{0: "A.jpg", 1: "x"}, {0: "a.jpg", 1: "x"}, {0: "B.jpg", 1: "x"}]
+    got = {r.csv_row - 2: (r.path_name, r.resolution, r.reason) for r in L.tagged_labels(rows(spark, cases), files).collect()}
+    assert got == {
+        0: ("A.jpg", "exact_match", None), 1: (None, "ambiguous_name", "ambiguous_name"), 2: ("b.jpg", "normalized_match", None),
+    }

@@ -104,13 +104,22 @@ def test_ordinals_over_many_blocks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
-def test_inventory_never_reads_content(spark, tmp_path):
-    (tmp_path / "a.jpg").write_bytes(b"123")
-    (tmp_path / "B b.png").write_bytes(b"4")
-    files = R.read_inventory(spark, str(tmp_path))
-    assert sorted((r.name, r.length) for r in files.collect()) == [("B b.png", 1), ("a.jpg", 3)]
-    scan = files._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[-1]
-    assert "content" not in scan
+def test_inventory_lists_every_file(spark, tmp_path):
+    """Empty files, nested folders, odd names; nothing is opened, unreadable files too."""
+    want = {}
+    for i, folder in enumerate(["", "a", "a/b", "a/b/c", "a/b/c/d", "x=1", "e e"]):
+        (tmp_path / folder).mkdir(exist_ok=True, parents=True)
+        for name, size in ((f"f{i}.jpg", i), ("empty", 0), ("B b.png", 4), ("_under", 1)):
+            (tmp_path / folder / name).write_bytes(b"1" * size)
+            want[str(tmp_path / folder / name)] = size
+        (tmp_path / folder / ".hidden").write_bytes(b"1")
+    for path in (str(tmp_path), f"file://{tmp_path}"):
+        files = R.read_inventory(spark, path)
+        assert {r.path.removeprefix("file:"): r.length for r in files.collect()} == want
+        # A partition for each folder of the upper levels.
+        assert files.rdd.getNumPartitions() >= 4
+    (tmp_path / "none").mkdir()
+    assert R.read_inventory(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_run_reports(spark, tmp_path):
