@@ -14,6 +14,7 @@ from tallymark.sources import readers as R
 from tallymark.sources import writers as W
 from tallymark.streaming import counters as S
 from tallymark.streaming import jobs as J
+from tallymark.streaming import scrapes as P
 
 HOUR, REACH = 3600, 6 * 3600
 SERIES = ["metric", "instance"]
@@ -172,6 +173,30 @@ def stream_scrape(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(J.run_append(parsed, "samples"))
 
 
+DUE = 6 * 3600
+
+
+def stream_due(spark: SparkSession, folder: str) -> DataFrame:
+    """Samples landed per target and due time, read as a stream that has a row for every
+    due time, and the number of samples that each scrape brought."""
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    lines = load(spark, folder, "f_lines").select("event_id", "line")
+    events = R.table(spark, folder, "events").select(
+        "event_id", (F.col("user_id") % 7).alias("k"), (F.floor(seconds / DUE) * DUE).alias("due")
+    )
+    # One scrape in five is missing.
+    there = lines.join(events, "event_id").filter((F.col("due") / DUE + F.col("k")).cast("long") % 5 != 0)
+    landed = there.withColumn("target", F.concat(F.lit("i"), F.col("k").cast("string"))).select("target", "due", "line")
+    start, named = landed.agg(F.min("due"), F.array_sort(F.collect_set("target"))).first()
+    if start is None:
+        return spark.createDataFrame([], "target string, due_s bigint, up int, samples bigint")
+    path = new_shared_path(spark, "landed")
+    W.write_lines(landed.withColumn("due", F.concat(F.col("due").cast("string"), F.lit("-0.25"))).repartition("target", "due"), path, by=["target", "due"])
+    scrapes = P.due_scrapes(spark, path, [*named, "silent"], DUE, start)
+    kept = scrapes.select("target", "due_s", "up", F.size(F.filter("lines", lambda x: ~x.startswith("#"))).cast("long").alias("samples"))
+    return spark.read.schema(kept.schema).parquet(J.run_append(kept, "scrapes"))
+
+
 QUERIES = {
     "bench_summary": bench_summary,
     "request_sequence": request_sequence,
@@ -191,6 +216,7 @@ QUERIES = {
     "stream_summary": stream_summary,
     "stream_rate": stream_rate,
     "stream_scrape": stream_scrape,
+    "stream_due": stream_due,
 }
 
 # --- checks ---------------------------------------------------------------------------
@@ -274,6 +300,12 @@ UNION ALL SELECT source, 'ollama_loaded_model_size_vram_bytes' || labels || ' 7.
     "stream_scrape": """SELECT event_type AS metric, CASE WHEN event_id % 10 = 1 THEN '' ELSE '{instance="i' || cast(user_id % 3 AS varchar) || '",user="' || CASE WHEN event_id % 10 = 2 THEN 'a' || chr(92) || '"b' ELSE cast(user_id AS varchar) END || '"}' END AS series,
  cast(cast(round(value * 100) AS bigint) AS double) AS value FROM events WHERE event_id % 10 <> 0""",
 }
+CHECKS["stream_due"] = f"""WITH e AS (SELECT event_id, user_id % 7 AS k, epoch_us(ts) // {DUE}000000 * {DUE} AS due FROM events),
+l AS (SELECT 'i' || cast(k AS varchar) AS target, due, count(*) FILTER (WHERE event_id % 10 <> 0) AS n FROM e WHERE (due // {DUE} + k) % 5 <> 0 GROUP BY 1, 2),
+g AS (SELECT target, unnest(generate_series((SELECT min(due) FROM l), (SELECT max(due) FROM l), {DUE})) AS due_s
+  FROM (SELECT DISTINCT target FROM l UNION ALL SELECT 'silent'))
+SELECT g.target, g.due_s, cast(CASE WHEN l.due IS NULL THEN 0 ELSE 1 END AS int) AS up, coalesce(l.n, 0) AS samples
+FROM g LEFT JOIN l ON g.target = l.target AND g.due_s = l.due"""
 CHECKS["expose_text"] = f"""WITH rendered AS ({CHECKS["expose_render"]}),
 fam AS (SELECT * FROM (VALUES {_GAUGE_ROWS}) v(i, name, help)),
 src AS (SELECT DISTINCT source FROM rendered),

@@ -29,7 +29,7 @@ class Folder(InputPartition):
         self.path, self.whole = path, whole
 
 
-def _opened(uri: str) -> tuple[fs.FileSystem, str, str]:
+def opened(uri: str) -> tuple[fs.FileSystem, str, str]:
     """File system, path in it, and what stands before that path in a full name."""
     if "://" not in uri and not uri.startswith("file:"):
         return fs.LocalFileSystem(), uri, ""
@@ -48,7 +48,7 @@ class FolderReader(DataSourceReader):
         self.path, self.depth = path, depth
 
     def partitions(self) -> list[Folder]:
-        system, top, _ = _opened(self.path)
+        system, top, _ = opened(self.path)
         parts, level = [], [top]
         for step in range(self.depth + 1):
             parts += [Folder(path, step == self.depth) for path in level]
@@ -59,7 +59,7 @@ class FolderReader(DataSourceReader):
         return parts
 
     def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
-        system, _, lead = _opened(self.path)
+        system, _, lead = opened(self.path)
         files = [
             info for info in _below(system, partition.path, partition.whole)
             if info.type == fs.FileType.File and not info.base_name.startswith(".")

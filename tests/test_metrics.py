@@ -11,6 +11,7 @@ from tallymark.operators import timeseries as T
 from tallymark.sources import readers as R
 from tallymark.streaming import counters as S
 from tallymark.streaming import jobs as J
+from tallymark.streaming import scrapes as P
 
 BASE = 1_700_000_040  # a multiple of 60
 
@@ -257,3 +258,36 @@ def test_streams_resume_over_a_folder_table(spark, tmp_path):
     assert run() == ({(1, "a"): 2, (1, "b"): 1, (9, "a"): 1}, 0)
     add([(5, 9, "a", 3.0), (6, 2, "a", 1.0)])
     assert run() == ({(1, "a"): 2, (1, "b"): 1, (9, "a"): 2}, 1)
+
+
+def test_due_scrapes_resume_and_tell_what_is_missing(spark, tmp_path):
+    """Offsets are due times: a target that landed nothing is a row, a resumed run goes on."""
+    root = tmp_path / "landed"
+
+    def land(target, due, lines, took=None):
+        folder = root / f"target={target}" / (f"due={due}" + (f"-{took}" if took else ""))
+        folder.mkdir(parents=True)
+        (folder / "part-0.txt").write_text("".join(line + "\n" for line in lines))
+        (folder / "_SUCCESS").write_text("")
+
+    def run():
+        stream = P.due_scrapes(spark, str(root), ["a", "b"], 15, 1000)
+        out = J.run_append(stream, "due", str(tmp_path / "out"), str(tmp_path / "state"))
+        return sorted((r.due_s, r.target, r.up, r.took_s, r.lines) for r in spark.read.schema(stream.schema).parquet(out).collect())
+
+    land("a", 1000, ["x 1", "é 2"], 0.5)
+    land("b", 1015, [])
+    first = run()
+    assert first == [(1000, "a", 1, 0.5, ["x 1", "é 2"]), (1000, "b", 0, None, []), (1015, "a", 0, None, []), (1015, "b", 1, None, [])]
+    assert run() == first
+    land("a", 1060, ["y 3"])
+    assert run()[4:] == [(t, n, int((t, n) == (1060, "a")), None, ["y 3"] if (t, n) == (1060, "a") else []) for t in (1030, 1045, 1060) for n in "ab"]
+
+
+def test_instant_values_of_a_crowded_series(spark):
+    rng = random.Random(6)
+    points = sorted((rng.random() * 900, float(i)) for i in range(3000))
+    got = {r.step_s - BASE: r.value for r in T.instant_values(frame(spark, points), ["series"], 60, 150).collect()}
+    for end in range(0, 1100, 60):
+        seen = [(round(t, 6), v) for t, v in points if end - 150 < round(t, 6) <= end]
+        assert got.get(end) == (max(seen)[1] if seen else None)
