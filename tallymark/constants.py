@@ -40,7 +40,7 @@ NAME_COLUMNS = (0, 11)
 LABEL_COLUMN_COUNT = 30
 DOCUMENT_TYPE = "cccd"
 SIDES = ("front", "back")
-REASONS = ("blank_name", "missing_file", "mixed_side", "no_side_data")
+REASONS = ("blank_name", "missing_file", "mixed_side", "no_side_data", "ambiguous_name")
 
 # --- prompts ---
 SYSTEM_PROMPT = (

@@ -200,19 +200,34 @@ def unused_items(tagged: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def qc_report(tagged: DataFrame, inventory: DataFrame) -> DataFrame:
-    """One row of counts: label rows and unused names meet in a single aggregate."""
-    marks = tagged.select("reason", "side", F.lit(False).alias("unused")).unionByName(
-        unused_items(tagged, inventory).select(F.lit(True).alias("unused")), allowMissingColumns=True
-    )
-    row = ~F.col("unused")
-    accepted = row & F.col("reason").isNull()
-    return marks.agg(
-        F.count_if(row).alias("csv_data_rows"),
-        *[F.count_if(accepted & (F.col("side") == side)).alias(f"{side}_source_rows") for side in K.SIDES],
-        *[F.count_if(accepted & (F.col("side") == side)).alias(f"{side}_train_records") for side in K.SIDES],
-        F.count_if(row & F.col("reason").isNotNull()).alias("discarded_rows"),
-        F.count_if("unused").alias("unused_images"),
-        *[F.count_if(row & (F.col("reason") == reason)).alias(f"rejected_{reason}") for reason in K.REASONS],
+    """One row of counts. Label rows and listed names meet once, by the name that a row
+    uses: counts add up per name, and a listed name without an accepted row is unused."""
+    accepted = F.col("reason").isNull()
+    rows = tagged.select(F.when(accepted, F.col("path_name")).alias("name"), "reason", "side", F.lit(True).alias("row"))
+    listed = inventory.select("name", F.lit(False).alias("row"))
+    marks = rows.unionByName(listed, allowMissingColumns=True)
+    row = F.col("row")
+    counts = {
+        "csv_data_rows": row,
+        **{f"{side}_source_rows": row & accepted & (F.col("side") == side) for side in K.SIDES},
+        "discarded_rows": row & ~accepted,
+        **{f"rejected_{reason}": row & (F.col("reason") == reason) for reason in K.REASONS},
+    }
+    # Tasks merge the rows of a name, rejected ones under NULL, before they send.
+    names = marks.groupBy("name").agg(
+        *[F.count_if(test).alias(name) for name, test in counts.items()],
+        F.bool_or(~row).alias("_listed"),
+        F.bool_or(row).alias("_used"),
+    )
+    unused = F.count_if(F.col("name").isNotNull() & F.col("_listed") & ~F.col("_used"))
+    total = names.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in counts], unused.alias("unused_images"))
+    return total.select(
+        "csv_data_rows",
+        *[f"{side}_source_rows" for side in K.SIDES],
+        *[F.col(f"{side}_source_rows").alias(f"{side}_train_records") for side in K.SIDES],
+        "discarded_rows",
+        "unused_images",
+        *[f"rejected_{reason}" for reason in K.REASONS],
     )
 
 

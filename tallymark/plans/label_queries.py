@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,12 +77,20 @@ def chat_jsonl(spark: SparkSession, folder: str) -> DataFrame:
     out = new_shared_path(spark, "chat")
     W.write_lines(W.chat_lines(L.chat_records(L.build_payload(_tagged(spark, folder)))), out, by=["side"])
     records = R.read_chat_records(spark, out)
-    return records.select(
+    # Lines of a file are numbered 1 to n: as many numbers as lines, none beyond.
+    per_file = records.groupBy("file_name").agg(
+        (
+            (F.min("line_number") == 1)
+            & (F.max("line_number") == F.count(F.lit(1)))
+            & (F.sum("line_number") * 2 == F.count(F.lit(1)) * (F.count(F.lit(1)) + 1))
+        ).alias("numbered")
+    )
+    return lookup_join(records, per_file, ["file_name"], ["line_number"], "left").select(
         F.get_json_object(F.element_at("messages", 3)["content"], "$.side").alias("side"),
         F.element_at("messages", 3)["content"].alias("assistant_text"),
         F.element_at("images", 1).alias("image"),
         F.size("messages").cast("bigint").alias("turns"),
-        (F.col("line_number") >= 1).alias("numbered"),
+        "numbered",
     )
 
 
@@ -103,6 +112,30 @@ def qc_report(spark: SparkSession, folder: str) -> DataFrame:
     return L.qc_report(_tagged(spark, folder), inventory)
 
 
+def dataset_build(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole build written to a folder and read back: how many records per side, rejected
+    rows per reason and unused names it holds, and the counts of its report."""
+    out = new_shared_path(spark, "build")
+    parts = W.build_dataset(_rows(spark, folder), load(spark, folder, "f_inventory"), out)
+    one = F.count(F.lit(1)).alias("n")
+    records = R.read_chat_records(spark, f"{parts['records']}/side=*").withColumn(
+        "key", F.regexp_extract("file_name", "side=([a-z]+)/", 1)
+    )
+    rejected = spark.read.schema("reason string").json(parts["rejected"])
+    unused = spark.read.schema("name string").json(parts["unused"])
+    counts = "map<string,bigint>"
+    report = spark.read.schema(f"counts {counts}, discarded_reason_counts {counts}").option("multiLine", True).json(parts["report"])
+    pieces = {
+        "records": records.groupBy("key").agg(one),
+        "rejected": rejected.groupBy(F.col("reason").alias("key")).agg(one),
+        "unused": unused.groupBy(F.lit("names").alias("key")).agg(one),
+        "report": report.select(F.explode("counts").alias("key", "n")),
+        "reasons": report.select(F.explode("discarded_reason_counts").alias("key", "n")),
+    }
+    marked = [frame.select(F.lit(part).alias("part"), "key", "n") for part, frame in pieces.items()]
+    return functools.reduce(DataFrame.unionByName, marked)
+
+
 def csv_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Label rows written as CSV, with line breaks and quotes inside cells, and scanned back
     with all their cells. `place` is the record's number, counted on from file to file."""
@@ -150,6 +183,7 @@ def page_data_url(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "csv_scan": csv_scan,
+    "dataset_build": dataset_build,
     "jsonl_scan": jsonl_scan,
     "clean_cells": clean_cells,
     "norm_key": norm_key,
@@ -265,5 +299,13 @@ SELECT count(*) AS csv_data_rows, count(*) FILTER (WHERE reason IS NULL AND side
  count(*) FILTER (WHERE reason IS NULL AND side = 'back') AS back_train_records,
  count(reason) AS discarded_rows, (SELECT n FROM unused) AS unused_images,
  {', '.join(f"count(*) FILTER (WHERE reason = '{r}') AS rejected_{r}" for r in K.REASONS)} FROM reasoned""",
+    "dataset_build": f"""{_LABELS}, unused AS (SELECT count(*) AS n FROM f_inventory WHERE name NOT IN (SELECT path_name FROM reasoned WHERE reason IS NULL)),
+sides AS (SELECT side, count(*) AS n FROM reasoned WHERE reason IS NULL GROUP BY side),
+lost AS (SELECT reason, count(*) AS n FROM reasoned WHERE reason IS NOT NULL GROUP BY reason)
+SELECT 'records' AS part, side AS key, n FROM sides UNION ALL SELECT 'rejected', reason, n FROM lost UNION ALL SELECT 'reasons', reason, n FROM lost
+UNION ALL SELECT 'unused', 'names', n FROM unused WHERE n > 0 UNION ALL SELECT 'report', 'unused_images', n FROM unused
+UNION ALL SELECT 'report', 'csv_data_rows', count(*) FROM reasoned UNION ALL SELECT 'report', 'discarded_rows', count(reason) FROM reasoned
+UNION ALL SELECT 'report', s || '_' || k, count(*) FILTER (WHERE reason IS NULL AND side = s) FROM reasoned,
+  (SELECT * FROM (VALUES ('front'), ('back')) a(s)), (SELECT * FROM (VALUES ('source_rows'), ('train_records')) b(k)) GROUP BY s, k""",
     "data_url": "SELECT page_id, concat('data:', CASE WHEN page_id % 2 = 0 THEN 'text/html' ELSE 'application/octet-stream' END, ';base64,', to_base64(encode(html))) AS data_url FROM pages",
 }
