@@ -7,6 +7,8 @@ arrays of 64-bit hashes. Nothing here depends on how rows fall into batches or t
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -156,6 +158,18 @@ def unpacked_ints(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system. Workers outlive a task, and what an earlier
+    stage has used would count against the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        # Another C library keeps its memory.
+        pass
+
+
 def spans(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `limit` bytes of text, or of one longer text: what a task
     holds as arrays at a time does not grow with the batch."""

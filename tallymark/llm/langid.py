@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions import ship_by_value
-from tallymark.llm.common import fold, mix64, spans, written
+from tallymark.llm.common import fold, give_back, mix64, spans, written
 
 ship_by_value(__name__)
 
@@ -129,6 +129,8 @@ def gram_counts(training: DataFrame, text: str, lang: str) -> DataFrame:
                         held, entries = {}, 0
         held = summed()
         yield from rows()
+        held = {}
+        give_back()
 
     rows = training.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")
@@ -220,6 +222,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             score = np.concatenate([np.zeros(0), *[part for _, part in parts]])
             columns = frame.columns[:-1] + [pa.array(names, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*frame.schema.names[:-1], "lang_pred", "score"])
+        give_back()
 
     schema = T.StructType([*docs.select(*[F.col(f"`{c}`") for c in kept]).schema])
     schema = schema.add("lang_pred", T.StringType(), False).add("score", T.DoubleType(), False)

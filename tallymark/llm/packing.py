@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions import ship_by_value
-from tallymark.llm.common import spans, written
+from tallymark.llm.common import give_back, spans, written
 
 ship_by_value(__name__)
 
@@ -219,6 +219,8 @@ def token_pieces(
                     flat = pa.concat_arrays([pa.array([], pa.int32()), *held])
                     arrays.append(pa.ListArray.from_arrays(ends, flat))
                 yield pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
+        tokens = None
+        give_back()
 
     schema = "row long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return source.mapInArrow(read, schema)

@@ -189,23 +189,20 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
     return F.transform(good, lambda x: F.struct(x["start"], x["rule"], x["stop"]))
 
 
-#: Doublings of a running combination: more elements than an array can have.
-_DOUBLINGS = 31
+#: Strides of a running combination: more elements than an array can have.
+_STRIDES = [1 << k for k in range(31)]
 
 
 def _running(values: Column, join) -> Column:
-    """Running combination of an array of numbers: each doubling joins every element with
-    the one 2^k places before, which by then stands for 2^k elements. Short arrays stop
-    after as many doublings as they need."""
-    for k in range(_DOUBLINGS):
-
-        def doubled(all_: Column, far: int = 1 << k) -> Column:
-            step = F.transform(all_, lambda x, i: F.when(i < far, x).otherwise(join(x, F.get(all_, i - far))))
-            return F.when(F.size(all_) > far, step).otherwise(all_)
-
-        # Bound once, so that an element is not computed again for each use.
-        values = F.get(F.transform(F.array(values), lambda x: doubled(x)), F.lit(0))
-    return values
+    """Running combination of an array of numbers: each stride joins every element with
+    the one so many places before, which by then stands for as many elements. Short arrays
+    keep still once the stride exceeds them."""
+
+    def joined(all_: Column, far: Column) -> Column:
+        step = F.transform(all_, lambda x, i: F.when(i < far, x).otherwise(join(x, F.get(all_, i - far))))
+        return F.when(F.size(all_) > far, step).otherwise(all_)
+
+    return F.aggregate(F.lit(_STRIDES), values, joined)
 
 
 def scan(
