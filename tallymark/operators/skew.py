@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 2_000_000
-_NULL_KEY_SPREAD = 1024
 
 
 def _rows_per_task(df: DataFrame) -> int:
@@ -44,9 +43,10 @@ def lookup_join(
     """Equi-join of many left rows with a table that is unique per key.
 
     Hot left keys are split by a hash of `spread_by`; only their lookup rows are
-    copied. Left rows without a key are spread as well, since they match nothing.
+    copied. Left rows without a key match nothing and are spread over all tasks.
     """
     hot = hot_keys(left, keys) if hot is None else hot
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
@@ -55,7 +55,7 @@ def lookup_join(
         left.join(F.broadcast(hot), keys, "left")
         .withColumn(
             "_part",
-            F.when(no_key, F.pmod(row_hash, F.lit(_NULL_KEY_SPREAD)))
+            F.when(no_key, F.pmod(row_hash, F.lit(tasks)))
             .otherwise(F.pmod(row_hash, F.coalesce(F.col("_parts"), F.lit(1))))
             .cast("int"),
         )

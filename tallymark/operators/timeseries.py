@@ -377,6 +377,12 @@ def exposition_text(rendered: DataFrame, sources: DataFrame) -> DataFrame:
     return lines.select("source", place.alias("line_number"), "line")
 
 
-def dashboard_sum(values: DataFrame, panel: str) -> DataFrame:
-    """A dashboard's sum, by its own list of metric names."""
-    return sum_with_fallback(values, K.SUM_FALLBACKS[panel])
+def dashboard_sums(values: DataFrame, panels: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Sums of all panels of a dashboard, each by its own list of metric names: panel,
+    step_s, value. One pass over the values; sums per metric merge before they move."""
+    lists = K.SUM_FALLBACKS if panels is None else panels
+    rows = [(panel, metric, place) for panel, metrics in lists.items() for place, metric in enumerate(metrics)]
+    # As long as the dashboard's lists.
+    wanted = F.broadcast(values.sparkSession.createDataFrame(rows, "panel string, metric string, place int"))
+    sums = values.join(wanted, "metric").groupBy("panel", "step_s", "place").agg(F.sum("value").alias("value"))
+    return sums.groupBy("panel", "step_s").agg(F.min_by("value", "place").alias("value"))

@@ -98,6 +98,24 @@ def metric_or(spark: SparkSession, folder: str) -> DataFrame:
     return T.sum_with_fallback(values, PRIORITY).withColumn("value", F.round("value", 4))
 
 
+#: Event types as the counters that the dashboard sums; in each panel some names have gaps.
+_PANEL_METRICS = {
+    "purchase": "litellm_proxy_total_requests_metric_total",
+    "view": "litellm_requests_metric_total",
+    "error": "litellm_proxy_failed_requests_metric_total",
+    "click": "litellm_in_flight_requests_metric",
+    "signup": "litellm_in_flight_requests",
+}
+
+
+def dashboard_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """All sums of the dashboard over hourly instant values."""
+    names = F.create_map(*[F.lit(x) for pair in _PANEL_METRICS.items() for x in pair])
+    gauges = _gauges(spark, folder).withColumn("metric", names[F.col("metric")]).filter("metric is not null")
+    values = T.instant_values(gauges, SERIES, HOUR, HOUR)
+    return T.dashboard_sums(values).withColumn("value", F.round("value", 4))
+
+
 def scrape_grid(spark: SparkSession, folder: str) -> DataFrame:
     gauges = _gauges(spark, folder)
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
@@ -209,6 +227,7 @@ QUERIES = {
     "counter_rate": counter_rate,
     "hist_quantile": hist_quantile,
     "metric_or": metric_or,
+    "dashboard_sums": dashboard_sums,
     "scrape_grid": scrape_grid,
     "scrape_parse": scrape_parse,
     "expose_render": expose_render,
@@ -300,6 +319,12 @@ UNION ALL SELECT source, 'ollama_loaded_model_size_vram_bytes' || labels || ' 7.
     "stream_scrape": """SELECT event_type AS metric, CASE WHEN event_id % 10 = 1 THEN '' ELSE '{instance="i' || cast(user_id % 3 AS varchar) || '",user="' || CASE WHEN event_id % 10 = 2 THEN 'a' || chr(92) || '"b' ELSE cast(user_id AS varchar) END || '"}' END AS series,
  cast(cast(round(value * 100) AS bigint) AS double) AS value FROM events WHERE event_id % 10 <> 0""",
 }
+_NAMED = ", ".join(f"('{kind}', '{metric}')" for kind, metric in _PANEL_METRICS.items())
+_PLACES = ", ".join(f"('{panel}', '{metric}', {i})" for panel, metrics in K.SUM_FALLBACKS.items() for i, metric in enumerate(metrics))
+CHECKS["dashboard_sums"] = f"""{with_clause('f_metrics')}, names AS (SELECT * FROM (VALUES {_NAMED}) n(kind, name)), places AS (SELECT * FROM (VALUES {_PLACES}) p(panel, name, place)),
+grid AS ({_grid('f_metrics', HOUR)}), v AS (SELECT metric, instance, step_s, arg_max(value, us) AS value FROM grid GROUP BY 1, 2, 3),
+s AS (SELECT panel, step_s, place, sum(value) AS value FROM v JOIN names ON metric = kind JOIN places ON places.name = names.name GROUP BY 1, 2, 3)
+SELECT panel, step_s, round(arg_min(value, place), 4) AS value FROM s GROUP BY 1, 2"""
 CHECKS["stream_due"] = f"""WITH e AS (SELECT event_id, user_id % 7 AS k, epoch_us(ts) // {DUE}000000 * {DUE} AS due FROM events),
 l AS (SELECT 'i' || cast(k AS varchar) AS target, due, count(*) FILTER (WHERE event_id % 10 <> 0) AS n FROM e WHERE (due // {DUE} + k) % 5 <> 0 GROUP BY 1, 2),
 g AS (SELECT target, unnest(generate_series((SELECT min(due) FROM l), (SELECT max(due) FROM l), {DUE})) AS due_s
