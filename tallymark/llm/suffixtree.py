@@ -3,14 +3,10 @@
 Tokens are lower-cased words and one end per document. The tree is learned from counts
 over all training documents:
 
-* the root has the count of every training word (this table grows with the corpus and is
-  only ever joined by key, never sent whole to one place);
-* a context of up to `depth` words is a candidate if it occurs `least` times or more in
-  the training tokens, and so does each of its next symbols. `least` is sqrt(N) / `root`
-  (`min_count` at the least), so the tree has at most root sqrt(N) entries an order: it
-  grows with the corpus, and yet a tree of 10^13 tokens can still be broadcast. Entries are
-  counted exactly: a first pass adds up counters over all pairs (as many as N / `least`
-  asks for), a second pass counts only pairs whose counter is full enough;
+* the root has the count of every training word;
+* a context of up to `depth` words is a candidate if it occurs `min_count` times or more
+  in the training tokens, and so does each of its next symbols. That number is the same
+  for every size of the corpus;
 * a candidate is retained if the likelihood gained over its longest retained suffix,
   sum of c(s, w) ln(P(w | s) / P(w | suffix)), exceeds 1/2 ln N for each next symbol.
 
@@ -20,8 +16,11 @@ to one. At the root P(w) = (c(w) + 1) / (N + V + 1), one share for all unknown w
 A token is scored in the longest retained suffix of what precedes it in its document.
 
 Corpus work is done on blocks: a written table whose rows hold some megabytes of text as
-codes into the block's own distinct words. Counts travel per block and distinct word, not
-per token, and come back the same way.
+codes into the block's own distinct words. Counts travel per block and distinct gram, not
+per token, and come back the same way. Grams and contexts are 64-bit keys, as words are;
+their tables grow with the corpus and are only ever joined by key. A broadcast of bits (at
+most MOST_SLOTS) holds back most grams that cannot be frequent or are not looked up; those
+that pass by chance are counted and joined like all others, so results do not depend on it.
 
 Defined results: NULL and blank texts are the end alone; NULL ids are training documents
 and not held out; repeated rows are scored and counted each; texts of any length are
@@ -31,11 +30,13 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,21 +46,24 @@ from tallymark.llm.common import fold, mix64, packed_ints, unpacked_ints, word_b
 ship_by_value(__name__)
 
 DEPTH = 2
-#: Occurrences that a context and a next symbol need: sqrt(N) / ROOT, MIN_COUNT at least.
-ROOT = 300.0
+#: Occurrences that a context and a next symbol need, in a corpus of any size.
 MIN_COUNT = 2
+#: Of a corpus of N tokens, counts from sqrt(N) / ROOT on: a size for which tests bound slots.
+ROOT = 300.0
 SMOOTHING = 16.0
 BLOCK_BYTES = 4 << 20
-#: Counters of the first pass: so many for each entry that could be frequent, in chunks.
+#: Bits of a table of keys: so many for each, in chunks.
 SLOTS_PER_ENTRY = 4
 MOST_SLOTS = 1 << 28
 CHUNK = 1 << 16
-FULL = np.iinfo(np.uint16).max
 PACKED_ROWS = 1 << 20
-#: Bits of a word's number in a key; the rest is the number of the gram before it.
+#: In a gathered tree: bits of a word's number in a key; the rest is the gram before it.
 SHIFT = 32
 #: No word hashes to it but by chance, as with any two words.
 END_HASH = np.uint64(0x5EEDF00D0E4D0F11)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+PACKED = [f"{name}_{part}" for name in ("n", "told", "rest") for part in ("keys", "values")]
+BLOCK_COLUMNS = ["block", "vocab", "codes", "ids", "sizes", "training"]
 BLOCK = "block long, vocab binary, codes binary, ids array<long>, sizes binary, training binary"
 
 
@@ -172,7 +176,7 @@ def block_words(table: DataFrame) -> DataFrame:
 
 @dataclass
 class Order:
-    """Frequent grams of one length, sorted by key: number of the gram without its last
+    """Grams of one length in one place, sorted by key: number of the gram without its last
     word, shifted, plus number of the last word."""
 
     key: np.ndarray
@@ -198,32 +202,39 @@ class Tree:
         return np.log10((n + 1.0) / (self.total + self.distinct + 1.0))
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Place of each wanted key, or -1."""
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+@dataclass
+class Grown:
+    """The tree as written tables, which are only ever joined by key.
+
+    counts: word, n of every training word. told[k - 1]: key, owner, suffix, n, below, share
+    of the frequent grams of k + 1 words. grams[k]: key, n, likely and (but for words)
+    in_context of the same, the longest only those of retained contexts. contexts[k]: key,
+    rest of the retained contexts of k + 1 words.
+    """
+
+    total: int
+    distinct: int
+    counts: DataFrame
+    told: list[DataFrame] = field(default_factory=list)
+    grams: list[DataFrame] = field(default_factory=list)
+    contexts: list[DataFrame] = field(default_factory=list)
 
 
-def _extended(tree: Tree, block: Block, last: bool) -> tuple[list[np.ndarray], np.ndarray]:
-    """For every order the number of the frequent gram that ends at each token (-1:
-    none); and with `last` the keys of grams one longer than known that may be frequent,
-    else -1."""
-    one = _find(tree.words, block.vocab)[block.codes]
-    first = block.first
-    grams = [one]
-    for order in tree.orders[1:]:
-        grams.append(_find(order.key, _keys(grams, one, first)))
-    return grams, _keys(grams, one, first) if last else one
+def _joined(owner: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Key of the gram that begins with one gram and ends with the other."""
+    return mix64(mix64(owner) * _STEP + suffix)
 
 
-def _keys(grams: list[np.ndarray], one: np.ndarray, first: np.ndarray) -> np.ndarray:
-    longest = grams[-1]
-    before = np.concatenate([[-1], longest[:-1]])
-    # Both the gram before and the gram without its first word must be frequent.
-    ok = (before >= 0) & (longest >= 0) & ~first
-    return np.where(ok, before << SHIFT | one, -1)
+def _gram_keys(block: Block, depth: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each length the key of the gram that ends at each token, and the token's place
+    in its document: a gram of k + 1 words needs place k at least."""
+    starts = np.cumsum(block.sizes) - block.sizes
+    place = np.arange(len(block.codes)) - np.repeat(starts, block.sizes)
+    keys = [block.vocab[block.codes]]
+    for _ in range(depth):
+        before = np.concatenate([[np.uint64(0)], keys[-1][:-1]])
+        keys.append(_joined(before, keys[-1]))
+    return keys, place
 
 
 def slots_for(total: int, least: float) -> int:
@@ -232,159 +243,231 @@ def slots_for(total: int, least: float) -> int:
     return min(MOST_SLOTS, 1 << (wanted - 1).bit_length())
 
 
-def full_slots(table: DataFrame, keys_of, slots: int, least: float) -> np.ndarray:
-    """Which counters reach `least` (or their limit) over all tasks. A task's counters are
-    packed chunks; tasks that get a chunk add up what they read, one piece at a time. A bit
-    for each counter reaches the driver."""
-    enough = min(least, FULL)
+def _slot(keys: np.ndarray, slots: int) -> np.ndarray:
+    return (mix64(keys.astype(np.uint64)) & np.uint64(slots - 1)).astype(np.int64)
+
+
+def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether a key's bit is set; it is for every key of the table, and by chance."""
+    at = _slot(keys, len(bits) * 8)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
 
-    def hashed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(slots, np.uint16)
+def key_bits(keys: DataFrame, slots: int) -> np.ndarray:
+    """One bit for each slot that a key falls into. Tasks send chunks with a set bit, tasks
+    that get a chunk unite them; the bits alone reach the driver. What is looked up there is
+    joined with the table later, so chance hits cost rows and change nothing."""
+
+    def marked(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            for keys in keys_of(frame):
-                used, n = np.unique(_slot(keys, slots), return_counts=True)
-                counts[used] = np.minimum(counts[used] + n, FULL)
-        for chunk in range(slots // CHUNK):
-            part = counts[chunk * CHUNK : (chunk + 1) * CHUNK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk], pa.int32()), pa.array([packed_ints(part)], pa.binary())], ["chunk", "counts"]
-                )
+            at = np.unique(_slot(frame.column(0).to_numpy(), slots))
+            chunk, first = np.unique(at // CHUNK, return_index=True)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(chunk.astype(np.int32)),
+                    pa.array([(part % CHUNK).astype("<u2").tobytes() for part in np.split(at, first[1:])] if len(at) else [], pa.binary()),
+                ],
+                ["chunk", "places"],
+            )
 
-    def added(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def united(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for frame in frames:
-            for chunk, piece in zip(frame.column(0).to_pylist(), frame.column(1), strict=True):
-                more = unpacked_ints(piece.as_py())
-                sums[chunk] = np.minimum(sums[chunk] + more, FULL) if chunk in sums else more
-        for chunk, counts in sums.items():
-            bits = np.packbits(counts >= enough).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([bits], pa.binary())], ["chunk", "bits"])
-
-    pieces = table.mapInArrow(hashed, "chunk int, counts binary").repartition("chunk")
-    found = pieces.mapInArrow(added, "chunk int, bits binary").toArrow()
-    open_slots = np.zeros(slots // 8, np.uint8)
-    for chunk, bits in zip(found["chunk"].to_pylist(), found["bits"].to_pylist(), strict=True):
-        open_slots[chunk * CHUNK // 8 : (chunk + 1) * CHUNK // 8] = np.frombuffer(bits, np.uint8)
-    return open_slots
+            for chunk, places in zip(frame.column(0).to_pylist(), frame.column(1), strict=True):
+                bits = np.zeros(CHUNK, bool)
+                bits[np.frombuffer(places.as_py(), "<u2")] = True
+                packed = np.packbits(bits)
+                sums[chunk] = sums[chunk] | packed if chunk in sums else packed
+        for chunk, bits in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["chunk", "bits"]
+            )
 
+    pieces = keys.select("key").mapInArrow(marked, "chunk int, places binary").repartition("chunk")
+    found = pieces.mapInArrow(united, "chunk int, bits binary").toArrow()
+    bits = np.zeros(slots // 8, np.uint8)
+    for chunk, part in zip(found["chunk"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        bits[chunk * CHUNK // 8 : (chunk + 1) * CHUNK // 8] = np.frombuffer(part, np.uint8)
+    return bits
 
-def _slot(keys: np.ndarray, slots: int) -> np.ndarray:
-    return (mix64(keys.astype(np.uint64)) & np.uint64(slots - 1)).astype(np.int64)
 
+def _bits_of(keys: DataFrame) -> Broadcast:
+    """Sized by the number of keys, MOST_SLOTS at most."""
+    bits = key_bits(keys, slots_for(2 * keys.count(), 1))
+    return keys.sparkSession.sparkContext.broadcast(bits)
 
-def _next_order(table: DataFrame, tree: Tree, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and exact training counts of the frequent grams one word longer."""
-    shared = table.sparkSession.sparkContext.broadcast(tree)
 
-    def candidates(frame: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, block in opened(frame):
-            keys = _extended(shared.value, block, True)[1]
-            yield keys[(keys >= 0) & np.repeat(block.training, block.sizes)]
+def _next_grams(table: DataFrame, shorter: DataFrame, order: int, min_count: int) -> DataFrame:
+    """key, owner, suffix, n of the grams of order + 1 words that occur often enough: then
+    the grams they begin and end with do as well."""
+    shared = _bits_of(shorter)
 
-    slots = slots_for(tree.total, least)
-    kept = table.sparkSession.sparkContext.broadcast(full_slots(table, candidates, slots, least))
+    def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for _, block in opened(frame):
+                keys, place = _gram_keys(block, order)
+                often = _has(shared.value, keys[order - 1])
+                ok = (place >= order) & np.repeat(block.training, block.sizes) & often
+                ok[1:] &= often[:-1]
+                at = np.flatnonzero(ok)
+                _, first, n = np.unique(keys[order][at], return_index=True, return_counts=True)
+                at = at[first]
+                # A gram is what it begins with and what it ends with.
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(keys[order - 1][at - 1].view(np.int64)),
+                        pa.array(keys[order - 1][at].view(np.int64)),
+                        pa.array(n.astype(np.int32)),
+                    ],
+                    ["owner", "suffix", "n"],
+                )
 
-    def exact(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            for keys in candidates(frame):
-                at = _slot(keys, slots)
-                full = (kept.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-                value, n = np.unique(keys[full == 1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n.astype(np.int64))], ["key", "n"])
-
-    # At most total / least rows.
-    found = (
-        table.mapInArrow(exact, "key long, n long")
-        .groupBy("key")
-        .agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= least)
-        .toArrow()
+            owner, suffix = (frame.column(i).to_numpy().view(np.uint64) for i in range(2))
+            key = pa.array(_joined(owner, suffix).view(np.int64))
+            yield pa.RecordBatch.from_arrays([key, *frame.columns], ["key", "owner", "suffix", "n"])
+
+    pairs = table.select(*BLOCK_COLUMNS).mapInArrow(read, "owner long, suffix long, n int")
+    often = pairs.groupBy("owner", "suffix").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+    return often.mapInArrow(keyed, "key long, owner long, suffix long, n long")
+
+
+def grow(table: DataFrame, words: DataFrame, depth: int, smoothing: float, min_count: int) -> Grown:
+    """Counts, divergence tests and smoothed distributions, shorter contexts first. A gram
+    needs `min_count` occurrences whatever the size of the corpus."""
+    counts = written(words.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"), "words")
+    size = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("words")).first()
+    tree = Grown(size["total"] or 0, size["words"], counts)
+    likely = F.log10((F.col("n") + 1.0) / F.lit(tree.total + tree.distinct + 1.0))
+    tree.grams.append(
+        counts.filter(F.col("n") >= min_count).select(F.col("word").alias("key"), "n", likely.alias("likely"))
     )
-    key, n = found["key"].to_numpy().astype(np.int64), found["n"].to_numpy()
-    rank = np.argsort(key)
-    return key[rank], n[rank]
-
-
-def _retain(tree: Tree, smoothing: float) -> None:
-    """Divergence tests and smoothed distributions, shorter contexts first."""
-    count = tree.orders[0].n
-    tree.orders[0].likely = tree.root(count)
-    for k in range(1, len(tree.orders)):
-        order, context = tree.orders[k], tree.orders[k - 1]
-        owner = order.key >> SHIFT
+    n, below, share = F.col("n"), F.col("below"), F.col("share")
+    for order in range(1, depth + 1):
+        shorter = tree.grams[-1]
         # The same word after the longest retained suffix of the context.
-        lower = context.likely[order.suffix]
-        below = 10.0**lower
-        total = context.n[owner] + smoothing
-        share = (order.n + smoothing * below) / total
-        size = len(context.n)
-        gain = np.bincount(owner, order.n * np.log(share / below), size)
-        entries = np.bincount(owner, minlength=size)
-        context.kept = (entries > 0) & (gain > entries * 0.5 * np.log(max(tree.total, 2)))
-        left = np.maximum(1 - np.bincount(owner, share, size), 1e-12)
-        other = np.maximum(1 - np.bincount(owner, below, size), 1e-12)
-        context.rest = np.log10(left / other)
-        order.score = np.log10(share)
-        order.likely = np.where(context.kept[owner], order.score, lower)
-    tree.orders[-1].kept = np.zeros(len(tree.orders[-1].n), bool)
-    tree.orders[-1].rest = np.zeros(len(tree.orders[-1].n))
+        ends = shorter.select(F.col("key").alias("suffix"), F.pow(F.lit(10.0), "likely").alias("below"))
+        begins = shorter.select(F.col("key").alias("owner"), F.col("n").alias("_all"))
+        found = _next_grams(table, shorter, order, min_count).join(ends, "suffix").join(begins, "owner")
+        part = (n + smoothing * below) / (F.col("_all") + smoothing)
+        told = written(found.select("key", "owner", "suffix", "n", "below", part.alias("share")), "told")
+        cost = 0.5 * math.log(max(tree.total, 2))
+        left, other = (F.greatest(1 - F.sum(column), F.lit(1e-12)) for column in (share, below))
+        tested = told.groupBy("owner").agg(
+            F.sum(n * F.log(share / below)).alias("_gain"),
+            (F.count(F.lit(1)) * F.lit(cost)).alias("_cost"),
+            F.log10(left / other).alias("rest"),
+        )
+        contexts = written(tested.filter("_gain > _cost").select(F.col("owner").alias("key"), "rest"), "contexts")
+        tree.contexts.append(contexts)
+        own = contexts.select(F.col("key").alias("owner"), F.lit(True).alias("_kept"))
+        kept = F.coalesce("_kept", F.lit(False))
+        retained = told.join(own, "owner", "left" if order < depth else "inner").select(
+            "key", "n", F.log10(F.when(kept, share).otherwise(below)).alias("likely"), kept.alias("in_context")
+        )
+        tree.told.append(told)
+        tree.grams.append(written(retained, "grams"))
+    return tree
+
+
+def _known(tree: Grown) -> DataFrame:
+    """key, n, told, rest: all that scoring looks up. Counts are of words, `told` is
+    log10 P(last word | context) of entries of retained contexts, `rest` of contexts."""
+    parts = [
+        tree.counts.select(F.col("word").alias("key"), "n", F.lit(None).cast("double").alias("told"))
+    ] + [
+        grams.filter("in_context").select("key", F.lit(None).cast("long").alias("n"), F.col("likely").alias("told"))
+        for grams in tree.grams[1:]
+    ]
+    values = parts[0]
+    for part in parts[1:]:
+        values = values.unionByName(part)
+    if not tree.contexts:
+        return values.withColumn("rest", F.lit(None).cast("double"))
+    rest = tree.contexts[0]
+    for part in tree.contexts[1:]:
+        rest = rest.unionByName(part)
+    return values.join(rest, "key", "full")
 
 
 def learn(
-    table: DataFrame, words: DataFrame, depth: int, smoothing: float, root: float = ROOT, min_count: int = MIN_COUNT
+    table: DataFrame, words: DataFrame, depth: int, smoothing: float, min_count: int = MIN_COUNT
 ) -> tuple[Tree, DataFrame]:
-    """The tree, and the written table of all word counts."""
-    counts = written(words.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"), "words")
-    size = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("words")).first()
-    total, distinct = size["total"] or 0, size["words"]
-    least = max(float(min_count), total**0.5 / root)
-    # At most total / least rows.
-    often = counts.filter(F.col("n") >= least).toArrow()
-    hashes, n = often["word"].to_numpy().astype(np.int64).view(np.uint64), often["n"].to_numpy()
-    rank = np.argsort(hashes)
-    tree = Tree(total, distinct, hashes[rank])
-    tree.orders.append(Order(np.arange(len(rank)), n[rank], np.zeros(len(rank), np.int64)))
-    for k in range(1, depth + 1):
-        key, n = _next_order(table, tree, least)
-        owner, last = key >> SHIFT, key & ((1 << SHIFT) - 1)
-        shorter = tree.orders[k - 1]
-        suffix = last if k == 1 else _find(shorter.key, shorter.suffix[owner] << SHIFT | last)
-        tree.orders.append(Order(key, n, suffix))
-        if not len(key):
-            break
-    _retain(tree, smoothing)
-    return tree, counts
-
-
-def score(table: DataFrame, words: DataFrame, counts: DataFrame, tree: Tree) -> DataFrame:
+    """The tree of a small table gathered in one place, to look at, and the written table of
+    all word counts. Scoring joins the tables instead."""
+    grown = grow(table, words, depth, smoothing, min_count)
+    tree, number = Tree(grown.total, grown.distinct, np.zeros(0, np.uint64)), {}
+    for k in range(depth + 1):
+        table = grown.told[k - 1] if k else grown.grams[0]
+        rows = {name: column.to_numpy() for name, column in zip(table.columns, table.toArrow().columns, strict=True)}
+        own = rows["key"]
+        if k == 0:
+            rank = np.argsort(own.view(np.uint64))
+            tree.words = own.view(np.uint64)[rank]
+            order = Order(np.arange(len(own)), rows["n"][rank], np.zeros(len(own), np.int64))
+            order.likely = rows["likely"][rank]
+        else:
+            longer, shorter = tree.orders[-1].key, number
+            owner = np.array([shorter[key] for key in rows["owner"].tolist()], np.int64)
+            suffix = np.array([shorter[key] for key in rows["suffix"].tolist()], np.int64)
+            key = owner << SHIFT | (longer[suffix] & ((1 << SHIFT) - 1))
+            rank = np.argsort(key)
+            order = Order(key[rank], rows["n"][rank], suffix[rank], score=np.log10(rows["share"][rank]))
+            kept = tree.orders[-1].kept[owner[rank]]
+            order.likely = np.where(kept, order.score, np.log10(rows["below"][rank]))
+        number = {key: i for i, key in enumerate(own[rank].tolist())}
+        order.kept, order.rest = np.zeros(len(own), bool), np.zeros(len(own))
+        if k < depth:
+            for row in grown.contexts[k].toLocalIterator():
+                order.kept[number[row["key"]]], order.rest[number[row["key"]]] = True, row["rest"]
+        tree.orders.append(order)
+    return tree, grown.counts
+
+
+def score(table: DataFrame, tree: Grown, depth: int) -> DataFrame:
     """doc_id, training, n_tokens, n_known, base_score, score of every document."""
-    shared = table.sparkSession.sparkContext.broadcast(tree)
-    # Frequent words are in the tree; the join has the others, none of which is hot.
-    least = int(tree.orders[0].n.min()) if len(tree.words) else 1 << 62
-    rare = counts.filter(F.col("n") < least)
+    known = _known(tree)
+    told = [_bits_of(grams.filter("in_context").select("key")) for grams in tree.grams[1:]]
+    rest = [_bits_of(contexts) for contexts in tree.contexts]
+    base = math.log10(1.0 / (tree.total + tree.distinct + 1.0))
+
+    def wanted(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys of a block that may be known."""
+        for frame in frames:
+            for number, block in opened(frame):
+                keys, place = _gram_keys(block, depth)
+                found = [block.vocab]
+                for k in range(1, depth + 1):
+                    some = np.unique(keys[k][place >= k])
+                    hit = _has(told[k - 1].value, some)
+                    if k < depth:
+                        hit |= _has(rest[k].value, some)
+                    found.append(some[hit])
+                every = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(every), number, np.int64)), pa.array(every.view(np.int64))], ["block", "key"]
+                )
 
     def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of a task as one row for each block, some million at a time."""
+        """What a task knows as one row for each block, some million at a time."""
         held, size = [], 0
 
         def packed() -> pa.RecordBatch:
-            block, place, n = (np.concatenate([part[i] for part in held]) for i in range(3))
+            block, key, n, told, rest = (np.concatenate([part[i] for part in held]) for i in range(5))
             rank = np.argsort(block, kind="stable")
             used, first = np.unique(block[rank], return_index=True)
-            parts = np.split(rank, first[1:])
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(used),
-                    pa.array([place[part].astype(np.int32).tobytes() for part in parts], pa.binary()),
-                    pa.array([n[part].astype(np.int64).tobytes() for part in parts], pa.binary()),
-                ],
-                ["block", "places", "counts"],
-            )
+            columns = [[] for _ in range(6)]
+            for part in np.split(rank, first[1:]):
+                for i, values in enumerate((n, told, rest)):
+                    some = part[~np.isnan(values[part])]
+                    columns[2 * i].append(key[some].tobytes())
+                    columns[2 * i + 1].append(values[some].tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(c, pa.binary()) for c in columns)], ["block", *PACKED])
 
         for frame in frames:
             if frame.num_rows:
-                held.append([column.to_numpy() for column in frame.columns])
+                held.append([frame.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
                 size += frame.num_rows
             if size >= PACKED_ROWS:
                 yield packed()
@@ -392,40 +475,52 @@ def score(table: DataFrame, words: DataFrame, counts: DataFrame, tree: Tree) ->
         if held:
             yield packed()
 
-    found = words.select("block", "place", "word").join(rare, "word").select("block", "place", "n")
+    looked = table.select(*BLOCK_COLUMNS).mapInArrow(wanted, "block long, key long").join(known, "key")
+    # Counts below 2^53 are whole as doubles; NULL is NaN here.
+    nan = F.lit(float("nan"))
+    rows = looked.select("block", "key", *[F.coalesce(F.col(c).cast("double"), nan).alias(c) for c in ("n", "told", "rest")])
     # As many pieces for a block as tasks have packed.
-    known = (
-        found.mapInArrow(pack, "block long, places binary, counts binary")
+    pieces = (
+        rows.mapInArrow(pack, "block long, " + ", ".join(f"{name} binary" for name in PACKED))
         .groupBy("block")
-        .agg(F.collect_list(F.struct("places", "counts")).alias("known"))
+        .agg(F.collect_list(F.struct(*PACKED)).alias("known"))
     )
-    joined = table.join(known, "block", "left")
+    joined = table.join(pieces, "block", "left")
+
+    def looked_up(pieces: list, name: str):
+        key = np.concatenate([np.frombuffer(piece[f"{name}_keys"], np.int64) for piece in pieces] + [np.zeros(0, np.int64)])
+        value = np.concatenate([np.frombuffer(piece[f"{name}_values"], np.float64) for piece in pieces] + [np.zeros(0)])
+        rank = np.argsort(key)
+        key, value = key[rank], value[rank]
+
+        def of(keys: np.ndarray) -> np.ndarray:
+            if not len(key):
+                return np.full(len(keys), np.nan)
+            keys = keys.view(np.int64)
+            at = np.minimum(np.searchsorted(key, keys), len(key) - 1)
+            return np.where(key[at] == keys, value[at], np.nan)
+
+        return of
 
     def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
         for frame in frames:
-            for i, (_, block) in enumerate(opened(frame)):
-                n = np.zeros(len(block.vocab), np.int64)
-                for piece in frame.column(6)[i].as_py() or []:
-                    n[np.frombuffer(piece["places"], np.int32)] = np.frombuffer(piece["counts"], np.int64)
-                often = _find(tree.words, block.vocab)
-                n = np.where(often >= 0, tree.orders[0].n[often] if len(tree.words) else 0, n)
-                root = tree.root(n)[block.codes]
+            for i, (_, block) in enumerate(opened(frame.select(BLOCK_COLUMNS))):
+                pieces = frame.column("known")[i].as_py() or []
+                n_of, told_of, rest_of = (looked_up(pieces, name) for name in ("n", "told", "rest"))
+                n = np.nan_to_num(n_of(block.vocab))
+                root = (np.log10(n + 1.0) + base)[block.codes]
                 value = root
-                grams, _ = _extended(tree, block, False)
-                first = block.first
-                for k in range(1, len(grams)):
-                    context = np.concatenate([[-1], grams[k - 1][:-1]])
-                    context[first] = -1
-                    order = tree.orders[k - 1]
-                    if not len(order.n):
-                        break
-                    inside = (context >= 0) & order.kept[context]
-                    entry = grams[k] >= 0
-                    stay = order.rest[context] + value
-                    if len(tree.orders[k].n):
-                        stay = np.where(entry, tree.orders[k].score[grams[k]], stay)
-                    value = np.where(inside, stay, value)
+                keys, place = _gram_keys(block, depth)
+                context = rest_of(block.vocab)[block.codes]
+                for k in range(1, depth + 1):
+                    inside = np.concatenate([[np.nan], context[:-1]])
+                    inside[place < k] = np.nan
+                    some, where = np.unique(keys[k], return_inverse=True)
+                    entry = told_of(some)[where]
+                    entry[np.isnan(inside)] = np.nan
+                    value = np.where(np.isnan(inside), value, np.where(np.isnan(entry), inside + value, entry))
+                    if k < depth:
+                        context = rest_of(some)[where]
                 begin = np.cumsum(block.sizes) - block.sizes
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -440,7 +535,7 @@ def score(table: DataFrame, words: DataFrame, counts: DataFrame, tree: Tree) ->
                 )
 
     schema = "doc_id long, training boolean, n_tokens long, n_known long, base_score double, score double"
-    return joined.select(*table.columns, "known").mapInArrow(read, schema)
+    return joined.select(*BLOCK_COLUMNS, "known").mapInArrow(read, schema)
 
 
 def model_scores(
@@ -448,7 +543,6 @@ def model_scores(
     doc_id: str = "doc_id",
     text: str = "text",
     depth: int = DEPTH,
-    root: float = ROOT,
     min_count: int = MIN_COUNT,
     smoothing: float = SMOOTHING,
     block_bytes: int = BLOCK_BYTES,
@@ -456,8 +550,8 @@ def model_scores(
     """Learn from the rows that are not `held_out` and score all rows."""
     table = written(blocks(docs, doc_id, text, block_bytes), "blocks")
     words = block_words(table)
-    tree, counts = learn(table, words, depth, smoothing, root, min_count)
-    scored = score(table, words, counts, tree)
+    tree = grow(table, words, depth, smoothing, min_count)
+    scored = score(table, tree, depth)
     return scored.withColumn("train_tokens", F.lit(tree.total).cast("bigint"))
 
 

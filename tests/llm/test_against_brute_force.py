@@ -343,6 +343,16 @@ def test_the_tree_grows_with_the_corpus(spark):
         assert suffixtree.slots_for(n, max(2, n**0.5 / suffixtree.ROOT)) <= suffixtree.MOST_SLOTS
 
 
+def test_what_a_context_needs_does_not_depend_on_the_size_of_the_corpus(spark):
+    """A pair seen twice counts among 500 thousand tokens as well."""
+    rows = [(i, text, False) for i, text in enumerate(["z " * 250_000, "z " * 250_000, "p q", "p q"])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    blocks = suffixtree.written(suffixtree.blocks(frame, "doc_id", "text", 1 << 20), "blocks")
+    tree, _ = suffixtree.learn(blocks, suffixtree.block_words(blocks), 2, 16.0)
+    assert len(tree.words) == 4 and sorted(tree.orders[1].n) == [2, 2, 2, 499_998]
+    assert sorted(tree.orders[2].n) == [2, 2, 499_996]
+
+
 def test_probabilities_of_a_context_sum_to_one(spark):
     """P(end | x) and P(w | x) of all words, from scores of texts that differ in one token."""
     rng = random.Random(4)
