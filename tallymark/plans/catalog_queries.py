@@ -39,7 +39,7 @@ def sidecar_read(spark: SparkSession, folder: str) -> DataFrame:
         F.to_json(F.struct(key.cast("string").alias("id"), F.col("s_name").alias("repo"), F.lit("gguf").alias("format")))
     )
     out = new_shared_path(spark, "entries")
-    suppliers.select(key.alias("entry"), text.alias("value")).write.partitionBy("entry").text(out)
+    W.write_documents(suppliers.select(key.alias("entry"), text.alias("value")), out, "entry")
     return R.read_sidecars(spark, out, "part-*").select("entry", "id", "repo", "format", "error")
 
 

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.functions import ship_by_value
 from tallymark.functions.payload import KEPT_NULLS
 from tallymark.operators import labels as L
 from tallymark.session import new_shared_path
+from tallymark.sources.listing import opened
+
+ship_by_value(__name__)
+
+_ESCAPED = "\"#%'*/:=?\\{[]^"
 
 
 def chat_lines(records: DataFrame) -> DataFrame:
@@ -23,6 +32,49 @@ def write_lines(lines: DataFrame, path: str, text: str = "line", by: list[str] |
     (writer.partitionBy(*keys) if keys else writer).text(path)
 
 
+def _folder_name(value: str | None) -> str:
+    """A value as Spark spells it in a folder name."""
+    if not value:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return "".join(f"%{ord(c):02X}" if c in _ESCAPED or ord(c) < 32 or ord(c) == 127 else c for c in value)
+
+
+def write_documents(documents: DataFrame, path: str, by: str, text: str = "value") -> None:
+    """One folder with one document per value of `by`; its rows are the lines, in order.
+
+    Spark's writer takes several calls for each short file and puts all folders in place
+    from the driver, so tasks write the files here, dealt by folder over all of a shuffle.
+    A repeated task replaces its files by the same.
+    """
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = documents.select(
+        F.col(by).cast("string").alias("_by"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row")
+    )
+
+    def write(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top, _ = opened(path)
+        current, out, made = None, None, 0
+        for frame in frames:
+            for value, line in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
+                name = _folder_name(value)
+                if name != current:
+                    if out is not None:
+                        out.close()
+                    system.create_dir(f"{top}/{by}={name}", recursive=True)
+                    current, out, made = name, system.open_output_stream(f"{top}/{by}={name}/part-00000.txt"), made + 1
+                out.write(f"{'' if line is None else line}\n".encode())
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.int64())], ["made"])
+
+    ordered = dealt.repartition(tasks, "_by").sortWithinPartitions("_by", "_row").select("_by", "_text")
+    ordered.mapInArrow(write, "made long").agg(F.sum("made")).first()
+    system, top, _ = opened(path)
+    system.create_dir(top, recursive=True)
+    # As Spark marks a whole output; an empty one has something to find as well.
+    system.open_output_stream(f"{top}/_SUCCESS").close()
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("error").option("header", True).csv(path)
 

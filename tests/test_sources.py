@@ -209,3 +209,19 @@ def test_lines_and_scrapes(spark, tmp_path):
     out = str(tmp_path / "m")
     W.write_lines(spark.createDataFrame([("é 1",), ("a 2",)], "line string"), out)
     assert sorted(r.line for r in R.read_scrapes(spark, out).collect()) == ["a 2", "é 1"]
+
+
+def test_documents_are_written_by_tasks(spark, tmp_path):
+    """Many folders from one partition: lines in order, names as Spark reads them, no commit by the driver."""
+    rows = [(f"a/{i % 50}" if i % 50 else None, f"{i}") for i in range(200)] + [("é =", "x")]
+    frame = spark.createDataFrame(rows, "entry string, value string").coalesce(1)
+    W.write_documents(frame, str(tmp_path / "new"), "entry")
+    frame.write.partitionBy("entry").text(str(tmp_path / "old"))
+    names = [{p.name: [f.read_text() for f in p.glob("part-*")] for p in (tmp_path / o).glob("entry=*")} for o in ("new", "old")]
+    assert len(names[0]) == 51 and names[0] == names[1]
+    assert (tmp_path / "new" / "entry=1").exists() is (tmp_path / "old" / "entry=1").exists()
+    assert {p.name for f in (tmp_path / "new").glob("entry=*") for p in f.iterdir()} == {"part-00000.txt"}
+    read = spark.read.text(str(tmp_path / "new"))
+    assert {r.entry for r in read.select("entry").distinct().collect()} == {r[0] for r in rows}
+    W.write_documents(frame.limit(0), str(tmp_path / "none"), "entry")
+    assert R.read_sidecars(spark, str(tmp_path / "none"), "part-*").count() == 0
