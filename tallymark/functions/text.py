@@ -16,6 +16,7 @@ from tallymark.functions import once_per_row, ship_by_value
 
 ship_by_value(__name__)
 
+HELD_CHARACTERS = 1 << 20
 # Unicode white space plus the four ASCII separators that \s leaves out.
 _SPACE = r"[\s\x1c-\x1f]"
 
@@ -93,10 +94,24 @@ def _canonical(text: str | None) -> str | None:
     return json.dumps(_tagged(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
-@once_per_row(T.StringType())
-def canonical_json(values: pa.Array) -> pa.Array:
-    """One spelling per JSON value under the comparison rules; NULL if unreadable."""
-    return pa.array([_canonical(text) for text in values.to_pylist()], pa.string())
+def canonical_texts(values: pa.Array) -> pa.Array:
+    """One spelling per JSON value under the comparison rules; NULL if unreadable.
+
+    Texts are read one at a time and spellings packed by the megabyte, so a batch is never
+    there as Python texts: what a task needs does not follow the rows of its batches.
+    """
+    parts, held, size = [], [], 0
+    for value in values:
+        text = _canonical(value.as_py())
+        held.append(text)
+        size += len(text or "")
+        if size >= HELD_CHARACTERS:
+            parts.append(pa.array(held, values.type))
+            held, size = [], 0
+    return pa.concat_arrays([*parts, pa.array(held, values.type)])
+
+
+canonical_json = once_per_row(T.StringType())(canonical_texts)
 
 
 def slug(value: Column, fallback: str | None = None) -> Column:

@@ -1,5 +1,7 @@
+import tracemalloc
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tallymark.functions import text as X
@@ -53,3 +55,15 @@ def test_numbers_and_tags(spark):
     assert one(spark, "NIGHTLY-x", X.is_floating_tag)
     assert not one(spark, "v1", X.is_floating_tag)
     assert one(spark, "x", lambda v: X.ratio(F.lit(1), F.lit(0))) == 0.0
+
+
+def test_canonical_texts_are_not_held_as_a_batch():
+    text = '{"b": "' + "Ab " * 300 + '", "a": 1.0}'
+    values = pa.array([text, None, "no json"] * 4000)
+    tracemalloc.start()
+    got = X.canonical_texts(values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.slice(0, 3).to_pylist() == [X._canonical(text), None, None] and got.slice(11_997).equals(got.slice(0, 3))
+    assert len(got) == 12_000 and peak < 3 * X.HELD_CHARACTERS
+    assert X.canonical_texts(values.slice(0, 0)).to_pylist() == []
