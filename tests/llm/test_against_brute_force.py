@@ -1,6 +1,7 @@
 """Operators without SQL against plain Python on the given tables or made-up rows."""
 
 import math
+import os
 import random
 import re
 import zlib
@@ -329,6 +330,37 @@ def test_scores_against_a_tree_of_dictionaries(spark, texts):
     assert got == pytest.approx(want, rel=1e-9)
 
 
+def test_scores_with_contexts_dealt_over_parts(spark):
+    """A few contexts hold most tokens, so their next symbols lie in several parts."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(["a b", f"a b{rng.randrange(300)}", f"w{rng.randrange(40)}", "a"]) for _ in range(200)), i % 7 == 2) for i in range(120)]
+    frame = spark.createDataFrame([*rows, (None, "a b", False), (500, None, False)], "doc_id long, text string, held_out boolean")
+    tokens = {d: [*WORDS.findall(lower(t)), None] for d, t, _ in [*rows, (None, "a b", False), (500, "", False)]}
+    for depth, least in ((0, 2), (1, 2), (2, 2), (3, 2), (2, 5)):
+        scored = suffixtree.model_scores(frame, depth=depth, min_count=least, block_bytes=5000)
+        got = {r.doc_id: r.score for r in scored.collect()}
+        want, contexts = tree_scores(tokens, [d for d in tokens if d in (None, 500) or d % 7 != 2], least, depth)
+        assert got == pytest.approx(want, rel=1e-9) and (depth == 0 or len(contexts) > 10)
+
+
+def folder_bytes(*folders):
+    return sum(os.path.getsize(os.path.join(at, f)) for top in folders for at, _, files in os.walk(top) for f in files)
+
+
+def test_scoring_leaves_few_bytes_on_the_disk(spark, tmp_path):
+    """Written tables and shuffle files together; the limit is 4 times the input."""
+    numbers = np.random.default_rng(8).zipf(1.15, (4000, 400)) % 10**6
+    rows = [(i, " ".join(f"word{n}" for n in row)) for i, row in enumerate(numbers.tolist())]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    own = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    folders = [spark.conf.get("spark.checkpoint.dir"), *(d.getPath() for d in own)]
+    before = folder_bytes(*folders)
+    queries.QUERIES["op9_lm_scores"](spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+    grown = (folder_bytes(*folders) - before) / folder_bytes(path)
+    assert grown < 3.5, grown
+
+
 def test_the_tree_grows_with_the_corpus(spark):
     """What a context needs rises more slowly than the corpus; the first pass never loses one."""
     sizes = []
