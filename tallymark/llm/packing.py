@@ -16,7 +16,9 @@ the tokeniser's own splitting never joins across one that precedes a visible cha
 Texts with other white space (two blanks in a row, at an end, beside line breaks) are
 tokenised whole: strings of special tokens have their own ids, as the vocabulary file says,
 and runs of RUN or more white-space characters are merged without the splitting pattern,
-whose search would need a stack as deep as the run is long.
+whose search would need a stack as deep as the run is long. The distinct parts of a batch
+are merged as one text, since the pattern parts them again, and their ids are told apart by
+the bytes that they stand for.
 
 Defined results: NULL and empty texts are one piece, the end token alone; NULL ids and
 repeated rows are packed like others (`row` tells them apart); ties of the hash go by row
@@ -53,6 +55,8 @@ BLANK_START = rf"^(?:$|[{BLANKS}])"
 ODD_BREAK = rf"[{BLANKS}]\n|\n\n(?:[{BLANKS}\n]|$)|\n[\x09\x0b-\x0d\x{{85}}-\x{{a0}}\x{{1680}}-\x{{3000}}]"
 #: Two other blanks in a row.
 BLANK_RUN = r"[\x09\x0b-\x0d\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
+#: Parts that end with white space: what follows could join it.
+BLANK_END = rf"[{BLANKS}\n]$"
 #: White-space runs that the splitting pattern does not see.
 RUN = 1000
 _LONG_RUN = re.compile(
@@ -62,8 +66,11 @@ SEQUENCE = 1024
 END = 2
 OPEN_BINS = 1024
 PIECES_PER_TASK = 1 << 16
-#: Distinct parts whose ids a task remembers before it starts afresh.
-REMEMBERED = 300_000
+#: Bytes of text whose parts are told apart at a time.
+BATCH = 8 << 20
+#: Bytes of distinct parts merged at a time, and parts whose ids are brought together.
+MERGED = 1 << 20
+GATHERED = 1 << 18
 
 
 def _byte_letters() -> dict[str, int]:
@@ -93,17 +100,8 @@ class PartTokens:
             bytes(letters[c] for c in token): i for token, i in content["model"]["vocab"].items() if token not in self.special
         }
         self.encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 20, np.uint32)
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        encode = self.encoding.encode_ordinary
-        return [encode(text) for text in texts]
+        self.bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.bytes[list(ranks.values())] = list(map(len, ranks))
 
     def whole(self, text: str) -> list[int]:
         """Ids of any text."""
@@ -122,24 +120,53 @@ class PartTokens:
             ids += self.encoding.encode_ordinary(segment[begin:])
         return ids
 
-    def _learn(self, parts: list[str]) -> None:
-        for low in range(0, len(parts), 4096):
-            block = parts[low : low + 4096]
-            coded = self._encode(block)
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-            total = int(sizes.sum())
-            first = len(self.known)
-            while self.used + total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while first + len(block) + 1 > len(self.begin):
-                self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            self.ids[self.used : self.used + total] = [i for one in coded for i in one]
-            self.begin[first + 1 : first + len(block) + 1] = self.used + np.cumsum(sizes)
-            self.used += total
-            self.known.update(zip(block, range(first, first + len(block)), strict=True))
+    def _merged(self, text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text and how many each of its parts has; `sizes` are the parts' bytes."""
+        ids = np.array(self.encoding.encode_ordinary(text), np.uint32)
+        ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(sizes)) + 1
+        return ids, np.diff(ends, prepend=0)
+
+    def _parts(self, words: pa.Array, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the parts `used`, and for every part where its ids begin and how many they
+        are. Part i is word i after a blank (a line break is its own lead), part
+        len(words) + i is word i at the beginning of a text."""
+        n = len(words)
+        values = words.to_numpy(zero_copy_only=False)
+        breaks = pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)
+        open_end = pc.match_substring_regex(words, BLANK_END).to_numpy(zero_copy_only=False)
+        size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        size = np.concatenate([size + ~breaks, size + 1])
+        first, count = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.int64)
+        ids: list[np.ndarray] = []
+        total = 0
+        alone = open_end[used % n]
+        for code in used[alone].tolist():
+            lead = "" if code >= n or breaks[code] else " "
+            ids.append(np.array(self.encoding.encode_ordinary(lead + values[code % n]), np.uint32))
+            first[code], count[code] = total, len(ids[-1])
+            total += len(ids[-1])
+        used = used[~alone]
+        # Parts at a beginning are merged after a line break, whose id is left out.
+        for head, codes in enumerate((used[used < n], used[used >= n])):
+            ends = np.cumsum(size[codes])
+            cuts = np.flatnonzero(np.diff(ends // MERGED, prepend=0)).tolist()
+            for low, high in zip([0, *cuts], [*cuts, len(codes)], strict=True):
+                block = codes[low:high]
+                if not len(block):
+                    continue
+                lead = "\n" if head else " "
+                text = lead + lead.join(values[block % n])
+                merged, counts = self._merged(text if head else text.replace(" \n", "\n"), size[block])
+                first[block] = total + np.cumsum(counts) - counts + head
+                count[block] = counts - head
+                ids.append(merged)
+                total += len(merged)
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), first, count
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text in turn."""
+        if not texts:
+            return
         parted = pa.array(texts, pa.large_string())
         broken = pc.match_substring_regex(parted, ODD_BREAK).to_numpy(zero_copy_only=False).copy()
         broken |= pc.match_substring_regex(parted, BLANK_RUN).to_numpy(zero_copy_only=False)
@@ -147,32 +174,29 @@ class PartTokens:
             broken |= pc.match_substring(parted, mark).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(pc.replace_substring(parted, "\n", " \n"), " ")
         flat = lists.flatten().dictionary_encode()
-        words, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        words, codes = flat.dictionary, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         offsets = lists.offsets.to_numpy().astype(np.int64)
-        odd = pc.match_substring_regex(flat.dictionary, BLANK_START).to_numpy(zero_copy_only=False)
-        odd_rows = broken | (np.add.reduceat(odd[codes], offsets[:-1]) > 0) if len(texts) else np.zeros(0, bool)
+        odd = pc.match_substring_regex(words, BLANK_START).to_numpy(zero_copy_only=False)
+        odd_rows = broken | (np.add.reduceat(odd[codes], offsets[:-1]) > 0)
         # The first part of a text has no blank before it: it is kept apart.
-        heads = offsets[:-1]
-        shifted = codes.copy()
-        shifted[heads] += len(words)
+        codes[offsets[:-1]] += len(words)
         seen = np.zeros(2 * len(words), bool)
-        seen[shifted[np.repeat(~odd_rows, np.diff(offsets))]] = True
-        used = np.flatnonzero(seen)
-        led = [word if word[:1] == "\n" else " " + word for word in words] + words
-        parts = [led[c] for c in used.tolist()]
-        if len(self.known) > REMEMBERED:
-            self._clear()
-        self._learn([part for part in parts if part not in self.known])
-        number = np.zeros(2 * len(words), np.int64)
-        number[used] = [self.known[part] for part in parts]
-        for i, text in enumerate(texts):
-            if odd_rows[i]:
-                yield np.array(self.whole(text), np.uint32)
-                continue
-            mine = number[shifted[offsets[i] : offsets[i + 1]]]
-            first, sizes = self.begin[mine], self.begin[mine + 1] - self.begin[mine]
-            ends = np.cumsum(sizes)
-            yield self.ids[np.arange(ends[-1]) + np.repeat(first - ends + sizes, sizes)]
+        seen[codes[np.repeat(~odd_rows, np.diff(offsets))]] = True
+        ids, first, count = self._parts(words, np.flatnonzero(seen))
+        low = 0
+        while low < len(texts):
+            high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + GATHERED, "right")) - 1)
+            mine = codes[offsets[low] : offsets[high]]
+            ends = np.cumsum(count[mine])
+            begins = np.repeat(first[mine] - ends + count[mine], count[mine])
+            together = ids[np.arange(len(begins)) + begins]
+            cuts = [0, *ends[offsets[low + 1 : high + 1] - offsets[low] - 1].tolist()]
+            for i in range(low, high):
+                if odd_rows[i]:
+                    yield np.array(self.whole(texts[i]), np.uint32)
+                else:
+                    yield together[cuts[i - low] : cuts[i - low + 1]]
+            low = high
 
 
 def token_pieces(
@@ -196,7 +220,7 @@ def token_pieces(
         tokens = None
         for frame in frames:
             tokens = tokens or PartTokens(tokenizer)
-            for low, high in spans(frame.column(2), 2 << 20):
+            for low, high in spans(frame.column(2), BATCH):
                 rows = frame.column(0).slice(low, high - low).to_pylist()
                 named = frame.column(1).slice(low, high - low).to_pylist()
                 texts = [one or "" for one in frame.column(2).slice(low, high - low).to_pylist()]
