@@ -11,14 +11,15 @@ are open, however many pieces a task has. They are dealt over as many tasks as t
 number asks for (`pieces_per_task`), so a task holds a bounded number of pieces. Tokens
 are not moved: packing needs lengths only, and `assemble` brings tokens and places together.
 
-Token ids of a text are those of its parts, each with the blank or line break before it:
-the tokeniser's own splitting never joins across one that precedes a visible character.
-Texts with other white space (two blanks in a row, at an end, beside line breaks) are
-tokenised whole: strings of special tokens have their own ids, as the vocabulary file says,
-and runs of RUN or more white-space characters are merged without the splitting pattern,
-whose search would need a stack as deep as the run is long. The distinct parts of a batch
-are merged as one text, since the pattern parts them again, and their ids are told apart by
-the bytes that they stand for.
+Token ids of a text are those of its parts. A part begins at a blank or line break, but
+for those that lie inside a run of white space: the tokeniser's own splitting parts a text
+where white space begins and before its last character, so parts that such a run holds
+together are chained to one. The distinct parts of a batch are merged as one text, since
+the splitting parts them again, and their ids are told apart by the bytes that they stand
+for; parts that have white space at an end or twice in a row are merged one by one. Texts
+with special tokens are tokenised whole: these have their own ids, as the vocabulary file
+says. Runs of RUN or more white-space characters are merged without the splitting pattern,
+whose search would need a stack as deep as the run is long.
 
 Defined results: NULL and empty texts are one piece, the end token alone; NULL ids and
 repeated rows are packed like others (`row` tells them apart); ties of the hash go by row
@@ -49,14 +50,10 @@ ship_by_value(__name__)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space as the pattern sees it, but for the line break.
 BLANKS = r"\x09\x0b-\x0d \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-#: Empty parts and those that begin with white space.
-BLANK_START = rf"^(?:$|[{BLANKS}])"
-#: Line breaks beside other white space, or that do not lead to a visible character.
-ODD_BREAK = rf"[{BLANKS}]\n|\n\n(?:[{BLANKS}\n]|$)|\n[\x09\x0b-\x0d\x{{85}}-\x{{a0}}\x{{1680}}-\x{{3000}}]"
-#: Two other blanks in a row.
-BLANK_RUN = r"[\x09\x0b-\x0d\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
-#: Parts that end with white space: what follows could join it.
-BLANK_END = rf"[{BLANKS}\n]$"
+#: Words that leave white space or the end of a text after their lead, or before what follows.
+BLANK_START = rf"^\n?(?:$|[{BLANKS}])"
+BLANK_END = rf"(?:^|[{BLANKS}\n])$"
+BLANK_RUN = rf"[{BLANKS}\n]{{2}}"
 #: White-space runs that the splitting pattern does not see.
 RUN = 1000
 _LONG_RUN = re.compile(
@@ -126,26 +123,29 @@ class PartTokens:
         ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(sizes)) + 1
         return ids, np.diff(ends, prepend=0)
 
-    def _parts(self, words: pa.Array, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _parts(
+        self, words: pa.Array, chains: list[np.ndarray], used: np.ndarray, apart: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the parts `used`, and for every part where its ids begin and how many they
         are. Part i is word i after a blank (a line break is its own lead), part
-        len(words) + i is word i at the beginning of a text."""
+        len(words) + i is word i at the beginning of a text; then come the chains. Words
+        marked in `apart`, and chains, are merged one by one."""
         n = len(words)
         values = words.to_numpy(zero_copy_only=False)
         breaks = pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)
-        open_end = pc.match_substring_regex(words, BLANK_END).to_numpy(zero_copy_only=False)
         size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         size = np.concatenate([size + ~breaks, size + 1])
-        first, count = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.int64)
+        first, count = np.zeros(2 * n + len(chains), np.int64), np.zeros(2 * n + len(chains), np.int64)
         ids: list[np.ndarray] = []
         total = 0
-        alone = open_end[used % n]
-        for code in used[alone].tolist():
-            lead = "" if code >= n or breaks[code] else " "
-            ids.append(np.array(self.encoding.encode_ordinary(lead + values[code % n]), np.uint32))
+        single = (used >= 2 * n) | apart[used % n]
+        for code in used[single].tolist():
+            members = chains[code - 2 * n].tolist() if code >= 2 * n else [code]
+            text = "".join(values[i - n] if i >= n else values[i] if breaks[i] else " " + values[i] for i in members)
+            ids.append(np.array(self.whole(text), np.uint32))
             first[code], count[code] = total, len(ids[-1])
             total += len(ids[-1])
-        used = used[~alone]
+        used = used[~single]
         # Parts at a beginning are merged after a line break, whose id is left out.
         for head, codes in enumerate((used[used < n], used[used >= n])):
             ends = np.cumsum(size[codes])
@@ -168,21 +168,30 @@ class PartTokens:
         if not texts:
             return
         parted = pa.array(texts, pa.large_string())
-        broken = pc.match_substring_regex(parted, ODD_BREAK).to_numpy(zero_copy_only=False).copy()
-        broken |= pc.match_substring_regex(parted, BLANK_RUN).to_numpy(zero_copy_only=False)
+        marked = np.zeros(len(texts), bool)
         for mark in self.special:
-            broken |= pc.match_substring(parted, mark).to_numpy(zero_copy_only=False)
+            marked |= pc.match_substring(parted, mark).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(pc.replace_substring(parted, "\n", " \n"), " ")
         flat = lists.flatten().dictionary_encode()
         words, codes = flat.dictionary, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         offsets = lists.offsets.to_numpy().astype(np.int64)
-        odd = pc.match_substring_regex(words, BLANK_START).to_numpy(zero_copy_only=False)
-        odd_rows = broken | (np.add.reduceat(odd[codes], offsets[:-1]) > 0)
+        n = len(words)
+        start, end, run = (
+            pc.match_substring_regex(words, blank).to_numpy(zero_copy_only=False) for blank in (BLANK_START, BLANK_END, BLANK_RUN)
+        )
         # The first part of a text has no blank before it: it is kept apart.
-        codes[offsets[:-1]] += len(words)
-        seen = np.zeros(2 * len(words), bool)
-        seen[codes[np.repeat(~odd_rows, np.diff(offsets))]] = True
-        ids, first, count = self._parts(words, np.flatnonzero(seen))
+        heads = offsets[:-1]
+        chained = np.zeros(len(codes), bool)
+        chained[1:] = end[codes[:-1]] & start[codes[1:]]
+        # Nothing comes before the lead of a second part whose first is empty.
+        second = heads[np.diff(offsets) > 1] + 1
+        chained[second] &= ~pc.equal(words, "").to_numpy(zero_copy_only=False)[codes[second - 1]]
+        chained[heads] = False
+        codes[heads] += n
+        codes, offsets, chains = _joined(codes, offsets, chained, 2 * n)
+        seen = np.zeros(2 * n + len(chains), bool)
+        seen[codes[np.repeat(~marked, np.diff(offsets))]] = True
+        ids, first, count = self._parts(words, chains, np.flatnonzero(seen), start | end | run)
         low = 0
         while low < len(texts):
             high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + GATHERED, "right")) - 1)
@@ -192,13 +201,28 @@ class PartTokens:
             together = ids[np.arange(len(begins)) + begins]
             cuts = [0, *ends[offsets[low + 1 : high + 1] - offsets[low] - 1].tolist()]
             for i in range(low, high):
-                if odd_rows[i]:
+                if marked[i]:
                     yield np.array(self.whole(texts[i]), np.uint32)
                 else:
                     yield together[cuts[i - low] : cuts[i - low + 1]]
             low = high
 
 
+def _joined(
+    codes: np.ndarray, offsets: np.ndarray, chained: np.ndarray, unused: int
+) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """codes and offsets with one code, from `unused` on, for each run of codes in which all
+    but the first are `chained`; and the runs that these codes stand for."""
+    keep = ~chained
+    begins = np.flatnonzero(keep[:-1] & chained[1:])
+    ends = np.flatnonzero(chained & np.append(keep[1:], True)) + 1
+    number: dict[bytes, int] = {}
+    named = [number.setdefault(codes[a:b].tobytes(), unused + len(number)) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+    codes[begins] = named
+    offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
+    return codes[keep], offsets, [np.frombuffer(run, np.int64) for run in number]
+
+
 def token_pieces(
     docs: DataFrame,
     tokenizer: str,
