@@ -64,7 +64,7 @@ END = 2
 OPEN_BINS = 1024
 PIECES_PER_TASK = 1 << 16
 #: Bytes of text whose parts are told apart at a time.
-BATCH = 8 << 20
+BATCH = 2 << 20
 #: Bytes of distinct parts merged at a time, and parts whose ids are brought together.
 MERGED = 1 << 20
 GATHERED = 1 << 18
